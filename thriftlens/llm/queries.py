@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, minhash
+from . import bpe, langid, linededup, minhash, mixing
 from .common import table_path
 
 
@@ -14,17 +15,88 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    """The public byte-level BPE vocabulary; THRIFTLENS_BPE names another file."""
+    if os.environ.get("THRIFTLENS_BPE"):
+        return os.environ["THRIFTLENS_BPE"]
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=5, num=85, den=100)
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(documents(spark, sf_dir), tokenizer_path())
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_deduped(documents(spark, sf_dir), words=linededup.WORDS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language": op2_language,
+    "op3_mixture": op3_mixture,
     "op4_minhash": op4_minhash,
+    "op6_bpe": op6_bpe,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LINE_DEDUP = r"""
+WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, i - 1 AS ln, ls[i] AS line, trim(ls[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS k,
+         len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS w
+  FROM split, unnest(range(1, len(ls) + 1)) AS t(i)
+),
+worded AS (
+  SELECT doc_id, ln, k, w, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS s,
+         CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY ln) AS BIGINT) AS upto
+  FROM lines WHERE w > 0
+),
+keys AS (SELECT doc_id, list(k ORDER BY ln) AS ks FROM worded GROUP BY doc_id),
+wins AS (
+  SELECT a.doc_id, a.s, b.s AS e, md5(array_to_string(keys.ks[a.s:b.s], chr(10))) AS h
+  FROM (SELECT *, upto - w + 50 AS need FROM worded) AS a
+  ASOF JOIN worded AS b ON a.doc_id = b.doc_id AND a.need <= b.upto
+  JOIN keys ON keys.doc_id = a.doc_id
+),
+firsts AS (SELECT h, min(struct_pack(d := doc_id, s := s, e := e)) AS f FROM wins GROUP BY h),
+later AS (
+  SELECT doc_id, CASE WHEN doc_id = f.d THEN greatest(s, f.e + 1) ELSE s END AS s, e
+  FROM wins JOIN firsts USING (h) WHERE doc_id <> f.d OR s <> f.s
+),
+gone AS (SELECT DISTINCT doc_id, t.i AS s FROM later, unnest(range(s, e + 1)) AS t(i)),
+marked AS (
+  SELECT l.doc_id, l.ln, l.line,
+         CASE WHEN l.w > 0 THEN (CASE WHEN g.s IS NULL THEN 0 ELSE 1 END) END AS hit
+  FROM lines AS l LEFT JOIN worded AS w ON w.doc_id = l.doc_id AND w.ln = l.ln
+  LEFT JOIN gone AS g ON g.doc_id = w.doc_id AND g.s = w.s
+),
+carried AS (
+  SELECT doc_id, ln, line,
+         coalesce(last_value(hit IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS hit
+  FROM marked
+)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(c.text, '') END AS text,
+       coalesce(c.n_lines, 0) AS n_lines, coalesce(c.n_deleted, 0) AS n_deleted
+FROM documents AS d LEFT JOIN (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE hit = 0) AS text,
+         count(*) AS n_lines, CAST(sum(hit) AS BIGINT) AS n_deleted
+  FROM carried GROUP BY doc_id
+) AS c ON c.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": _LINE_DEDUP,
+}
