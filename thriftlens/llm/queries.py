@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, linededup, minhash, mixing
+from . import ann, bpe, chat, embdedup, langid, linededup, minhash, mixing, sharding, tokenout
 from .common import table_path
 
 
@@ -24,6 +24,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(documents(spark, sf_dir), shards=24)
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
@@ -36,19 +40,46 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), words=5, num=85, den=100)
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.near_vectors(spark.read.parquet(table_path(sf_dir, "embeddings")), threshold=0.93)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir), tokenizer_path())
 
 
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(spark.read.parquet(table_path(sf_dir, "embeddings")), every=50, k=5)
+
+
+#: A conversation whose texts hold the template's own control strings.
+HARD_TURNS = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(table_path(sf_dir, "conversations")).select("conv_id", "turn", "role", "text")
+    hard = spark.createDataFrame(HARD_TURNS, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.formatted(turns.unionByName(hard)))
+
+
+def op9_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenout.round_trip(documents(spark, sf_dir), tokenizer_path())
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_deduped(documents(spark, sf_dir), words=linededup.WORDS)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_shards": op1_shards,
     "op2_language": op2_language,
     "op3_mixture": op3_mixture,
     "op4_minhash": op4_minhash,
+    "op5_near_vectors": op5_near_vectors,
     "op6_bpe": op6_bpe,
+    "op7_neighbours": op7_neighbours,
+    "op8_chat": op8_chat,
+    "op9_orc_tokens": op9_orc_tokens,
     "op10_line_dedup": op10_line_dedup,
 }
 
