@@ -136,7 +136,8 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def _joined(docs: DataFrame, words: int) -> DataFrame:
     spans = written(deletions(docs, words).withColumnRenamed("doc", "_doc").withColumnRenamed("spans", "_spans"), "spans")
-    return docs.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)) == F.col("_doc"), "left")
+    # always a merge join: the table of spans grows with the corpus, so the plan is the same at every size
+    return docs.join(spans.hint("merge"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)) == F.col("_doc"), "left")
 
 
 def line_deduped(docs: DataFrame, words: int = WORDS) -> DataFrame:
