@@ -206,5 +206,6 @@ def first_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
     found = written(near_duplicates(docs, words, num, den), "near")
     gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
     repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    left = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    # a merge join at every size: what goes grows with the corpus
+    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
     return left.dropDuplicates(["doc_id"]) if repeated else left

@@ -134,5 +134,5 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MO
         words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
         rows = docs.withColumn("_nth", F.row_number().over(W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("source"), words)))
         on = on & (F.col("_nth") == F.col("_rep"))
-    taken = rows.join(d.where("_copies > 0"), on).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
+    taken = rows.join(d.where("_copies > 0").hint("merge"), on).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
     return taken.select(*[rows[c] for c in docs.columns])
