@@ -6,9 +6,9 @@ and doc_id has a Bloom filter, so a reader of one document skips stripes and row
 takes stripes in parallel. A row holds the document's place in its part (`before`: ids of the part before it);
 a part's own start is a prefix sum over one row per part, read from the files' `before` and `n_tokens` alone.
 
-Encoding is the tokenizers library's. The pieces of plain Latin texts repeat, so each worker remembers what the
-library gave for a bounded number of pieces; any other text, and one that holds a special token's string, is
-given to the library whole.
+Encoding is the tokenizers library's. The words of plain Latin texts repeat, so each worker remembers what the
+library gave for a bounded number of them (cut where its pre-tokenizer cuts too); any other text, and one that
+holds a special token's string, is given to the library whole.
 
 Defined results: null text is an empty text: only the end id. Null ids come first; equal ids stay in the order
 of the input. No rows: empty files. Columns other than doc_id and text are ignored.
@@ -17,7 +17,6 @@ of the input. No rows: empty files. Columns other than doc_id and text are ignor
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -28,14 +27,47 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import _ODD, REMEMBERED, pieces
-from .common import column, mapped, raw, shared_dir, small_batches, written
+from .bpe import _ODD
+from .common import column, in_groups, mapped, raw, shared_dir, small_batches, written
+from .shingles import _BYTE, _PLACE, mix
 
 END = 2
 
 
+#: Slots of a worker's memory of chunks (a power of 2), and the ids that it holds at most.
+SLOT_BITS, POOL = 21, 1 << 23
+#: What plain() texts don't hold: white space that the pre-tokenizer may join to a neighbour, or rarer characters.
+_RUNS = (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+
+
+def _bytes(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(chars)] = True
+    return out
+
+
+_SPACE, _STOP, _LETTER = _bytes(b" \n"), _bytes(b".,;:!?"), _bytes(bytes([*range(65, 91), *range(97, 123)]))
+
+
+def plain(text: bytes) -> bool:
+    return not any(r in text for r in _RUNS) and (text.isascii() or not _ODD.search(text.decode("utf-8", "replace")))
+
+
+def chunk_starts(b: np.ndarray) -> np.ndarray:
+    """Where a plain() text (its bytes, closed by a line break) can be cut without cutting a piece.
+
+    A byte-level pre-tokenizer's pieces begin with a space or hold none, a line break is a piece of its own, and
+    so is a stop between a letter and white space.
+    """
+    cut = _SPACE[b]
+    cut[1:] |= b[:-1] == 10
+    cut[1:-1] |= _STOP[b[1:-1]] & _LETTER[b[:-2]] & _SPACE[b[2:]]
+    cut[:1] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """The library's ids of texts, as bytes of little-endian int32."""
+    """The library's ids of texts. A chunk's ids are remembered under its 64-bit hash, in slots that are overwritten."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,32 +76,110 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.int32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t) or self.special.search(t)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
+        self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.at, self.length = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
+        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ask(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of chunks, end to end, and how many each has.
+
+        Chunks that begin with their only space are given to it as one text, whose ids are cut at spaces.
+        """
+        n = np.zeros(len(chunks), np.int64)
+        one = [i for i, c in enumerate(chunks) if c[0] == 32 and len(c) > 1]
+        rest = [i for i, c in enumerate(chunks) if c[0] != 32 or len(c) == 1]
+        order, flat = [], []
+        for begin in range(0, len(one), 20_000):
+            part = one[begin : begin + 20_000]
+            ids = self.whole([b"".join([chunks[i] for i in part]).decode("utf-8", "replace")])[0]
+            starts = np.flatnonzero(self.spaced[ids])
+            if len(starts) != len(part) or starts[0] != 0:
+                rest += part
+                continue
+            n[part] = np.diff(np.append(starts, len(ids)))
+            order += part
+            flat.append(ids)
+        for i, ids in zip(rest, self.whole([chunks[i].decode("utf-8", "replace") for i in rest])):
+            n[i] = len(ids)
+            flat.append(ids)
+        order += rest
+        at = np.empty(len(chunks), np.int64)
+        at[order] = np.cumsum(n[order]) - n[order]
+        flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+        return flat[spread(at, n)], n
+
+    def plain_ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of plain() texts, end to end, and how many each has."""
+        if self.used > POOL:
+            self.forget()
+        buffer = b"\n".join(texts) + b"\n"
+        b = np.frombuffer(buffer, np.uint8)
+        starts = chunk_starts(b)
+        lengths = np.diff(np.append(starts, len(b)))
+        hashes = hashed(b, starts, lengths)
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at, n = self.at[slot].astype(np.int64), self.length[slot].astype(np.int64)
+        missing = np.flatnonzero(self.keys[slot] != hashes)
+        if len(missing):
+            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            where = missing[first]
+            ids, count = self.ask([buffer[x : x + k] for x, k in zip(starts[where].tolist(), lengths[where].tolist())])
+            base = self.used
+            self.add(ids)
+            place = base + np.cumsum(count) - count
+            at[missing], n[missing] = place[which], count[which]
+            s = slot[where]
+            self.keys[s], self.at[s], self.length[s] = new, place, count
+        n[np.searchsorted(starts, ends - 1)] = 0  # the line breaks that close the texts
+        per_text = np.add.reduceat(n, np.searchsorted(starts, ends - np.array([len(t) + 1 for t in texts])))
+        return self.pool[spread(at, n)], per_text
+
+    def add(self, ids: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        odd, usual = [], []
+        for i, t in enumerate(texts):
+            if t:
+                (usual if plain(t) and not any(s in t for s in self.special) else odd).append(i)
+        for i, ids in zip(odd, self.whole([texts[i].decode("utf-8", "replace") for i in odd])):
             out[i] = ids
-        skip = set(odd)
-        for begin in range(0, len(texts), 64):
-            cut = {i: pieces(texts[i]) for i in range(begin, min(begin + 64, len(texts))) if i not in skip}
-            new = {p for c in cut.values() for p in c if p not in self.known}
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = {p for c in cut.values() for p in c}
-            fresh = list(new)
-            self.known.update(zip(fresh, self.whole(fresh)))
-            for i, c in cut.items():
-                out[i] = b"".join(map(self.known.__getitem__, c))
+        for begin, end in in_groups([len(texts[i]) for i in usual], 1 << 20):
+            at = usual[begin:end]
+            ids, n = self.plain_ids([texts[i] for i in at])
+            for i, part in zip(at, np.split(ids, np.cumsum(n)[:-1])):
+                out[i] = part
         return out
 
 
+def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places at, at + 1, ... of runs of n."""
+    out = np.repeat(at - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
+
+
+def hashed(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    place = np.arange(len(b)) - np.repeat(starts, lengths)
+    value = _BYTE[b]
+    value *= _PLACE[place & (len(_PLACE) - 1)]
+    return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
 _LOADED: dict[str, Encoder] = {}
 
 
@@ -83,15 +193,15 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """ORC files at path: part, before, doc_id, n_tokens, ids, in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
     ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    end = np.array([END], np.int32).tobytes()
+    end = np.array([END], np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, total = encoder(tokenizer), 0
         for b in batches:
-            ids = e.encode([(t or b"").decode("utf-8", "replace") for t in raw(b)])
-            n = np.array([len(x) // 4 + 1 for x in ids], np.int64)
+            ids = e.encode([t or b"" for t in raw(b)])
+            n = np.array([len(x) + 1 for x in ids], np.int64)
             upto = np.cumsum(n)
-            flat = np.frombuffer(b"".join(y for x in ids for y in (x, end)), np.int32)
+            flat = np.concatenate([y for x in ids for y in (x, end)]) if ids else end[:0]
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], upto]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([column(b, "part"), pa.array(upto - n + total), column(b, "doc_id"), pa.array(n), lists], ["part", "before", "doc_id", "n_tokens", "ids"])
             total += int(upto[-1]) if len(n) else 0
