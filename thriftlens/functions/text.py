@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thriftlens.schema import DEFAULT
 
@@ -33,12 +34,12 @@ def list_tokens(items: Column) -> Column:
     return F.aggregate(items, F.lit(0).cast("long"), lambda n, x: n + F.greatest(F.lit(1), F.floor(F.length(F.coalesce(x, F.lit(""))) / DEFAULT.chars_per_token)).cast("long"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _nfc_all(s: pd.Series) -> pd.Series:
     return s.map(lambda xs: None if xs is None else [None if x is None else unicodedata.normalize("NFC", x) for x in xs])
 

@@ -45,7 +45,7 @@ def summary(sessions: DataFrame, found: DataFrame) -> DataFrame:
 def format_output(sessions: DataFrame, found: DataFrame, top: int = 3) -> DataFrame:
     """session_id, report: a header line and up to `top` ranked findings."""
     s = summary(sessions, found)
-    cost = F.coalesce(F.concat(F.lit("~$"), F.format_string("%.2f", "cost")), F.lit("unknown"))
+    cost = F.when(F.col("cost").isNotNull(), F.concat(F.lit("~$"), F.format_string("%.2f", "cost"))).otherwise("unknown")
     waste = F.when(F.col("waste_pct").isNotNull(), F.format_string(", %d%% avoidable.", "waste_pct")).when(F.col("wasted") > 0, F.format_string(", ~%,d tokens waste.", "wasted")).otherwise(". No significant waste detected.")
     header = F.concat(F.format_string("Session %s: %,d tokens, ", "session_id", "total_tokens"), cost, waste)
     line = F.concat(F.format_string("  %d. %s (%dx): ~%,d tokens — ", "rank", "pattern", "count", "tokens_wasted"), F.replace("description", F.lit("\n"), F.lit("\n      ")))

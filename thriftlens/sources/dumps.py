@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thriftlens.schema import CALLS, DEFAULT
 
@@ -21,7 +22,7 @@ def session_id(file_name: Column) -> Column:
     return F.when(stem.startswith("request_dump_") & (F.size(parts) >= 3), F.array_join(F.slice(parts, 1, 3), "_")).otherwise(stem)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _json_chars(messages: pd.Series) -> pd.Series:
     """Characters of each message written as JSON with ", " and ": " and escapes, added up."""
     return messages.map(lambda x: sum(len(json.dumps(m)) for m in json.loads(x)), na_action="ignore")
