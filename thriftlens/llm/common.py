@@ -60,7 +60,7 @@ def swept(spark: SparkSession) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, mb: int = 8) -> None:
+def small_batches(spark: SparkSession, mb: int = 4) -> None:
     """Bound an Arrow batch by bytes, so that a run of long texts can't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
 
@@ -127,6 +127,14 @@ def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return df.mapInArrow(f, schema)
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (node, comp), comp the smallest node of each.
 

@@ -77,6 +77,7 @@ def fit_cells(classes: DataFrame, cell: int, sample: int, most_cells: int, seed:
         k = min(len(vs), max(1, round(r["count"] / per_cell)))
         if k > 1:
             x = np.array(vs)
+            x /= np.abs(x).max(1, keepdims=True)
             out[r["lab"], r["dim"]] = kmeans(x / np.linalg.norm(x, axis=1)[:, None], k, rng)
     return out
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mapped, raw, written
+from .common import column, mapped, raw, unused_name, written
 from .shingles import mix
 
 WORDS = 50
@@ -134,10 +134,12 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"\n".join(out), len(lines), deleted
 
 
-def _joined(docs: DataFrame, words: int) -> DataFrame:
-    spans = written(deletions(docs, words).withColumnRenamed("doc", "_doc").withColumnRenamed("spans", "_spans"), "spans")
+def _joined(docs: DataFrame, words: int) -> tuple[DataFrame, str]:
+    """docs with its spans (null: none) in one more column, whose name is given too."""
+    doc, spans = unused_name(docs, "_doc"), unused_name(docs, "_spans")
+    found = written(deletions(docs, words).select(F.col("doc").alias(doc), F.col("spans").alias(spans)), "spans")
     # always a merge join: the table of spans grows with the corpus, so the plan is the same at every size
-    return docs.join(spans.hint("merge"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)) == F.col("_doc"), "left")
+    return docs.join(found.hint("merge"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)) == F.col(doc), "left").drop(doc), spans
 
 
 def line_deduped(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -158,21 +160,23 @@ def line_deduped(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 gone.append(deleted)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_lines", "n_deleted"])
 
-    return mapped(_joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words).select("doc_id", "text", "_spans"), run, "doc_id long, text string, n_lines long, n_deleted long")
+    joined, _ = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
+    return mapped(joined.select("doc_id", "text", "_spans"), run, "doc_id long, text string, n_lines long, n_deleted long")
 
 
 def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """docs with repeated passages deleted; a document of which nothing is left goes."""
-    at = docs.columns.index("text")
+    joined, added = _joined(docs, words)
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, keep = [], []
-            for t, spans in zip(b.column(at).cast(pa.large_binary()).to_pylist(), column(b, "_spans").to_pylist()):
+            for t, spans in zip(b.column(at).cast(pa.large_binary()).to_pylist(), column(b, added).to_pylist()):
                 left = cut(t, [(s["a"], s["b"]) for s in spans])[0] if t and spans else t
                 texts.append(left)
                 keep.append(not (spans and not left.strip(_STRIP)))
-            arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(arrays, docs.columns).filter(pa.array(keep, pa.bool_()))
+            arrays = [pa.array(texts, pa.binary()).cast(pa.string()) if i == at else b.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays(arrays, names).filter(pa.array(keep, pa.bool_()))
 
-    return mapped(_joined(docs, words).select(*[docs[c] for c in docs.columns], "_spans"), run, docs.schema)
+    return mapped(joined, run, docs.schema)

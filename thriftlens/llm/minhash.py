@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, column, components, dropped, in_groups, mapped, raw, written
+from .common import by_key, column, components, dropped, in_groups, mapped, raw, unused_name, written
 from .shingles import mix, shingle_set, shingles, word_runs
 
 
@@ -204,8 +204,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
 def first_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """docs without the near-duplicates: the document with the least id of each component stays, once."""
     found = written(near_duplicates(docs, words, num, den), "near")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone"))
+    name = unused_name(docs, "_gone")
+    gone = found.where("not kept").select(F.col("doc_id").alias(name))
     repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     # a merge join at every size: what goes grows with the corpus
-    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
     return left.dropDuplicates(["doc_id"]) if repeated else left

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, written
+from .common import WORD, unused_name, written
 
 FAN = 48
 WEIGHTS = (5, 2, 1)
@@ -128,11 +128,12 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken."""
-    d = written(decisions(docs, weights, share, most).select(F.col("doc_id").alias("_id"), F.col("rep").alias("_rep"), F.col("copies").alias("_copies")), "decided")
-    rows, on = docs, F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    if d.where("_rep > 1").limit(1).count():
+    id_, rep, copies, nth, copy = (unused_name(docs, n) for n in ("_id", "_rep", "_copies", "_nth", "_copy"))
+    d = written(decisions(docs, weights, share, most).select(F.col("doc_id").alias(id_), F.col("rep").alias(rep), F.col("copies").alias(copies)), "decided")
+    rows, on = docs, F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+    if d.where(F.col(rep) > 1).limit(1).count():
         words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        rows = docs.withColumn("_nth", F.row_number().over(W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("source"), words)))
-        on = on & (F.col("_nth") == F.col("_rep"))
-    taken = rows.join(d.where("_copies > 0").hint("merge"), on).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("_copies"))))
-    return taken.select(*[rows[c] for c in docs.columns])
+        rows = docs.withColumn(nth, F.row_number().over(W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("source"), words)))
+        on = on & (F.col(nth) == F.col(rep))
+    taken = rows.join(d.where(F.col(copies) > 0).hint("merge"), on).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies))))
+    return taken.select(*docs.columns)
