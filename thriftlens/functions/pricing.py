@@ -58,32 +58,53 @@ def per_million(costs: DataFrame) -> DataFrame:
     return rows.select("model", (i * PER_TOKEN).alias("input"), (o * PER_TOKEN).alias("output"), F.coalesce("provider", F.lit("unknown")).alias("provider"))
 
 
-def resolved(models: DataFrame, override: DataFrame | None = None) -> DataFrame:
-    """model, input, output, provider of each distinct model that has a price.
+def row_of(model: Column) -> Column:
+    """Which row of the table (from 1) prices a model, or null: an equal name, else the first of which either begins with the other."""
+    names = F.array(*[F.lit(p[0]) for p in PRICES])
+    begins = F.transform(names, lambda known: model.startswith(known) | known.startswith(model))
+    found = F.coalesce(F.nullif(F.array_position(names, model), F.lit(0)), F.nullif(F.array_position(begins, True), F.lit(0)))
+    return F.when(model.isNotNull(), found).cast("int")
+
+
+def cheapest_of(provider: Column) -> Column:
+    """The cheapest model of a provider, or null."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CHEAPEST for x in pair]), provider)
+
 
-    An override's row goes first, then an equal name, then the first row of the table (by its order) of which
-    either name begins with the other. The table has 29 rows, so it is broadcast to the distinct models.
+def priced(df: DataFrame, override: DataFrame | None = None) -> DataFrame:
+    """df (model, ...) with input, output, provider, cheapest and cheapest_input, null where unknown.
+
+    The table is 29 constants, so the price is an expression on the row and nothing is joined. The rows of an
+    override (model, input, output, provider) go first; they are joined.
     """
-    spark = models.sparkSession
-    wanted = models.select("model").where("model is not null").distinct()
-    table = prices(spark)
-    match = F.col("model").startswith(F.col("known")) | F.col("known").startswith(F.col("model"))
-    rank = F.struct((F.col("model") != F.col("known")).alias("inexact"), "ord")
-    own = wanted.join(F.broadcast(table), match).groupBy("model").agg(F.min_by(F.struct("input", "output", "provider"), rank).alias("p"))
+    known, cheap = {p[0]: p[1] for p in PRICES}, dict(CHEAPEST)
+    columns = {
+        "input": [p[1] for p in PRICES], "output": [p[2] for p in PRICES], "provider": [p[3] for p in PRICES],
+        "cheapest": [cheap[p[3]] for p in PRICES], "cheapest_input": [known[cheap[p[3]]] for p in PRICES],
+    }
+    df = df.withColumn("_row", row_of(F.col("model")))
+    df = df.select("*", *[F.try_element_at(F.array(*[F.lit(v) for v in values]), F.col("_row")).alias(name) for name, values in columns.items()]).drop("_row")
     if override is None:
-        return own.select("model", "p.input", "p.output", "p.provider")
-    first = wanted.join(override.select("model", F.struct("input", "output", "provider").alias("o")), "model")
-    both = wanted.join(own, "model", "left").join(first, "model", "left").withColumn("p", F.coalesce("o", "p")).where("p is not null")
-    return both.select("model", "p.input", "p.output", "p.provider")
+        return df
+    own = override.dropDuplicates(["model"])
+    first = own.select(F.col("model").alias("_model"), *[F.col(c).alias(f"_{c}") for c in ("input", "output", "provider")])
+    df = df.join(first, F.col("model") == F.col("_model"), "left")
+    df = df.withColumns({c: F.coalesce(f"_{c}", c) for c in ("input", "output", "provider")}).drop("_model", "_input", "_output", "_provider")
+    df = df.withColumn("cheapest", cheapest_of(F.col("provider")))
+    table = F.create_map(*[F.lit(x) for m in cheap.values() for x in (m, known[m])])
+    again = own.select(F.col("model").alias("_model"), F.col("input").alias("_input"))
+    df = df.join(again, F.col("cheapest") == F.col("_model"), "left")
+    return df.withColumn("cheapest_input", F.coalesce("_input", F.try_element_at(table, F.col("cheapest")))).drop("_model", "_input")
+
+
+def resolved(models: DataFrame, override: DataFrame | None = None) -> DataFrame:
+    """model, input, output, provider of each distinct model that has a price."""
+    return with_cheapest(models, override).select("model", "input", "output", "provider")
 
 
 def with_cheapest(models: DataFrame, override: DataFrame | None = None) -> DataFrame:
-    """model, input, output, provider, cheapest, cheapest_input: null where a provider has no cheapest model."""
-    spark = models.sparkSession
-    own = resolved(models, override)
-    cheap = cheapest(spark)
-    priced = resolved(cheap.select(F.col("cheapest").alias("model")), override).select(F.col("model").alias("cheapest"), F.col("input").alias("cheapest_input"))
-    return own.join(F.broadcast(cheap), "provider", "left").join(F.broadcast(priced), "cheapest", "left").select("model", "input", "output", "provider", "cheapest", "cheapest_input")
+    """resolved() with cheapest and cheapest_input, null where a provider has no cheapest model."""
+    return priced(models.select("model").where("model is not null").distinct(), override).where("input is not null")
 
 
 def cost(input_tokens: Column, output_tokens: Column, input_price: Column, output_price: Column) -> Column:

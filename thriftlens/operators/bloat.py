@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from thriftlens.functions import text
 from thriftlens.operators.tables import Tables, finding, plural
+from thriftlens.storage import written
 
 
 def overlap_pairs(t: Tables) -> DataFrame:
@@ -19,21 +20,27 @@ def overlap_pairs(t: Tables) -> DataFrame:
     responses with each other, is not joined; the few pairs found are then measured on all their lines.
     """
     most = t.config.stale_overlap
-    long = t.messages.where((F.col("role") == "tool") & (F.length(text.text("content")) > most))
-    sets = long.select("session_id", "idx", text.shared_lines("content").alias("lines"))
-    sets = sets.where(F.aggregate("lines", F.lit(0), lambda n, x: n + F.length(x)) > most)
-    lines = sets.select("session_id", "idx", F.explode("lines").alias("line"))
-    often = lines.groupBy("session_id", "line").agg(F.count("*").alias("often")).where("often > 1")
-    shared = lines.join(often, ["session_id", "line"])
-    upto = F.sum(F.length("line")).over(W.partitionBy("session_id", "idx").orderBy(F.desc("often"), "line").rowsBetween(W.unboundedPreceding, 0))
-    deciding = shared.withColumn("upto", upto).where(F.col("upto") > most).select("session_id", "idx", F.xxhash64("line").alias("key"))
+    lines = _hashed_lines(t)
+    one = ["session_id", "h1", "h2"]
+    often = lines.withColumn("often", F.count("*").over(W.partitionBy(*one))).where("often > 1")
+    upto = F.sum("n").over(W.partitionBy("session_id", "idx").orderBy(F.desc("often"), "h1", "h2").rowsBetween(W.unboundedPreceding, 0))
+    deciding = often.withColumn("upto", upto).where(F.col("upto") > most).select("session_id", "idx", "h1", "h2")
     a, b = deciding.withColumnRenamed("idx", "i"), deciding.withColumnRenamed("idx", "j")
-    pairs = a.join(b, ["session_id", "key"]).where("i < j").select("session_id", "i", "j").distinct()
-    left = sets.select("session_id", F.col("idx").alias("i"), F.col("lines").alias("x"))
-    right = sets.select("session_id", F.col("idx").alias("j"), F.col("lines").alias("y"))
-    both = pairs.join(left, ["session_id", "i"]).join(right, ["session_id", "j"])
-    size = F.aggregate(F.array_intersect("x", "y"), F.lit(0).cast("long"), lambda n, x: n + F.length(x))
-    return both.select("session_id", "i", "j", size.alias("overlap")).where(F.col("overlap") > most)
+    pairs = a.join(b, one).where("i < j").select("session_id", "i", "j").distinct()
+    left, right = lines.withColumnRenamed("idx", "i"), lines.drop("n").withColumnRenamed("idx", "j")
+    both = pairs.join(left, ["session_id", "i"]).join(right, [*one, "j"])
+    return both.groupBy("session_id", "i", "j").agg(F.sum("n").alias("overlap")).where(F.col("overlap") > most)
+
+
+def _hashed_lines(t: Tables) -> DataFrame:
+    """session_id, idx, h1, h2, n: hash and length of each distinct line of each long tool response.
+
+    Written as a table: texts are read once, and what is joined after that is 40 bytes a line.
+    """
+    most = t.config.stale_overlap
+    long = t.messages.where((F.col("role") == "tool") & (F.length(text.text("content")) > most))
+    each = long.select("session_id", "idx", F.explode(text.shared_lines("content")).alias("line"))
+    return written(each.select("session_id", "idx", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").cast("long").alias("n")), "lines")
 
 
 def stale(t: Tables) -> DataFrame:
@@ -69,18 +76,36 @@ def unused_tools(t: Tables) -> DataFrame:
     return unused(t).select(*finding(2, "context_bloat", n * t.config.unused_tool_tokens, n, said, 0.7))
 
 
-def overhead(t: Tables, found: DataFrame) -> DataFrame:
-    """Long sessions in which the other findings explain less than half of the usual overhead."""
+def _noise(t: Tables) -> DataFrame:
+    """session_id, message_count, noise of long sessions that have messages."""
     c = t.config
-    nonempty = t.messages.select("session_id").distinct()
     noise = F.floor(F.col("input_tokens") * F.lit(c.noise)).cast("long")
-    long = t.sessions.where(F.col("message_count") > c.long_session).select("session_id", "message_count", noise.alias("noise")).join(nonempty, "session_id", "left_semi")
-    other = found.groupBy("session_id").agg(F.sum("tokens_wasted").alias("known"))
-    open_ = long.join(other, "session_id", "left").where(F.col("known").isNull() | (F.col("known") < F.col("noise") * F.lit(c.noise_gate)))
+    long = t.sessions.where(F.col("message_count") > c.long_session).select("session_id", "message_count", noise.alias("noise"))
+    return long.join(t.messages.select("session_id"), "session_id", "left_semi")
+
+
+def _overhead(t: Tables) -> list:
     said = F.format_string("the session has %d messages, of which about a quarter is overhead; start afresh now and then", "message_count")
-    return open_.select(*finding(3, "context_bloat", F.col("noise"), F.col("message_count"), said, 0.4))
+    return finding(3, "context_bloat", F.col("noise"), F.col("message_count"), said, 0.4)
+
+
+def _unexplained(t: Tables):
+    return F.col("known").isNull() | (F.col("known") < F.col("noise") * F.lit(t.config.noise_gate))
+
+
+def overhead(t: Tables, found: DataFrame) -> DataFrame:
+    """Long sessions in which the other findings explain less than half of the usual overhead."""
+    other = found.groupBy("session_id").agg(F.sum("tokens_wasted").alias("known"))
+    return _noise(t).join(other, "session_id", "left").where(_unexplained(t)).select(*_overhead(t))
 
 
 def detect(t: Tables) -> DataFrame:
+    """All four; the last is decided where a session's other findings meet, so that they are computed once."""
     found = stale(t).unionByName(oversized(t)).unionByName(unused_tools(t))
-    return found.unionByName(overhead(t, found))
+    row = F.struct(*found.columns)
+    per = found.groupBy("session_id").agg(F.collect_list(row).alias("found"), F.sum("tokens_wasted").alias("known"))
+    both = per.join(_noise(t), "session_id", "full_outer")
+    more = F.when(F.col("noise").isNotNull() & _unexplained(t), F.array(F.struct(*_overhead(t))))
+    none = F.array().cast(per.schema["found"].dataType)
+    each = both.select(F.explode(F.concat(F.coalesce("found", none), F.coalesce(more, none))).alias("f"))
+    return each.select("f.*")

@@ -17,26 +17,52 @@ def exact_groups(t: Tables) -> DataFrame:
     return with_response_tokens(groups, t.messages, t.config.default_response).withColumn("wasted", (F.col("n") - 1) * F.col("resp"))
 
 
-def exact(t: Tables) -> DataFrame:
-    first = F.struct("wasted", -F.col("first_pos.idx"), -F.col("first_pos.call_pos"))
-    per = exact_groups(t).groupBy("session_id").agg(F.sum("wasted").alias("w"), F.count("*").alias("g"), F.max_by(F.struct("name", "n"), first).alias("top"))
+def _per_tool(t: Tables) -> DataFrame:
+    """session_id, name, calls, first_pos, resp, groups (n, first_pos of calls with equal arguments, twice or more)."""
+    calls = t.tool_calls().withColumn("norm_args", text.canonical_arguments("arguments"))
+    groups = calls.groupBy("session_id", "name", "norm_args").agg(F.count("*").alias("n"), F.min(F.struct("idx", "call_pos")).alias("first_pos"))
+    tools = groups.groupBy("session_id", "name").agg(F.sum("n").alias("calls"), F.min("first_pos").alias("first_pos"), F.collect_list(F.when(F.col("n") >= 2, F.struct("n", "first_pos"))).alias("groups"))
+    return with_response_tokens(tools, t.messages, t.config.default_response)
+
+
+def _per_session(t: Tables) -> DataFrame:
+    """session_id and what both findings need, from one pass over the calls."""
+    c = t.config
+    order = W.partitionBy("session_id").orderBy(F.desc("calls"), "first_pos")
+    tools = _per_tool(t).withColumn("r", F.row_number().over(order))
+    wasted = F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + (g["n"] - 1) * F.col("resp"))
+    top = F.array_max(F.transform("groups", lambda g: F.struct(((g["n"] - 1) * F.col("resp")).alias("w"), (-g["first_pos"]["idx"]).alias("i"), (-g["first_pos"]["call_pos"]).alias("p"), F.col("name").alias("name"), g["n"].alias("n"))))
+    high = F.col("calls") >= c.near_calls
+    best = high & (F.col("r") <= c.near_names)
+    near = F.floor((F.col("calls") - 1) * F.col("resp") * F.lit(c.near_share)).cast("long")
+    return tools.groupBy("session_id").agg(
+        F.sum(wasted).alias("w"), F.sum(F.size("groups")).cast("long").alias("g"), F.max(top).alias("top"),
+        F.sum(F.when(best, near)).alias("near_w"), F.sum(F.when(high, F.col("calls"))).alias("near_n"),
+        F.sort_array(F.collect_list(F.when(best, F.struct("r", "name", "calls")))).alias("named"),
+    )
+
+
+def _exact() -> list:
     said = F.format_string("%s was called %d times with the same arguments (%d repeated %s in all)", "top.name", "top.n", "g", plural(F.col("g"), "call", "calls"))
-    return per.select(*finding(0, "duplicate_tool_calls", F.col("w"), F.col("g"), said, 0.95))
+    return finding(0, "duplicate_tool_calls", F.col("w"), F.col("g"), said, 0.95)
+
+
+def _near() -> list:
+    named = F.array_join(F.transform("named", lambda x: F.format_string("%s (%d times)", x["name"], x["calls"])), ", ")
+    said = F.concat(F.lit("the same tools were called again and again with other arguments: "), named, F.lit("; about 30% of that is likely redundant"))
+    return finding(1, "near_duplicate_tool_calls", F.col("near_w"), F.col("near_n"), said, 0.5)
+
+
+def exact(t: Tables) -> DataFrame:
+    return _per_session(t).where("g > 0").select(*_exact())
 
 
 def near(t: Tables) -> DataFrame:
-    c = t.config
-    names = t.tool_calls().groupBy("session_id", "name").agg(F.count("*").alias("n"), F.min(F.struct("idx", "call_pos")).alias("first_pos")).where(F.col("n") >= c.near_calls)
-    order = W.partitionBy("session_id").orderBy(F.desc("n"), "first_pos")
-    ranked = with_response_tokens(names, t.messages, c.default_response).withColumn("r", F.row_number().over(order))
-    top = F.col("r") <= c.near_names
-    wasted = F.floor((F.col("n") - 1) * F.col("resp") * F.lit(c.near_share)).cast("long")
-    named = F.transform(F.sort_array(F.collect_list(F.when(top, F.struct("r", "name", "n")))), lambda x: F.format_string("%s (%d times)", x["name"], x["n"]))
-    per = ranked.groupBy("session_id").agg(F.sum(F.when(top, wasted)).alias("w"), F.sum("n").alias("all"), named.alias("named")).where("w > 0")
-    repeated = t.tool_calls().withColumn("norm_args", text.canonical_arguments("arguments")).groupBy("session_id", "name", "norm_args").count().where("count >= 2").select("session_id").distinct()
-    said = F.concat(F.lit("the same tools were called again and again with other arguments: "), F.array_join("named", ", "), F.lit("; about 30% of that is likely redundant"))
-    return per.join(repeated, "session_id", "left_anti").select(*finding(1, "near_duplicate_tool_calls", F.col("w"), F.col("all"), said, 0.5))
+    """Only where no calls have equal arguments."""
+    return _per_session(t).where("g = 0 and near_w > 0").select(*_near())
 
 
 def detect(t: Tables) -> DataFrame:
-    return exact(t).unionByName(near(t))
+    """A session has one of the two."""
+    one = F.when(F.col("g") > 0, F.struct(*_exact())).when(F.col("near_w") > 0, F.struct(*_near()))
+    return _per_session(t).select(one.alias("f")).where("f is not null").select("f.*")

@@ -13,11 +13,11 @@ from thriftlens.operators.tables import Tables, finding, plural
 def expensive_sessions(t: Tables) -> DataFrame:
     """session_id, model, input, cheapest, cheapest_input of sessions on a model with a cheaper equivalent.
 
-    Prices are looked up for distinct models, before any message is read.
+    Prices are an expression on the session's row, so sessions are sorted out before any message is read.
     """
-    known = pricing.with_cheapest(t.sessions.where("model <> 'unknown'"), t.prices)
-    models = known.where((F.col("input") > t.config.expensive) & (F.col("input") - F.col("cheapest_input") > 0))
-    return t.sessions.select("session_id", "model").join(models.select("model", "input", "cheapest", "cheapest_input"), "model")
+    known = pricing.priced(t.sessions.where("model <> 'unknown'").select("session_id", "model"), t.prices)
+    saves = (F.col("input") > t.config.expensive) & (F.col("input") - F.col("cheapest_input") > 0)
+    return known.where(saves).select("session_id", "model", "input", "cheapest", "cheapest_input")
 
 
 def answered(messages: DataFrame, config) -> DataFrame:
