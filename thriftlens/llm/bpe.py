@@ -7,7 +7,7 @@ token is tried, or the last token is taken back. Each position fails at most onc
 result is the one exact merge order gives. Compatibility of a pair is read off the merge table: it holds
 unless some merge across the seam comes before the merges that made the two sides; answers are remembered.
 
-Pieces repeat, so each Python worker remembers the ids of a bounded number of pieces.
+Words repeat, so each Python worker remembers the ids of a bounded number of them (see wordcache).
 
 Decoding lays all token bytes end to end with a table of offsets; a document's ids then select byte ranges.
 
@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, mapped, raw
+from .wordcache import ODD, WordCache, plain, spread
 
 #: Fixed by the tokenizer's public format: how a byte-level pre-tokenizer cuts a text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _EXACT = regex.compile(PIECES)
-#: The same for texts in which word characters are letters, digits 0-9 or "_" only: no marks, no other numerals.
+#: The same for plain texts: no marks, no numerals but 0-9.
 _PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Beyond Latin-1 and Latin Extended-A, and for Latin-1's own fractions and superscripts and white space, use _EXACT.
-_ODD = re.compile("[\x1c-\x1f\x85\xa0\xaa\xb2\xb3\xb9\xba\xbc-\xbeƀ-\U0010ffff]")
-REMEMBERED = 400_000
+#: Compatible and incompatible pairs, and pieces of rarer texts, that a worker remembers at most.
+PAIRS, REMEMBERED = 500_000, 50_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -49,7 +49,7 @@ def byte_letters() -> dict[str, int]:
 
 
 def pieces(text: str) -> list[str]:
-    return (_EXACT if _ODD.search(text) else _PLAIN).findall(text)
+    return (_EXACT if ODD.search(text) else _PLAIN).findall(text)
 
 
 class Vocabulary:
@@ -98,7 +98,9 @@ class Vocabulary:
         self.all_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
         self.split_at = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._fits: dict[int, bool] = {}
-        self._known: dict[str, tuple[bytes, str]] = {}
+        self._known: dict[str, list[int]] = {}
+        self.decimal = [str(i) for i in range(size)]
+        self.words = WordCache(self._ask)
 
     def fits(self, a: int, b: int) -> bool:
         """Whether BPE leaves tokens a and b side by side."""
@@ -106,7 +108,7 @@ class Vocabulary:
         known = self._fits.get(key)
         if known is None:
             known = self._fits[key] = self._seam(a, b)
-            if len(self._fits) > 4 * REMEMBERED:
+            if len(self._fits) > PAIRS:
                 self._fits.clear()
         return known
 
@@ -168,45 +170,43 @@ class Vocabulary:
                 token = self.shorter[token]
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        for p in new:
-            ids = self.encode_piece(p.encode().decode("latin-1"))
-            self._known[p] = (np.array(ids, np.int32).tobytes(), ",".join(map(str, ids)))
-
-    def encode(self, text: str) -> tuple[np.ndarray, str]:
-        """Ids of a text, and the same in decimal with commas."""
-        if self.split_at and self.split_at.search(text):
-            parts = [p for p in self.split_at.split(text) if p]
-        else:
-            parts = [text] if text else []
-        raw_ids, decimal, known = [], [], self._known
+    def _piece(self, p: str) -> list[int]:
+        return self.encode_piece(p.encode().decode("latin-1"))
+
+    def _ask(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of words of plain texts, end to end, and how many each has."""
+        lists = [[i for p in _PLAIN.findall(w.decode()) for i in self._piece(p)] for w in words]
+        return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
+
+    def encode(self, text: str) -> np.ndarray:
+        """ids of any text."""
+        parts = [p for p in self.split_at.split(text) if p] if self.split_at else [text]
+        out: list[int] = []
         for part in parts:
             if part in self.special:
-                i = self.special[part]
-                raw_ids.append(np.int32(i).tobytes())
-                decimal.append(str(i))
+                out.append(self.special[part])
                 continue
-            cut = pieces(part)
-            new = [p for p in set(cut) if p not in known]
-            if new:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                    new = list(set(cut))
-                self._learn(new)
-            got = [known[p] for p in cut]
-            raw_ids += [g[0] for g in got]
-            decimal += [g[1] for g in got]
-        return np.frombuffer(b"".join(raw_ids), np.int32), ",".join(decimal)
+            for p in pieces(part):
+                ids = self._known.get(p)
+                if ids is None:
+                    if len(self._known) >= REMEMBERED:
+                        self._known.clear()
+                    ids = self._known[p] = self._piece(p)
+                out += ids
+        return np.array(out, np.int32)
+
+    def encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
+        """ids of texts: plain ones word by word, others piece by piece."""
+        usual = [i for i, t in enumerate(texts) if t and plain(t) and not any(s.encode() in t for s in self.special)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        for i, ids in zip(usual, self.words.ids_of([texts[i] for i in usual])):
+            out[i] = ids
+        return [self.encode(t.decode("utf-8", "replace")) if ids is None else ids for t, ids in zip(texts, out)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of a sequence of ids."""
-        begin, end = self.offsets[ids], self.offsets[ids + 1]
-        n = end - begin
-        if not len(ids):
-            return b""
-        at = np.repeat(begin - (np.cumsum(n) - n), n)
-        at += np.arange(len(at))
-        return self.all_bytes[at].tobytes()
+        begin = self.offsets[ids]
+        return self.all_bytes[spread(begin, self.offsets[ids + 1] - begin)].tobytes()
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -225,21 +225,20 @@ def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for b in batches:
-            n, ids_hash, text_hash, kept = [], [], [], []
-            for t in raw(b):
-                ids, decimal = v.encode((t or b"").decode("utf-8", "replace"))
+            n, ids_hash, text_hash = [], [], []
+            kept = v.encode_all([t or b"" for t in raw(b)])
+            for ids in kept:
                 n.append(len(ids))
-                ids_hash.append(hashlib.sha256(decimal.encode()).hexdigest())
+                ids_hash.append(hashlib.sha256(",".join(map(v.decimal.__getitem__, ids.tolist())).encode()).hexdigest())
                 h = hashlib.sha256()
                 for begin in range(0, len(ids), 1 << 18):
                     h.update(v.decode(ids[begin : begin + (1 << 18)]))
                 text_hash.append(h.hexdigest())
-                if with_ids:
-                    kept.append(ids)
             arrays = [column(b, "doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                arrays.append(pa.array(kept, pa.list_(pa.int32())))
+                flat = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]).astype(np.int32)), pa.array(flat)))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 

@@ -27,47 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .bpe import _ODD
-from .common import column, in_groups, mapped, raw, shared_dir, small_batches, written
-from .shingles import _BYTE, _PLACE, mix
+from .common import column, mapped, raw, shared_dir, small_batches, written
+from .wordcache import WordCache, plain, spread
 
 END = 2
 
 
-#: Slots of a worker's memory of chunks (a power of 2), and the ids that it holds at most.
-SLOT_BITS, POOL = 21, 1 << 23
-#: What plain() texts don't hold: white space that the pre-tokenizer may join to a neighbour, or rarer characters.
-_RUNS = (b"  ", b"\n ", b" \n", b"\n\n", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
-
-
-def _bytes(chars: bytes) -> np.ndarray:
-    out = np.zeros(256, bool)
-    out[list(chars)] = True
-    return out
-
-
-_SPACE, _STOP, _LETTER = _bytes(b" \n"), _bytes(b".,;:!?"), _bytes(bytes([*range(65, 91), *range(97, 123)]))
-
-
-def plain(text: bytes) -> bool:
-    return not any(r in text for r in _RUNS) and (text.isascii() or not _ODD.search(text.decode("utf-8", "replace")))
-
-
-def chunk_starts(b: np.ndarray) -> np.ndarray:
-    """Where a plain() text (its bytes, closed by a line break) can be cut without cutting a piece.
-
-    A byte-level pre-tokenizer's pieces begin with a space or hold none, a line break is a piece of its own, and
-    so is a stop between a letter and white space.
-    """
-    cut = _SPACE[b]
-    cut[1:] |= b[:-1] == 10
-    cut[1:-1] |= _STOP[b[1:-1]] & _LETTER[b[:-2]] & _SPACE[b[2:]]
-    cut[:1] = True
-    return np.flatnonzero(cut)
-
-
 class Encoder:
-    """The library's ids of texts. A chunk's ids are remembered under its 64-bit hash, in slots that are overwritten."""
+    """The library's ids of texts."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,12 +46,7 @@ class Encoder:
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
-        self.at, self.length = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
-        self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        self.words = WordCache(self.ask)
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -117,39 +79,6 @@ class Encoder:
         flat = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         return flat[spread(at, n)], n
 
-    def plain_ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """ids of plain() texts, end to end, and how many each has."""
-        if self.used > POOL:
-            self.forget()
-        buffer = b"\n".join(texts) + b"\n"
-        b = np.frombuffer(buffer, np.uint8)
-        starts = chunk_starts(b)
-        lengths = np.diff(np.append(starts, len(b)))
-        hashes = hashed(b, starts, lengths)
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-        at, n = self.at[slot].astype(np.int64), self.length[slot].astype(np.int64)
-        missing = np.flatnonzero(self.keys[slot] != hashes)
-        if len(missing):
-            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            where = missing[first]
-            ids, count = self.ask([buffer[x : x + k] for x, k in zip(starts[where].tolist(), lengths[where].tolist())])
-            base = self.used
-            self.add(ids)
-            place = base + np.cumsum(count) - count
-            at[missing], n[missing] = place[which], count[which]
-            s = slot[where]
-            self.keys[s], self.at[s], self.length[s] = new, place, count
-        n[np.searchsorted(starts, ends - 1)] = 0  # the line breaks that close the texts
-        per_text = np.add.reduceat(n, np.searchsorted(starts, ends - np.array([len(t) + 1 for t in texts])))
-        return self.pool[spread(at, n)], per_text
-
-    def add(self, ids: np.ndarray) -> None:
-        if self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
         odd, usual = [], []
@@ -158,28 +87,11 @@ class Encoder:
                 (usual if plain(t) and not any(s in t for s in self.special) else odd).append(i)
         for i, ids in zip(odd, self.whole([texts[i].decode("utf-8", "replace") for i in odd])):
             out[i] = ids
-        for begin, end in in_groups([len(texts[i]) for i in usual], 1 << 20):
-            at = usual[begin:end]
-            ids, n = self.plain_ids([texts[i] for i in at])
-            for i, part in zip(at, np.split(ids, np.cumsum(n)[:-1])):
-                out[i] = part
+        for i, ids in zip(usual, self.words.ids_of([texts[i] for i in usual])):
+            out[i] = ids
         return out
 
 
-def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The places at, at + 1, ... of runs of n."""
-    out = np.repeat(at - (np.cumsum(n) - n), n)
-    out += np.arange(len(out))
-    return out
-
-
-def hashed(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    place = np.arange(len(b)) - np.repeat(starts, lengths)
-    value = _BYTE[b]
-    value *= _PLACE[place & (len(_PLACE) - 1)]
-    return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-
-
 _LOADED: dict[str, Encoder] = {}
 
 
