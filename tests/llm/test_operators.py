@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from thriftlens.llm.common import components
 from thriftlens.llm import ann, bpe, chat, embdedup, langid, linededup, minhash, mixing, queries, sharding, tokenout, wordcache
 
 from .conftest import rows
@@ -21,6 +22,19 @@ def test_sql(agrees):
         agrees(queries.QUERIES[name], sql)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
+    import random
+
+    r = random.Random(few)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)] + [(7, 7)]
+    sets = {i: i for x in links for i in x if x[0] != x[1]}
+    pairs = {frozenset(x) for x in links}
+    want = least_linked(sets, lambda a, b: frozenset((a, b)) in pairs)
+    out = components(spark.createDataFrame(links, "a long, b long"), few=few).collect()
+    assert len(out) == len(want) and {x["node"]: x["comp"] for x in out} == want
+
+
 # --- 1 sharding
 
 
@@ -270,7 +284,7 @@ def good(v):
     return v is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v)
 
 
-@pytest.mark.parametrize("cell,block", [(40, 32), (512, 1024)])
+@pytest.mark.parametrize("cell,block", [(40, 512), (512, 1 << 18)])
 def test_near_vectors(spark, cell, block):
     df = vectors(spark)
     rows_ = df.collect()
@@ -279,7 +293,7 @@ def test_near_vectors(spark, cell, block):
     links = lambda a, b: a[0] == b[0] and len(a[1]) == len(b[1]) and a[1] @ b[1] >= 0.93
     comp = least_linked(unit, links)
     n = {i: sum(links(unit[i], unit[j]) for j in unit if j != i) for i in unit}
-    out = embdedup.near_vectors(df, 0.93, cell=cell, block=block).collect()
+    out = embdedup.near_vectors(df, 0.93, cell=cell, block_values=block).collect()
     assert len(out) == len(rows_) and sum(n.values()) > 1000
     for r in out:
         i = r["vec_id"]

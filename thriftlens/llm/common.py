@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -120,11 +121,27 @@ def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker outlives its task, and many kinds of task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def mapped(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches bounded by bytes."""
     small_batches(df.sparkSession)
     importable(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def unused_name(df: DataFrame, name: str) -> str:
@@ -135,14 +152,39 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Links that one task takes at most (16 MB); larger graphs are worked on by all.
+FEW_LINKS = 1_000_000
+
+
+def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the least node of each one's component) of links u, v."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        # a link lowers both ends and the nodes that stand for them
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, least)
+        while not np.array_equal(again := new[new], new):
+            new = again
+        if np.array_equal(new, label):
+            return nodes, nodes[label]
+        label = new
+
+
+def components(edges: DataFrame, few: int = FEW_LINKS, most_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b): rows (node, comp), comp the smallest node of each.
 
     Alternating large-star and small-star steps: edges are rewired to the least neighbour until a round
-    changes nothing. Nodes without a link don't appear. Every step's minima are written first, so that the
-    join with them has exchanges on both sides and Spark can split a node that has very many links.
+    changes nothing, or until so few are left that one task can finish them. Nodes without a link don't
+    appear. Every step's minima are written first, so that the join with them has exchanges on both sides and
+    Spark can split a node that has very many links.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    if e.count() <= few:
+        return _finished(e)
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -161,3 +203,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def _finished(e: DataFrame) -> DataFrame:
+    """components() of a table of few links (u, v), in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(column(b, "u").to_numpy(), column(b, "v").to_numpy()) for b in batches if b.num_rows]
+        if held:
+            nodes, comp = least_reached(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            for i in range(0, len(nodes), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 50_000]), pa.array(comp[i : i + 50_000])], ["node", "comp"])
+
+    return written(mapped(e.repartition(1), run, "node long, comp long"), "components")

@@ -35,7 +35,7 @@ from .shingles import mix, shingle_set, shingles, word_runs
 class Plan:
     """Shape of the tables: r hashes in a half-band, m half-bands in each of two collections."""
 
-    def __init__(self, words: int = 5, num: int = 4, den: int = 5, r: int = 3, m: int = 8, agree: int = 31, block: int = 256):
+    def __init__(self, words: int = 5, num: int = 4, den: int = 5, r: int = 3, m: int = 8, agree: int = 31, block: int = 128):
         self.words, self.num, self.den, self.r, self.m, self.agree, self.block = words, num, den, r, m, agree, block
         self.hashes = 2 * r * m
         rng = np.random.default_rng(5)
