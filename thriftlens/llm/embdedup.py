@@ -9,7 +9,7 @@ linked pair meets in the home cell of one of the two: no link is lost at a cell'
 Equal vectors of a label are one class first (an aggregate with a map-side part), so thousands of copies cost
 one row. A cell's rows are dealt into blocks; each pair of blocks is one cosine product in double precision,
 which gives counts and a spanning forest, never pairs. So a cell of any size is compared whole, with memory
-bounded by two blocks. Centroids are fitted on a bounded sample (`sample` vectors in all) and number at most
+bounded by two blocks of `block_values` numbers. Centroids are fitted on a bounded sample (`sample` vectors in all) and number at most
 `most_cells`, which bounds what is broadcast; beyond that cells grow and have more blocks.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite parts, and one without a label,
@@ -162,11 +162,11 @@ def compare(t: pa.Table, cell: int, threshold: float) -> tuple[np.ndarray, np.nd
     return ids, m, count, forest
 
 
-def linked(classes: DataFrame, threshold: float, cell: int, sample: int, most_cells: int, block: int) -> DataFrame:
+def linked(classes: DataFrame, threshold: float, cell: int, sample: int, most_cells: int, block_values: int) -> DataFrame:
     """kind, a, b: link counts b of class a (kind 0) and links between classes a and b (kind 1)."""
     cells = fit_cells(classes, cell, sample, most_cells)
     rows = written(dealt(classes, cells, threshold), "dealt")
-    blocks = written(rows.groupBy("lab", "dim", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "blocks")
+    blocks = written(rows.groupBy("lab", "dim", "cell").agg(F.ceil(F.count("*") * F.col("dim") / block_values).cast("int").alias("blocks")), "blocks")
     tasks = rows.join(blocks, ["lab", "dim", "cell"]).withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     tasks = tasks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("cid", "m", "own", "visits", "x", "lab", "dim", "cell", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), F.when(F.col("blk") > F.col("other"), 1).otherwise(0).alias("side"))
@@ -184,10 +184,10 @@ def linked(classes: DataFrame, threshold: float, cell: int, sample: int, most_ce
     return written(mapped(tasks.repartition(*key).sortWithinPartitions(*key), run, "kind int, a long, b long"), "linked")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.93, cell: int = 512, sample: int = 20_000, most_cells: int = 8192, block: int = 1024) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.93, cell: int = 512, sample: int = 20_000, most_cells: int = 8192, block_values: int = 1 << 18) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of vectors."""
     rows, classes = classes_of(vectors)
-    found = linked(classes, threshold, cell, sample, most_cells, block)
+    found = linked(classes, threshold, cell, sample, most_cells, block_values)
     counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
     groups = components(found.where("kind = 1").select("a", "b"))
     out = classes.select("h1", "h2", "lab", "cid", "m").join(counts.withColumnRenamed("a", "cid"), "cid", "left").join(groups.withColumnRenamed("node", "cid"), "cid", "left")
