@@ -128,6 +128,51 @@ FROM documents AS d LEFT JOIN (
 ) AS c ON c.doc_id = d.doc_id
 """
 
+_NEAR = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], chr(10))) AS s
+  FROM words, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles AS a JOIN shingles AS b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM common JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, m AS component_id, m = d.doc_id AS kept
+FROM documents AS d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS m FROM reached GROUP BY a) USING (doc_id)
+"""
+
+_NEAR_VECTORS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reached AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reached AS r JOIN links AS l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept
+FROM (SELECT a AS vec_id, min(b) AS m FROM reached GROUP BY a) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)
+"""
+
+_CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS t FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+sized AS (
+  SELECT *, length('### ' || role || ': ' || '</turn>') + 1 + length(regexp_replace(t, '(\\*)(### |</turn>)', '\1\1\\\2', 'g')) + length(t) - length(rtrim(t, '\')) AS n FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(t)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(t, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_minhash": _NEAR,
+    "op5_near_vectors": _NEAR_VECTORS,
+    "op8_chat": _CHAT,
     "op10_line_dedup": _LINE_DEDUP,
 }
