@@ -115,13 +115,13 @@ def train(grams: list[np.ndarray], labels: list[str], seed: int = 7, examples: i
     return model
 
 
-def fit(docs: DataFrame, learn, per_lang: int = 1500, grams: int = 512, seed: int = 7) -> Model | None:
+def fit(docs: DataFrame, learn, per_lang: int = 1500, grams: int = 512, most_langs: int = 200, seed: int = 7) -> Model | None:
     """Fit on rows of docs where `learn` (a Column) holds and lang isn't null; None if there are none.
 
-    per_lang bounds the labelled rows of each language, as many languages as there are.
+    per_lang bounds the labelled rows of each language, and most_langs the languages: the most frequent labels.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     if not counts:
         return None
     share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int((1 << 30) * min(1.0, per_lang / n))))])
