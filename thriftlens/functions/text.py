@@ -14,7 +14,8 @@ from thriftlens.schema import DEFAULT
 #: What str.strip() and str.split() take for white space: Unicode's, and U+001C to U+001F.
 _SPACE = r"[\s\x1C-\x1F]"
 _SPACES = "".join(c for c in map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-_LINE_END = r"\r\n|[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+#: Ends of lines; "\r\n" counts twice, which adds an empty line that nobody counts.
+_LINE_END = r"[\n\x0B\x0C\r\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def text(c: Column | str) -> Column:
