@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from thriftlens.llm.common import components
-from thriftlens.llm import ann, bpe, chat, embdedup, langid, linededup, minhash, mixing, queries, sharding, tokenout, wordcache
+from thriftlens.llm import ann, bpe, chat, embdedup, langid, linededup, minhash, mixing, queries, sharding, shingles, tokenout, wordcache
 
 from .conftest import rows
 
@@ -266,6 +266,14 @@ def test_blocks_of_a_comparison_agree():
     assert sorted(map(tuple, map(sorted, zip(a, b)))) == [(0, 1), (0, 4)]
 
 
+def test_long_words_are_told_apart():
+    a, b, n = b"a" * 4096, b"b" * 4096, 1 << 22
+    one, two = shingles.words(a + b + b" x"), shingles.words(b + a + b" x")
+    assert one[0] != two[0] and one[1] == two[1] and len(shingles.words(b"w " * n)) == n
+    joined = shingles.word_runs([b"p q", b"", b" ", b"r"])
+    assert [len(w) for w in joined] == [2, 0, 0, 1] and joined[3][0] == shingles.words(b"r")[0]
+
+
 # --- 5 vectors
 
 

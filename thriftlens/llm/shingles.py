@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**64 - 1, 256, dtype=np.uint64)
@@ -23,6 +24,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_hashes(b: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes; runs are end to end in b.
+
+    Bytes are weighted by their place; the few runs longer than the table of weights are hashed one by one.
+    """
+    place = np.arange(len(b)) - np.repeat(begins, lengths)
+    weighted = _BYTE[b]
+    weighted *= _PLACE[place & (len(_PLACE) - 1)]
+    out = mix(np.add.reduceat(weighted, begins) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(lengths > len(_PLACE)).tolist():
+        out[i] = xxhash.xxh64_intdigest(b[begins[i] : begins[i] + lengths[i]].tobytes())
+    return out
+
+
 def _piece(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of a text, and where each begins."""
     b = np.frombuffer(text, np.uint8)
@@ -32,12 +47,7 @@ def _piece(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     first = np.ones(len(at), bool)
     first[1:] = np.diff(at) > 1
     begins = np.flatnonzero(first)
-    place = np.arange(len(at)) - np.repeat(begins, np.diff(np.append(begins, len(at))))
-    value = _BYTE[b[at]]
-    value *= _PLACE[place & (len(_PLACE) - 1)]
-    sums = np.add.reduceat(value, begins)
-    lengths = np.diff(np.append(begins, len(at))).astype(np.uint64)
-    return mix(sums + lengths * np.uint64(0x9E3779B97F4A7C15)), at[begins]
+    return run_hashes(b[at], begins, np.diff(np.append(begins, len(at)))), at[begins]
 
 
 def words(text: bytes) -> np.ndarray:

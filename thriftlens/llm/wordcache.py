@@ -14,7 +14,7 @@ from collections.abc import Callable
 import numpy as np
 
 from .common import in_groups
-from .shingles import _BYTE, _PLACE, mix
+from .shingles import run_hashes
 
 #: Beyond Latin-1 and Latin Extended-A, and for Latin-1's own fractions and superscripts and white space, a text isn't plain.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\xaa\xb2\xb3\xb9\xba\xbc-\xbe\u0180-\U0010ffff]")
@@ -70,7 +70,7 @@ class WordCache:
         b = np.frombuffer(buffer, np.uint8)
         starts = chunk_starts(b)
         lengths = np.diff(np.append(starts, len(b)))
-        hashes = hashed(b, starts, lengths)
+        hashes = run_hashes(b, starts, lengths) | np.uint64(1)
         ends = np.cumsum([len(t) + 1 for t in texts])
         slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         at, n = self.at[slot].astype(np.int64), self.length[slot].astype(np.int64)
@@ -109,10 +109,3 @@ def spread(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     out = np.repeat(at - (np.cumsum(n) - n), n)
     out += np.arange(len(out))
     return out
-
-
-def hashed(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    place = np.arange(len(b)) - np.repeat(starts, lengths)
-    value = _BYTE[b]
-    value *= _PLACE[place & (len(_PLACE) - 1)]
-    return mix(np.add.reduceat(value, starts) + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
