@@ -119,6 +119,7 @@ def fit(docs: DataFrame, learn, per_lang: int = 1500, grams: int = 512, most_lan
     """Fit on rows of docs where `learn` (a Column) holds and lang isn't null; None if there are none.
 
     per_lang bounds the labelled rows of each language, and most_langs the languages: the most frequent labels.
+    An id counts once in a task, so a row that is repeated very often doesn't fill the sample.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
@@ -128,11 +129,13 @@ def fit(docs: DataFrame, learn, per_lang: int = 1500, grams: int = 512, most_lan
     picked = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) < share[F.col("lang")])
 
     def of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             out, keys, langs = [], [], []
             for key, text, lang in zip(column(b, "doc_id").to_pylist(), raw(b), column(b, "lang").to_pylist()):
-                if not has_letter(text):
+                if key in seen or not has_letter(text):
                     continue
+                seen.add(key)
                 ids = gram_ids(text)
                 if len(ids) > grams:
                     ids = np.random.default_rng(abs(key) + seed).choice(ids, grams, replace=False)
