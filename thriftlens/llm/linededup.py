@@ -9,6 +9,9 @@ equal windows have the same minimum, so a repeated passage is guaranteed a share
 2. The positions of equal windows are joined with the first of them, in order of (doc_id, line).
 3. Matches that follow each other extend a run both ways; the runs' lines are deleted in all but the first
    place. Where a passage overlaps itself in one document, the first occurrence keeps its lines.
+4. After a repeat's last full window, lines that repeat too stay, as in the SQL. With `ends` they go as well: each
+   line also has the shortest window that ends with it. Every line of a repeated passage is in one that begins or
+   one that ends inside the passage, so the whole passage goes, for one more row a line at most.
 A blank line goes with the line before it. Other lines stay as they are, so a clean text is byte for byte the same.
 
 Windows are hashes and positions: about one row per line, never text. A first occurrence is an aggregate with a
@@ -47,15 +50,19 @@ def line_hashes(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, counts
 
 
-def windows(hashes: np.ndarray, counts: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+def windows(hashes: np.ndarray, counts: np.ndarray, words: int, ends: bool = False) -> tuple[np.ndarray, ...]:
     """begin, end (both included), fingerprint and its line, and a 128-bit content hash of every window.
 
-    Every line has words here.
+    Every line has words here. With `ends`, also each line's shortest window that ends with it.
     """
     total = np.concatenate([[0], np.cumsum(counts)])
     end = np.searchsorted(total, total[:-1] + words) - 1  # the line with which a window is full
     begin = np.flatnonzero(end < len(counts))
     end = end[begin]
+    if ends and len(begin):
+        last = np.arange(end[0], len(counts))
+        both = np.stack([np.concatenate([begin, np.searchsorted(total, total[last + 1] - words, "right") - 1]), np.concatenate([end, last])], 1)
+        begin, end = np.unique(both, axis=0).T
     if not len(begin):
         z = np.zeros(0, np.uint64)
         return begin, end, z, begin, z, z
@@ -83,7 +90,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def window_rows(docs: DataFrame, words: int) -> DataFrame:
+def window_rows(docs: DataFrame, words: int, ends: bool = False) -> DataFrame:
     """doc, a, b (numbers of the first and last line), fp and its line p, w1, w2 of each window of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +102,7 @@ def window_rows(docs: DataFrame, words: int) -> DataFrame:
                     continue
                 hashes, counts = line_hashes(text.split(b"\n"))
                 at = np.flatnonzero(counts)
-                begin, end, fp, p, w1, w2 = windows(hashes[at], counts[at], words)
+                begin, end, fp, p, w1, w2 = windows(hashes[at], counts[at], words, ends)
                 for o, x in zip(out, (np.full(len(begin), doc), at[begin], at[end], fp.view(np.int64), at[p], w1.view(np.int64), w2.view(np.int64))):
                     o.append(x)
             if out[0]:
@@ -104,9 +111,9 @@ def window_rows(docs: DataFrame, words: int) -> DataFrame:
     return mapped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), "text"), run, "doc long, a long, b long, fp long, p long, w1 long, w2 long")
 
 
-def deletions(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def deletions(docs: DataFrame, words: int = WORDS, ends: bool = False) -> DataFrame:
     """doc, spans: of documents that repeat a passage, the runs of lines to delete (pairs of first and last line)."""
-    found = written(window_rows(docs, words), "windows")
+    found = written(window_rows(docs, words, ends), "windows")
     shared = written(found.groupBy("fp").agg(F.min(F.struct("doc", "p")).alias("x"), F.max(F.struct("doc", "p")).alias("y")).where("x <> y").select("fp"), "fingerprints")
     likely = written(found.join(shared, "fp", "left_semi").select("doc", "a", "b", "w1", "w2"), "likely")
     first = likely.groupBy("w1", "w2").agg(F.min(F.struct("doc", "a", "b")).alias("f"), F.max(F.struct("doc", "a")).alias("l"))
@@ -134,15 +141,15 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"\n".join(out), len(lines), deleted
 
 
-def _joined(docs: DataFrame, words: int) -> tuple[DataFrame, str]:
+def _joined(docs: DataFrame, words: int, ends: bool) -> tuple[DataFrame, str]:
     """docs with its spans (null: none) in one more column, whose name is given too."""
     doc, spans = unused_name(docs, "_doc"), unused_name(docs, "_spans")
-    found = written(deletions(docs, words).select(F.col("doc").alias(doc), F.col("spans").alias(spans)), "spans")
+    found = written(deletions(docs, words, ends).select(F.col("doc").alias(doc), F.col("spans").alias(spans)), "spans")
     # always a merge join: the table of spans grows with the corpus, so the plan is the same at every size
     return docs.join(found.hint("merge"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)) == F.col(doc), "left").drop(doc), spans
 
 
-def line_deduped(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def line_deduped(docs: DataFrame, words: int = WORDS, ends: bool = False) -> DataFrame:
     """doc_id, text (what is left), n_lines, n_deleted per row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,13 +167,13 @@ def line_deduped(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 gone.append(deleted)
             yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], ["doc_id", "text", "n_lines", "n_deleted"])
 
-    joined, _ = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words)
+    joined, _ = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), words, ends)
     return mapped(joined.select("doc_id", "text", "_spans"), run, "doc_id long, text string, n_lines long, n_deleted long")
 
 
-def without_repeats(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, words: int = WORDS, ends: bool = False) -> DataFrame:
     """docs with repeated passages deleted; a document of which nothing is left goes."""
-    joined, added = _joined(docs, words)
+    joined, added = _joined(docs, words, ends)
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
