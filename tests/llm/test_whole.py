@@ -2,7 +2,13 @@
 
 import random
 
-from thriftlens.llm import linededup
+import numpy as np
+import pytest
+
+from thriftlens.llm import linededup, minhash
+from thriftlens.llm.common import components
+
+from .test_operators import check_near, least_linked
 
 
 # --- line dedup: the end of a repeated passage
@@ -48,3 +54,33 @@ def test_ends_by_chance(spark):
     left = {x["doc_id"]: x["text"] for x in linededup.line_deduped(df, 8, ends=True).collect()}
     assert left == brute_passages({k: v for k, v in texts.items() if v}, 8)
     assert left != {x["doc_id"]: x["text"] for x in linededup.line_deduped(df, 8).collect()}
+
+
+# --- MinHash: near copies in a bucket whose representative is like neither
+
+
+@pytest.mark.parametrize("sketches", [64, 1024])
+def test_near_copies_in_a_bucket_of_unlike_texts(spark, sketches):
+    plan = minhash.Plan(sketches=sketches)
+    r = np.random.default_rng(3)
+    sketch = r.integers(0, 256, (400, plan.hashes), np.uint8)
+    for i in range(0, 60, 2):  # pairs, and chains of three that agree only with the next
+        sketch[i + 1, :40] = sketch[i, :40]
+    for i in range(100, 160, 3):
+        sketch[i + 1, :32], sketch[i + 2, 16:] = sketch[i, :32], sketch[i + 1, 16:]
+    df = spark.createDataFrame([(i, [7] * 2 * plan.m, bytearray(s.tobytes())) for i, s in enumerate(sketch)], "cid long, halves array<long>, sketch binary")
+    want = least_linked(dict(enumerate(sketch)), lambda a, b: (a == b).sum() >= plan.agree)
+    got = {x["node"]: x["comp"] for x in components(minhash.candidate_links(df, plan)).collect()}
+    assert {i: got.get(i, i) for i in range(len(sketch))} == want and sum(i != c for i, c in want.items()) == 70
+
+
+def test_half_alike_texts(spark):
+    r = random.Random(12)
+    pool = [" ".join(f"v{p}x{i}" for i in range(12)) for p in range(60)]
+    texts = [" ".join(r.sample(pool, 30)) for _ in range(300)]
+    for i in range(0, 80, 2):
+        w = texts[i].split()
+        w[r.randrange(len(w))] = "changed"
+        texts[i + 1] = " ".join(w)
+    want = check_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 85, 100)
+    assert sum(i != c for i, c in want.items()) == 40

@@ -9,7 +9,9 @@ Plan. Texts become small signature rows (one pass, no text is shuffled). Equal s
 by a 128-bit fingerprint. Each class sends 64 keys; a bucket is reduced to one representative by an aggregate
 with a map-side part, and joined back (a large bucket is an ordinary skewed join), so a bucket gives as many
 rows as it has members, never pairs. Representatives are drawn at random in each table, and a candidate link
-must agree on 31 of 48 minhashes. Connected candidates form families; inside a family all members are
+must agree on 31 of 48 minhashes. Members of a bucket that are then in different families are compared with each
+other too, by their sketches in blocks of `sketches`, so that two near copies in a bucket are linked whatever its
+representative is. Connected candidates form families; inside a family all members are
 compared exactly, in blocks of `block` texts, so families of any size are handled whole, with memory bounded
 by two blocks and no pair rows: a block gives a spanning forest of its links.
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, column, components, dropped, in_groups, mapped, raw, unused_name, written
+from .common import by_key, column, components, dropped, in_groups, least_reached, mapped, raw, unused_name, written
 from .shingles import mix, shingle_set, shingles, word_runs
 
 
@@ -35,8 +37,9 @@ from .shingles import mix, shingle_set, shingles, word_runs
 class Plan:
     """Shape of the tables: r hashes in a half-band, m half-bands in each of two collections."""
 
-    def __init__(self, words: int = 5, num: int = 4, den: int = 5, r: int = 3, m: int = 8, agree: int = 31, block: int = 128):
+    def __init__(self, words: int = 5, num: int = 4, den: int = 5, r: int = 3, m: int = 8, agree: int = 31, block: int = 128, sketches: int = 1024):
         self.words, self.num, self.den, self.r, self.m, self.agree, self.block = words, num, den, r, m, agree, block
+        self.sketches = sketches
         self.hashes = 2 * r * m
         rng = np.random.default_rng(5)
         self.xor = rng.integers(0, 2**32, self.hashes, dtype=np.uint32)
@@ -96,20 +99,54 @@ def signatures(docs: DataFrame, plan: Plan) -> DataFrame:
 
 
 def candidate_links(classes: DataFrame, plan: Plan) -> DataFrame:
-    """Links (a, b) from bucket members to their bucket's representative that agree on enough minhashes."""
+    """Links (a, b) that connect all classes that share a bucket and agree on enough minhashes."""
     m = plan.m
     keyed = (
         classes.select("cid", F.posexplode(F.slice("halves", 1, m)).alias("i", "x"), F.slice("halves", m + 1, m).alias("rest"))
         .select("cid", "i", "x", F.posexplode("rest").alias("j", "y"))
         .select("cid", F.xxhash64("x", "y", "i", "j").alias("key"))
     )
-    buckets = written(keyed.groupBy("key").agg(F.expr("min_by(cid, xxhash64(cid, key))").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep"), "buckets")
-    pairs = written(keyed.join(buckets, "key").where("cid <> rep").select(F.least("cid", "rep").alias("a"), F.greatest("cid", "rep").alias("b")).distinct(), "pairs")
+    buckets = written(keyed.groupBy("key").agg(F.expr("min_by(cid, xxhash64(cid, key))").alias("rep"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = written(keyed.join(buckets, "key"), "members")
     dropped(buckets)
+    pairs = written(members.where("cid <> rep").select(F.least("cid", "rep").alias("a"), F.greatest("cid", "rep").alias("b")).distinct(), "pairs")
     side = classes.select("cid", "sketch")
     same = " + ".join(f"if(substring(sa, {i + 1}, 1) = substring(sb, {i + 1}, 1), 1, 0)" for i in range(plan.hashes))
     links = pairs.join(side.select(F.col("cid").alias("a"), F.col("sketch").alias("sa")), "a").join(side.select(F.col("cid").alias("b"), F.col("sketch").alias("sb")), "b").where(F.expr(f"{same} >= {plan.agree}"))
-    return links.select("a", "b")
+    links = written(links.select("a", "b"), "links")
+    return links.unionByName(_links_across(members, links, side, plan))
+
+
+def _links_across(members: DataFrame, links: DataFrame, side: DataFrame, plan: Plan) -> DataFrame:
+    """Links (a, b) between bucket members that links leave in different families: all are compared, in blocks.
+
+    A bucket of two is its representative and one member, which are compared already.
+    """
+    families = components(links).select(F.col("node").alias("cid"), "comp")
+    rest = written(members.where("n > 2").join(families, "cid", "left").select("key", "cid", F.coalesce("comp", "cid").alias("comp")), "rest")
+    mixed = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.ceil(F.count("*") / plan.sketches).cast("int").alias("blocks")).where("lo <> hi")
+    mixed = written(mixed.select("key", "blocks"), "mixed")
+    placed = rest.join(mixed, "key").join(side, "cid").withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    tasks = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("blk", "other").alias("p"), F.greatest("blk", "other").alias("q"), F.when(F.col("blk") > F.col("other"), 1).otherwise(0).alias("side"), "cid", "comp", "sketch"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_key(batches, ["key", "p", "q"]):
+            cid, comp, second = (t.column(c).to_numpy() for c in ("cid", "comp", "side"))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(cid), plan.hashes)
+            one, two = np.flatnonzero(second == 0), np.flatnonzero(second == 1)
+            if t.column("p")[0] == t.column("q")[0]:
+                two = one
+            agree = np.zeros((len(one), len(two)), np.uint16)
+            for i in range(plan.hashes):
+                agree += sketch[one, i][:, None] == sketch[two, i][None, :]
+            x, y = np.nonzero((agree >= plan.agree) & (comp[one][:, None] != comp[two][None, :]))
+            if len(x):
+                a, b = least_reached(cid[one[x]], cid[two[y]])  # as many links as members, not as pairs
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return mapped(tasks.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q"), run, "a long, b long")
 
 
 def compare(ids: np.ndarray, sides: np.ndarray, texts: list[bytes | None], plan: Plan) -> tuple[list[int], list[int]]:
