@@ -1,5 +1,6 @@
 """Cases in which the operators once did less than the whole job."""
 
+import math
 import random
 
 import numpy as np
@@ -61,7 +62,7 @@ def test_ends_by_chance(spark):
 
 @pytest.mark.parametrize("sketches", [64, 1024])
 def test_near_copies_in_a_bucket_of_unlike_texts(spark, sketches):
-    plan = minhash.Plan(sketches=sketches)
+    plan = minhash.Plan(5, 85, 100, sketches=sketches)
     r = np.random.default_rng(3)
     sketch = r.integers(0, 256, (400, plan.hashes), np.uint8)
     for i in range(0, 60, 2):  # pairs, and chains of three that agree only with the next
@@ -84,3 +85,15 @@ def test_half_alike_texts(spark):
         texts[i + 1] = " ".join(w)
     want = check_near(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 85, 100)
     assert sum(i != c for i, c in want.items()) == 40
+
+
+# --- MinHash: losses at the threshold
+
+
+@pytest.mark.parametrize("num,den", [(4, 5), (85, 100), (9, 10), (1, 2), (15, 17), (1, 1)])
+def test_pairs_at_the_threshold_are_rarely_lost(num, den):
+    p, t = minhash.Plan(5, num, den), num / den
+    lost = 1 - (1 - (1 - t**p.r) ** p.m) ** 2
+    few = sum(math.comb(p.hashes, k) * t**k * (1 - t) ** (p.hashes - k) for k in range(p.agree))
+    assert lost <= 0.001 and few <= 0.0002
+    assert t != 0.85 or (p.r, p.m, p.agree) == (3, 8, 31)

@@ -2,14 +2,16 @@
 
 A band of 2r minhashes is made of two halves: m half-bands of r hashes are drawn twice (collections A and B),
 and the key of table (i, j) pairs half-band A_i with half-band B_j. So m * m tables cost 2 * m * r hash
-functions instead of m * m * 2 * r. With r = 3 and m = 8: 64 tables from 48 functions; a pair of Jaccard
-similarity 0.85 shares no table with probability 0.001, one of 0.9 with 0.00006.
+functions instead of m * m * 2 * r. r, m and the minhashes that must agree follow from the threshold: a pair just
+at it shares no table with probability 0.001 at most, and fails the agreement with 0.0002 at most. At 0.85, r = 3
+and m = 8: 64 tables from 48 functions, 31 must agree, 0.00098 and 0.00011 (a pair of 0.9: 0.00006 without a
+table). At 0.8, r = 3 and m = 11: 121 tables from 66 functions, 40 must agree, 0.00075 and 0.00008.
 
 Plan. Texts become small signature rows (one pass, no text is shuffled). Equal sets collapse into one class
-by a 128-bit fingerprint. Each class sends 64 keys; a bucket is reduced to one representative by an aggregate
+by a 128-bit fingerprint. Each class sends m * m keys; a bucket is reduced to one representative by an aggregate
 with a map-side part, and joined back (a large bucket is an ordinary skewed join), so a bucket gives as many
 rows as it has members, never pairs. Representatives are drawn at random in each table, and a candidate link
-must agree on 31 of 48 minhashes. Members of a bucket that are then in different families are compared with each
+must agree on `agree` minhashes. Members of a bucket that are then in different families are compared with each
 other too, by their sketches in blocks of `sketches`, so that two near copies in a bucket are linked whatever its
 representative is. Connected candidates form families; inside a family all members are
 compared exactly, in blocks of `block` texts, so families of any size are handled whole, with memory bounded
@@ -22,6 +24,7 @@ can't occur: a component's id is its least doc_id. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,14 +36,30 @@ from .common import by_key, column, components, dropped, in_groups, least_reache
 from .shingles import mix, shingle_set, shingles, word_runs
 
 
+def half_bands(t: float, r: int) -> int:
+    """The least m, 8 at least, with which a pair of similarity t shares none of m * m tables with probability 0.001 at most."""
+    return next(m for m in range(8, 1 << 16) if t >= 1 or 1 - (1 - (1 - t**r) ** m) ** 2 <= 0.001)
+
+
+def least_agreement(t: float, hashes: int) -> int:
+    """The most minhashes of which a pair of similarity t agrees on fewer with probability 0.0002 at most; 1 at least."""
+    below, k = 0.0, 0
+    while k < hashes and (below := below + math.comb(hashes, k) * t**k * (1 - t) ** (hashes - k)) <= 0.0002:
+        k += 1
+    return max(1, k)
+
 
 class Plan:
     """Shape of the tables: r hashes in a half-band, m half-bands in each of two collections."""
 
-    def __init__(self, words: int = 5, num: int = 4, den: int = 5, r: int = 3, m: int = 8, agree: int = 31, block: int = 128, sketches: int = 1024):
+    def __init__(self, words: int = 5, num: int = 4, den: int = 5, r: int | None = None, m: int | None = None, agree: int | None = None, block: int = 128, sketches: int = 1024):
+        if r is None:
+            r = next((x for x in (3, 2) if half_bands(num / den, x) <= 12), 1)
+        m = m or half_bands(num / den, r)
+        self.hashes = 2 * r * m
+        agree = agree or least_agreement(num / den, self.hashes)
         self.words, self.num, self.den, self.r, self.m, self.agree, self.block = words, num, den, r, m, agree, block
         self.sketches = sketches
-        self.hashes = 2 * r * m
         rng = np.random.default_rng(5)
         self.xor = rng.integers(0, 2**32, self.hashes, dtype=np.uint32)
         self.mul = rng.integers(0, 2**32, self.hashes, dtype=np.uint32) | np.uint32(1)
