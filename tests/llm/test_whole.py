@@ -97,3 +97,25 @@ def test_pairs_at_the_threshold_are_rarely_lost(num, den):
     few = sum(math.comb(p.hashes, k) * t**k * (1 - t) ** (p.hashes - k) for k in range(p.agree))
     assert lost <= 0.001 and few <= 0.0002
     assert t != 0.85 or (p.r, p.m, p.agree) == (3, 8, 31)
+
+
+# --- rows without an id
+
+
+def test_rows_without_an_id_stay_in_near_dedup(spark):
+    out = [(None, "a text of its own"), (None, "another one"), (None, None), (1, "one two three"), (2, "one two three"), (3, "same"), (3, "same")]
+    left = minhash.first_of_each(spark.createDataFrame(out, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, out[:4] + out[5:6]))
+    left = minhash.first_of_each(spark.createDataFrame(out[:5], "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, out[:4]))
+
+
+def test_rows_without_an_id_are_documents_of_their_own(spark):
+    lines = lambda c: "\n".join(" ".join(f"{c}{i}x{j}" for j in range(20)) for i in range(6))
+    copied, other = lines("a"), lines("b")
+    out = [(None, other), (None, copied), (None, copied), (None, None), (1, copied + "\nleft"), (2, lines("c"))]
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    left = linededup.line_deduped(df).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == sorted(map(lambda r: (str(r[0]), str(r[1])), [(None, other), (None, copied), (None, ""), (None, None), (1, "left"), out[5]]))
+    kept = linededup.without_repeats(df)
+    assert kept.columns == df.columns and kept.count() == 5

@@ -18,7 +18,8 @@ Windows are hashes and positions: about one row per line, never text. A first oc
 map-side part; a passage that stands in very many documents is a skewed join, never a group in one task.
 
 Defined results: null text stays null, with no lines; an empty text is one blank line and stays. Rows of one
-doc_id (repeated rows) are the same document and give equal results. A null doc_id comes before all others.
+doc_id (repeated rows) are the same document and give equal results. Rows with a null doc_id are documents of their
+own, in the order they are read, and come before all others.
 Other columns are ignored (line_deduped) or kept (without_repeats).
 """
 
@@ -90,8 +91,18 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one more column, whose name is given too: doc_id, or a number of its own in a row without one."""
+    name, own = unused_name(docs, "_doc"), F.col("doc_id").cast("long")
+    known, unknown = docs.where(own.isNotNull()).withColumn(name, own), docs.where(own.isNull())
+    if not unknown.limit(1).count():
+        return docs.withColumn(name, own), name
+    # written, because the numbers must be the same each time the rows are read
+    return known.unionByName(written(unknown.withColumn(name, F.lit(_NONE) + F.monotonically_increasing_id()), "unknown")), name
+
+
 def window_rows(docs: DataFrame, words: int, ends: bool = False) -> DataFrame:
-    """doc, a, b (numbers of the first and last line), fp and its line p, w1, w2 of each window of each document."""
+    """Of docs (doc, text): doc, a, b (numbers of the first and last line), fp and its line p, w1, w2 of each window of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc", "a", "b", "fp", "p", "w1", "w2"]
@@ -108,11 +119,11 @@ def window_rows(docs: DataFrame, words: int, ends: bool = False) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o), pa.int64()) for o in out], names)
 
-    return mapped(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)).alias("doc"), "text"), run, "doc long, a long, b long, fp long, p long, w1 long, w2 long")
+    return mapped(docs.select("doc", "text"), run, "doc long, a long, b long, fp long, p long, w1 long, w2 long")
 
 
 def deletions(docs: DataFrame, words: int = WORDS, ends: bool = False) -> DataFrame:
-    """doc, spans: of documents that repeat a passage, the runs of lines to delete (pairs of first and last line)."""
+    """Of docs (doc, text): doc, spans: of documents that repeat a passage, the runs of lines to delete (pairs of first and last line)."""
     found = written(window_rows(docs, words, ends), "windows")
     shared = written(found.groupBy("fp").agg(F.min(F.struct("doc", "p")).alias("x"), F.max(F.struct("doc", "p")).alias("y")).where("x <> y").select("fp"), "fingerprints")
     likely = written(found.join(shared, "fp", "left_semi").select("doc", "a", "b", "w1", "w2"), "likely")
@@ -143,10 +154,11 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
 
 def _joined(docs: DataFrame, words: int, ends: bool) -> tuple[DataFrame, str]:
     """docs with its spans (null: none) in one more column, whose name is given too."""
+    docs, own = numbered(docs)
     doc, spans = unused_name(docs, "_doc"), unused_name(docs, "_spans")
-    found = written(deletions(docs, words, ends).select(F.col("doc").alias(doc), F.col("spans").alias(spans)), "spans")
+    found = written(deletions(docs.select(F.col(own).alias("doc"), "text"), words, ends).select(F.col("doc").alias(doc), F.col("spans").alias(spans)), "spans")
     # always a merge join: the table of spans grows with the corpus, so the plan is the same at every size
-    return docs.join(found.hint("merge"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NONE)) == F.col(doc), "left").drop(doc), spans
+    return docs.join(found.hint("merge"), F.col(own) == F.col(doc), "left").drop(own, doc), spans
 
 
 def line_deduped(docs: DataFrame, words: int = WORDS, ends: bool = False) -> DataFrame:

@@ -258,11 +258,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5,
 
 
 def first_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """docs without the near-duplicates: the document with the least id of each component stays, once."""
+    """docs without the near-duplicates: the document with the least id of each component stays, once.
+
+    Rows without an id are compared with nothing, and stay.
+    """
     found = written(near_duplicates(docs, words, num, den), "near")
     name = unused_name(docs, "_gone")
-    gone = found.where("not kept").select(F.col("doc_id").alias(name))
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias(name))
     repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     # a merge join at every size: what goes grows with the corpus
-    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_anti")
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    left = docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col(name), "left_anti")
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null")) if repeated else left
