@@ -469,34 +469,25 @@ def test_chunks_hold_whole_pieces(library):
 
 
 def brute_lines(docs_, words):
-    """Delete, line by line, what is covered by a window that stood before."""
-    seqs = {}
-    for key, text in docs_:
-        lines = text.split("\n")
-        seqs[key] = [(n, x.strip(" \t\n\r\x0b\x0c"), len(x.encode().split())) for n, x in enumerate(lines) if x.encode().split()]
-    first, spans = {}, []
-    for key in sorted(seqs):
-        s = seqs[key]
+    """Delete every line of every passage of `words` words or more that stood before, however long, but for lines that the first place holds too."""
+    first, out = {}, {}
+    for key, text in sorted(docs_):
+        s = [(n, x.strip(" \t\n\r\x0b\x0c"), len(x.encode().split())) for n, x in enumerate(text.split("\n")) if x.encode().split()]
+        gone, kept, dropping = set(), [], False
         for i in range(len(s)):
             total = 0
             for j in range(i, len(s)):
                 total += s[j][2]
                 if total >= words:
-                    w = tuple(x[1] for x in s[i : j + 1])
-                    if w in first:
-                        k, b = first[w]
-                        spans.append((key, s[max(i, b + 1) if k == key else i][0] if max(i, b + 1 if k == key else i) <= j else None, s[j][0]))
+                    p = hash(tuple(x[1] for x in s[i : j + 1]))
+                    if p in first:
+                        k, b = first[p]
+                        gone |= {s[x][0] for x in range(max(i, b + 1) if k == key else i, j + 1)}
                     else:
-                        first[w] = key, j
-                    break
-    out = {}
-    for key, text in docs_:
-        gone, dropping, kept = {n for k, a, b in spans if k == key and a is not None for n in range(a, b + 1)}, False, []
+                        first[p] = key, j
         for n, line in enumerate(text.split("\n")):
-            if line.strip(" \t\n\r\x0b\x0c"):
-                dropping = n in gone
-            if not dropping:
-                kept.append(line)
+            dropping = n in gone if line.strip(" \t\n\r\x0b\x0c") else dropping
+            kept += [] if dropping else [line]
         out[key] = "\n".join(kept)
     return out
 

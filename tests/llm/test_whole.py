@@ -9,52 +9,55 @@ import pytest
 from thriftlens.llm import linededup, minhash
 from thriftlens.llm.common import components
 
-from .test_operators import check_near, least_linked
+from .test_operators import brute_lines, check_near, least_linked
 
 
 # --- line dedup: the end of a repeated passage
 
 
-def brute_passages(texts, words):
-    """Delete every line of every passage of `words` words or more that stood before, however long."""
-    first, out = {}, {}
-    for key, text in sorted(texts.items()):
-        s = [(n, x.strip(), len(x.split())) for n, x in enumerate(text.split("\n")) if x.split()]
-        gone, seen = set(), []
-        for i in range(len(s)):
-            for j in range(i, len(s)):
-                if sum(x[2] for x in s[i : j + 1]) >= words:
-                    p = tuple(x[1] for x in s[i : j + 1])
-                    if p in first:
-                        k, b = first[p]
-                        gone |= {s[x][0] for x in range(max(i, b + 1) if k == key else i, j + 1)}
-                    else:
-                        first[p] = key, j
-        dropping = False
-        for n, line in enumerate(text.split("\n")):
-            dropping = n in gone if line.strip() else dropping
-            seen += [] if dropping else [line]
-        out[key] = "\n".join(seen)
-    return out
-
-
 def test_the_end_of_a_repeated_passage_goes(spark):
     text = "\n".join(" ".join(f"{c}{i}" for i in range(n)) for c, n in (("a", 60), ("b", 15), ("c", 15), ("d", 10)))
     df = spark.createDataFrame([(1, text), (2, text), (3, text + "\nmore of it"), (4, "own line\n" + text[: text.index("d0")] + "other end")], "doc_id long, text string")
-    left = {r["doc_id"]: r["text"] for r in linededup.line_deduped(df, ends=True).collect()}
+    left = {r["doc_id"]: r["text"] for r in linededup.line_deduped(df).collect()}
     assert left == {1: text, 2: "", 3: "more of it", 4: "own line\nother end"}
-    assert sorted(r["doc_id"] for r in linededup.without_repeats(df, ends=True).collect()) == [1, 3, 4]
+    assert sorted(r["doc_id"] for r in linededup.without_repeats(df).collect()) == [1, 3, 4]
+
+
+def test_a_passage_ends_before_the_window_of_its_last_lines_is_full(spark):
+    line = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    abc = [line("a", 30), line("b", 30), line("c", 10)]
+    df = spark.createDataFrame([(1, "\n".join([*abc, line("x", 60)])), (2, "\n".join([*abc, line("y", 60)]))], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in linededup.line_deduped(df).collect()}[2] == line("y", 60)
+
+
+def test_an_extension_agrees_with_a_later_place(spark):
+    """The first place of the passage's head doesn't have its tail; the second one does."""
+    line = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    a, b, c = line("a", 60), line("b", 15), line("c", 10)
+    texts = {1: [a, line("p", 9)], 2: [line("q", 9), a, b, c], 3: [a, b, line("r", 9)], 4: [line("s", 9), line("t", 5), a, b, c]}
+    df = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in linededup.line_deduped(df).collect()}
+    assert left == {1: "\n".join(texts[1]), 2: "\n".join([line("q", 9), b, c]), 3: line("r", 9), 4: "\n".join([line("s", 9), line("t", 5)])}
 
 
-def test_ends_by_chance(spark):
+def test_passages_by_chance(spark):
     r = random.Random(18)
     pool = [" ".join(f"p{r.randrange(30)}" for _ in range(r.randrange(1, 6))) for _ in range(12)] + ["", "  "]
     texts = {i: "\n".join(r.choice(pool) for _ in range(r.randrange(1, 25))) for i in range(120)} | {500: "\n".join(["same line here"] * 12)}
     texts |= {200 + i: "\n".join(texts[i].split("\n")[r.randrange(3) :]) for i in range(0, 120, 2)}
     df = spark.createDataFrame([(k, v) for k, v in texts.items() if v], "doc_id long, text string")
-    left = {x["doc_id"]: x["text"] for x in linededup.line_deduped(df, 8, ends=True).collect()}
-    assert left == brute_passages({k: v for k, v in texts.items() if v}, 8)
-    assert left != {x["doc_id"]: x["text"] for x in linededup.line_deduped(df, 8).collect()}
+    left = {x["doc_id"]: x["text"] for x in linededup.line_deduped(df, 8).collect()}
+    assert left == brute_lines([(k, v) for k, v in texts.items() if v], 8)
+
+
+def test_rows_of_one_id_with_different_texts(spark):
+    line = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    out = [(7, "\n".join(map(line, "abc"))), (7, "\n".join(map(line, "pqrs"))), (7, line("z")), (8, "\n".join([line("q"), "own"])), (7, "\n".join(map(line, "abc"))), (9, line("c") + "\nown too")]
+    want = sorted([out[0][1], out[1][1], out[2][1], "own", out[4][1], "own too"])
+    for rows in (out, out[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted(r["text"] for r in linededup.line_deduped(df).collect()) == want
+        assert sorted(r["text"] for r in linededup.without_repeats(df).collect()) == want
 
 
 # --- MinHash: near copies in a bucket whose representative is like neither

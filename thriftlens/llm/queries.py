@@ -83,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
+#: By definition: equal lines on a diagonal make a run; a run of 50 words goes from the later place.
 _LINE_DEDUP = r"""
 WITH split AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
 lines AS (
@@ -95,19 +96,22 @@ worded AS (
          CAST(sum(w) OVER (PARTITION BY doc_id ORDER BY ln) AS BIGINT) AS upto
   FROM lines WHERE w > 0
 ),
-keys AS (SELECT doc_id, list(k ORDER BY ln) AS ks FROM worded GROUP BY doc_id),
-wins AS (
-  SELECT a.doc_id, a.s, b.s AS e, md5(array_to_string(keys.ks[a.s:b.s], chr(10))) AS h
-  FROM (SELECT *, upto - w + 50 AS need FROM worded) AS a
-  ASOF JOIN worded AS b ON a.doc_id = b.doc_id AND a.need <= b.upto
-  JOIN keys ON keys.doc_id = a.doc_id
+equal AS (
+  SELECT b.doc_id, b.s, a.doc_id AS d, b.s - a.s AS shift, b.w
+  FROM worded AS a JOIN worded AS b ON a.k = b.k AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.s < b.s))
 ),
-firsts AS (SELECT h, min(struct_pack(d := doc_id, s := s, e := e)) AS f FROM wins GROUP BY h),
-later AS (
-  SELECT doc_id, CASE WHEN doc_id = f.d THEN greatest(s, f.e + 1) ELSE s END AS s, e
-  FROM wins JOIN firsts USING (h) WHERE doc_id <> f.d OR s <> f.s
+runs AS (
+  SELECT doc_id, d, shift, min(s) AS s, max(s) AS e
+  FROM (SELECT *, s - row_number() OVER (PARTITION BY doc_id, d, shift ORDER BY s) AS run FROM equal)
+  GROUP BY doc_id, d, shift, run HAVING sum(w) >= 50
+),
+gone AS (
+  SELECT DISTINCT r.doc_id, t.i AS s
+  FROM runs AS r, unnest(range(r.s, r.e + 1)) AS t(i)
+  JOIN worded AS f ON f.doc_id = r.doc_id AND f.s = r.s
+  JOIN worded AS l ON l.doc_id = r.doc_id AND l.s = CASE WHEN r.doc_id = d THEN least(r.e, t.i + shift - 1) ELSE r.e END
+  WHERE l.upto - f.upto + f.w >= 50
 ),
-gone AS (SELECT DISTINCT doc_id, t.i AS s FROM later, unnest(range(s, e + 1)) AS t(i)),
 marked AS (
   SELECT l.doc_id, l.ln, l.line,
          CASE WHEN l.w > 0 THEN (CASE WHEN g.s IS NULL THEN 0 ELSE 1 END) END AS hit
