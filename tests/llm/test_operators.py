@@ -90,7 +90,7 @@ def test_language_learns_nothing_from_held_out_rows(spark):
     df = texts(spark, 300)
     swapped = df.withColumn("lang", F.when(langid.held_out(), "xx").otherwise(F.col("lang")))
     a, b = langid.fit(df, ~langid.held_out()), langid.fit(swapped, ~langid.held_out())
-    assert a.langs == b.langs and np.array_equal(a.logits, b.logits)
+    assert a.langs == b.langs and np.array_equal(a.table, b.table) and a.cut == b.cut
 
 
 def test_language_of_odd_texts(docs, no_docs):
@@ -111,11 +111,40 @@ def test_language_without_labels(spark):
 
 
 def test_prediction_is_the_softmax_of_the_mean_embedding(spark):
-    grams = [langid.gram_ids(t.encode()) for t in ("aaa bbb", "ccc ddd")] * 20
-    m = langid.train(grams, ["x", "y"] * 20)
+    m = langid.train([langid.sampled(t.encode(), lang, np.random.default_rng(1)) for t, lang in (("aaa bbb", "x"), ("ccc ddd", "y"))] * 20)
     ids = langid.gram_ids("aaa bbb".encode())
-    z = (np.mean([m.logits[i] for i in ids], axis=0) + m.bias) / m.temperature
-    assert np.allclose(m.scores([b"aaa bbb"])[0], np.exp(z) / np.exp(z).sum(), atol=1e-5)
+    z = (np.mean([m.table[i] for i in ids], axis=0)[:-1] + m.bias) / m.temperature
+    assert np.allclose(m.scores([b"aaa bbb"])[0][0], np.exp(z) / np.exp(z).sum(), atol=1e-5)
+
+
+def test_language_rejects_what_it_never_learned(spark):
+    """Texts in other languages, letters by chance and digests go; held-out documents stay."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = np.random.default_rng(1)
+    letters = lambda n: "".join(chr(97 + x) if x < 26 else " " for x in r.integers(0, 30, n))
+    junk = ["你好，世界。今天的天气非常好，我们去公园散步吧。" * 2, "Привет, как дела? Сегодня хорошая погода, и мы идём гулять.", "qqqqqqqqqqqq", "zxq wvk jjq pqx vvkz", "カタカナとひらがなの文章です", "Αυτό είναι ένα κείμενο στα ελληνικά"]
+    junk += [hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)] + [letters(60) for _ in range(40)] + [letters(3000)]
+    both = df.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(junk)], "doc_id long, text string, lang string"))
+    out = langid.identify(both).collect()
+    gone = {x["doc_id"] for x in out if x["doc_id"] < 0 and not x["accepted"]}
+    assert {-1 - i for i in range(6)} <= gone and len(gone) >= 0.95 * len(junk)
+    held = [x for x in out if x["doc_id"] >= 0 and x["held_out"]]
+    assert np.mean([x["accepted"] for x in held]) >= 0.99 and len(held) > 250
+    lang = {x["doc_id"]: x["lang"] for x in df.select("doc_id", "lang").collect()}
+    assert np.mean([x["lang_pred"] == lang[x["doc_id"]] for x in held]) >= 0.98
+    m = langid.fit(df, ~langid.held_out())
+    assert 1e-3 < m.temperature < 50
+
+
+def test_the_sample_doesn_t_depend_on_the_partitioning(spark):
+    rows_ = [(i % 150, f"{'the then with' if i % 2 else 'nicht auch ich'} {i}", "en" if i % 2 else "de") for i in range(400)]
+    models = [langid.fit(spark.createDataFrame(x, "doc_id long, text string, lang string").repartition(n), F.lit(True)) for x, n in ((rows_, 1), (rows_[::-1], 5))]
+    assert np.array_equal(models[0].table, models[1].table) and models[0].cut == models[1].cut
+
+
+def test_every_language_is_learned(spark):
+    rows_ = [(i, " ".join(chr(97 + i % 26) * 3 + chr(97 + i // 26 % 12) for _ in range(6)), f"l{i % 312:03}") for i in range(1248)]
+    assert len(langid.fit(spark.createDataFrame(rows_, "doc_id long, text string, lang string"), F.lit(True)).langs) == 312
 
 
 # --- 3 mixing
