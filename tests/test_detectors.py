@@ -1,9 +1,12 @@
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
-from thriftlens.operators import registry
+from thriftlens.operators import bloat, duplicates, registry
 from thriftlens.operators.tables import Tables
 from thriftlens.plans import analysis
-from thriftlens.schema import MESSAGES, SESSIONS
+from thriftlens.schema import CALLS, MESSAGES, SESSIONS
 
 
 def session(spark, sid, model, messages, input_tokens=0, output_tokens=0, cost=0.0, count=None):
@@ -137,6 +140,51 @@ def test_own_detectors(spark):
         del registry._registry["mine"], registry._registry["broken"]
 
 
+def test_a_detector_that_fails_while_it_runs(spark):
+    """Its findings are missing, for the sessions it failed on or at all; everything else is there."""
+
+    def picky(s, messages):
+        if s["model"] == "bad":
+            raise ValueError("no")
+        return [{"pattern": "picky", "tokens_wasted": "x" if s["model"] == "odd" else 1, "count": 1, "description": ""}]
+
+    @F.udf("long")
+    def never(x):
+        raise ValueError("no")
+
+    def udf(t):
+        row = t.sessions.select("session_id", F.lit(0).alias("emit_ord"), F.lit("udf").alias("pattern"), never("session_id").alias("tokens_wasted"))
+        return row.select("*", F.lit(1).cast("long").alias("count"), F.lit("").alias("description"), F.lit(0.5).alias("confidence"))
+
+    registry.register_detector("picky", registry.per_session(picky))
+    registry.register_detector("udf", udf)
+    try:
+        each = [session(spark, f"cron_{m}", m, [("user", "a")]) for m in ("bad", "odd", "o3")]
+        t = Tables(each[0].sessions.unionByName(each[1].sessions).unionByName(each[2].sessions), each[0].messages.unionByName(each[1].messages).unionByName(each[2].messages))
+        out = analysis.run_analysis(t).collect()
+        assert {(r.session_id, r.pattern) for r in out if r.pattern in ("picky", "udf")} == {("cron_o3", "picky")}
+        assert analysis.analyze(t).count() == 3
+    finally:
+        del registry._registry["picky"], registry._registry["udf"]
+
+
+def test_a_hot_session_and_a_hot_line(spark):
+    """Thousands of calls with few arguments, and one line in all responses of a session."""
+    n = 3000
+    messages = [("assistant", "", [("f", f'{{"a": {i % 700}}}')]) if i % 2 else ("tool", "x" * 11) for i in range(2 * n)]
+    rows = [("s", i, m[0], m[1], "f" if m[0] == "tool" else None, [{"id": "", "type": "function", "function": {"name": c[0], "arguments": c[1]}} for c in m[2]] if len(m) > 2 else None) for i, m in enumerate(messages)]
+    m = spark.createDataFrame(rows, f"session_id string, idx long, role string, content string, tool_name string, tool_calls {CALLS}")
+    s = spark.createDataFrame([("s", "o3", 2 * n, n, 10, 0, 0.0)], "session_id string, model string, message_count long, tool_call_count long, input_tokens long, output_tokens long, cost_usd double")
+    r = duplicates.detect(Tables(s, m)).collect()
+    counts = Counter((i % 700) for i in range(1, 2 * n, 2))
+    assert [(x["count"], x["tokens_wasted"]) for x in r] == [(sum(v >= 2 for v in counts.values()), sum(v - 1 for v in counts.values()) * (11 // 4))]
+    line = "the same line of more than twenty characters " * 5
+    rows = [("s", i, "tool", f"{line}\nown line number {i} of this response only", None, None) for i in range(40)]
+    m = spark.createDataFrame(rows, f"session_id string, idx long, role string, content string, tool_name string, tool_calls {CALLS}")
+    pairs = bloat.overlap_pairs(Tables(s, m)).collect()
+    assert len(pairs) == 40 * 39 // 2 and {p["overlap"] for p in pairs} == {len(line.strip())}
+
+
 FINDINGS = "session_id string, pattern string, tokens_wasted long, count long, description string, confidence double, rank int"
 
 

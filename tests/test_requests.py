@@ -123,3 +123,49 @@ def test_streams_equal_batches(spark, tmp_path):
     assert got == want and sum(not h for h in got.values()) == 5
     windows = streams.finished(streams.stats_by_window(stream(), "10 seconds", "0 seconds"), "append", "w").collect()
     assert sum(r.total_requests for r in windows) == 30  # the last window is still open
+
+
+def test_a_popular_key_in_a_stream(spark, tmp_path):
+    """One key, 25,000 requests in one micro-batch and out of order, then more of it; its first request misses."""
+    path = str(tmp_path / "log")
+    n = 25_000
+    df = spark.range(n).select(((F.col("id") * 7919 + 12_345) % n).alias("request_id"), F.lit("k").alias("key"))
+    rows = df.select("request_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("request_id") / 10)).alias("ts"), F.lit("gpt-5").alias("model"), F.lit(False).alias("streaming"), F.array(F.struct(F.lit("user").alias("role"), F.lit("hello").alias("content"))).alias("messages"))
+    rows = rows.withColumn("request_id", F.when(F.col("request_id") < 10, 9 - F.col("request_id")).otherwise(F.col("request_id")))
+    rows.coalesce(1).write.mode("append").parquet(path)
+    stream = streams.request_log(spark, path, "request_id long, ts timestamp, model string, streaming boolean, messages array<struct<role:string,content:string>>")
+    out = streams.finished(streams.replay(stream), "append", "hot")
+    assert out.count() == out.select("request_id").distinct().count() == n
+    assert [r.request_id for r in out.where("not is_hit").collect()] == [0]
+    batch = requests.replayed(requests.keyed(rows))
+    assert [r.request_id for r in batch.where("not is_hit").collect()] == [0] and batch.count() == n
+
+
+def test_replay_of_equal_times_and_repeated_ids(spark):
+    rows = [(2, M, {"ts": dt.datetime(2026, 1, 1)}), (1, M, {"ts": dt.datetime(2026, 1, 1)}), (3, M, {}), (4, None, {}), (5, M, {"streaming": True}), (1, [("user", "other")], {})]
+    out = requests.replayed(requests.keyed(log(spark, rows))).collect()
+    assert sorted((r.request_id, r.is_hit) for r in out) == [(1, False), (1, False), (2, True), (3, True), (4, False), (5, False)]
+
+
+def test_compressors_of_whole_lists(spark):
+    """A compressor that fails leaves what the rules made of a request, and the others as they are."""
+
+    def last_only(ms):
+        if ms[-1]["content"] == "bad":
+            raise ValueError("no")
+        return "nonsense" if ms[-1]["content"] == "odd" else ms[-1:]
+
+    compress.register_list_compressor("last", last_only)
+    assert "last" in compress.list_compressors()
+    rows = [(i, [("user", f"a{i}" + "x" * 7000), ("user", c)], {}) for i, c in enumerate(("good", "bad", "odd"))]
+    out = {r.request_id: [m.content[:40] for m in r.compressed] for r in requests.optimized(log(spark, rows), whole="last").collect()}
+    rules = {r.request_id: [m.content[:40] for m in r.compressed] for r in requests.optimized(log(spark, rows)).collect()}
+    assert out == {0: ["good"], 1: rules[1], 2: rules[2]} and len(rules[1]) == 2
+    assert {r.request_id: [m.content[:40] for m in r.compressed] for r in requests.optimized(log(spark, rows), whole="unknown").collect()} == rules
+
+
+def test_raw_requests_are_routed(spark):
+    raw = [(1, "/v1/chat/completions", '{"model": "gpt-5", "stream": true, "messages": [{"role": "user", "content": "hi"}], "temperature": 0.5}'), (2, "/x/v1/messages?beta", '{"model": "o3", "messages": []}'), (3, "/v1/models", "{}"), (4, "/v1/messages", "{no"), (5, None, None)]
+    out = {r.request_id: (r.api, r.model, r.streaming, r.messages and [tuple(m) for m in r.messages], r.temperature) for r in accounting.routed(spark.createDataFrame(raw, "request_id int, path string, body string")).collect()}
+    assert out == {1: ("chat", "gpt-5", True, [("user", "hi")], 0.5), 2: ("messages", "o3", False, [], None), 3: (None, None, False, None, None), 4: ("messages", None, False, [], None), 5: (None, None, False, None, None)}
+    assert accounting.stats(accounting.routed(spark.createDataFrame(raw, "request_id int, path string, body string")).withColumn("completion_tokens", F.lit(2))).first().total_requests == 3

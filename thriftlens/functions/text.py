@@ -72,16 +72,22 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(_SPACES))
 
 
+#: What changes from call to call, and what stands for it.
+UUID = r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "[UUID]"
+TIMESTAMP = r"(?U)\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\b", "[TIMESTAMP]"
+DATE = r"(?U)\b\d{4}-\d{2}-\d{2}\b", "[DATE]"
+
+
 def uuids(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "[UUID]")
+    return F.regexp_replace(c, *UUID)
 
 
 def timestamps(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\b\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\b", "[TIMESTAMP]")
+    return F.regexp_replace(c, *TIMESTAMP)
 
 
 def dates(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\b\d{4}-\d{2}-\d{2}\b", "[DATE]")
+    return F.regexp_replace(c, *DATE)
 
 
 def volatile(c: Column) -> Column:
@@ -184,6 +190,7 @@ def cheaper_named(c: Column | str) -> Column:
     return F.when((after != "") & after.rlike(f"(?iU)\\A{CHEAP}"), after).otherwise(F.coalesce(F.array_min(numbered)["x"], F.lit("a cheaper model")))
 
 
+#: Parameters of a request that its response depends on.
 KEY_PARAMS = ["temperature", "top_p", "frequency_penalty", "presence_penalty", "stop", "tools", "response_format"]
 
 

@@ -18,11 +18,14 @@ def overlap_pairs(t: Tables) -> DataFrame:
     of the session, those that come within the first stale_overlap characters can be left out, because two
     responses that share more than that share a line beyond them. So boilerplate, which would pair all
     responses with each other, is not joined; the few pairs found are then measured on all their lines.
+    How often a line stands in a session is a count with a map-side part, joined back. The pairs are the result, so
+    their number is bounded only by what overlaps: n responses of one session that all hold the same text are
+    n * (n - 1) / 2 pairs of numbers.
     """
     most = t.config.stale_overlap
     lines = _hashed_lines(t)
     one = ["session_id", "h1", "h2"]
-    often = lines.withColumn("often", F.count("*").over(W.partitionBy(*one))).where("often > 1")
+    often = lines.join(lines.groupBy(*one).agg(F.count("*").alias("often")).where("often > 1"), one)
     upto = F.sum("n").over(W.partitionBy("session_id", "idx").orderBy(F.desc("often"), "h1", "h2").rowsBetween(W.unboundedPreceding, 0))
     deciding = often.withColumn("upto", upto).where(F.col("upto") > most).select("session_id", "idx", "h1", "h2")
     a, b = deciding.withColumnRenamed("idx", "i"), deciding.withColumnRenamed("idx", "j")

@@ -18,10 +18,13 @@ def exact_groups(t: Tables) -> DataFrame:
 
 
 def _per_tool(t: Tables) -> DataFrame:
-    """session_id, name, calls, first_pos, resp, groups (n, first_pos of calls with equal arguments, twice or more)."""
+    """session_id, name, calls, first_pos, resp and of the groups of equal arguments: spare (calls beyond the first of each), groups (called twice or more), most (n and negative place of the largest, the earliest of them)."""
     calls = t.tool_calls().withColumn("norm_args", text.canonical_arguments("arguments"))
     groups = calls.groupBy("session_id", "name", "norm_args").agg(F.count("*").alias("n"), F.min(F.struct("idx", "call_pos")).alias("first_pos"))
-    tools = groups.groupBy("session_id", "name").agg(F.sum("n").alias("calls"), F.min("first_pos").alias("first_pos"), F.collect_list(F.when(F.col("n") >= 2, F.struct("n", "first_pos"))).alias("groups"))
+    largest = F.struct("n", (-F.col("first_pos.idx")).alias("i"), (-F.col("first_pos.call_pos")).alias("p"))
+    tools = groups.groupBy("session_id", "name").agg(
+        F.sum("n").alias("calls"), F.min("first_pos").alias("first_pos"), F.sum(F.col("n") - 1).alias("spare"), F.count_if(F.col("n") >= 2).alias("groups"), F.max(F.when(F.col("n") >= 2, largest)).alias("most")
+    )
     return with_response_tokens(tools, t.messages, t.config.default_response)
 
 
@@ -30,15 +33,14 @@ def _per_session(t: Tables) -> DataFrame:
     c = t.config
     order = W.partitionBy("session_id").orderBy(F.desc("calls"), "first_pos")
     tools = _per_tool(t).withColumn("r", F.row_number().over(order))
-    wasted = F.aggregate("groups", F.lit(0).cast("long"), lambda s, g: s + (g["n"] - 1) * F.col("resp"))
-    top = F.array_max(F.transform("groups", lambda g: F.struct(((g["n"] - 1) * F.col("resp")).alias("w"), (-g["first_pos"]["idx"]).alias("i"), (-g["first_pos"]["call_pos"]).alias("p"), F.col("name").alias("name"), g["n"].alias("n"))))
+    top = F.when(F.col("most").isNotNull(), F.struct(((F.col("most.n") - 1) * F.col("resp")).alias("w"), F.col("most.i").alias("i"), F.col("most.p").alias("p"), F.col("name").alias("name"), F.col("most.n").alias("n")))
     high = F.col("calls") >= c.near_calls
     best = high & (F.col("r") <= c.near_names)
     near = F.floor((F.col("calls") - 1) * F.col("resp") * F.lit(c.near_share)).cast("long")
     return tools.groupBy("session_id").agg(
-        F.sum(wasted).alias("w"), F.sum(F.size("groups")).cast("long").alias("g"), F.max(top).alias("top"),
+        F.sum(F.col("spare") * F.col("resp")).alias("w"), F.sum("groups").alias("g"), F.max(top).alias("top"),
         F.sum(F.when(best, near)).alias("near_w"), F.sum(F.when(high, F.col("calls"))).alias("near_n"),
-        F.sort_array(F.collect_list(F.when(best, F.struct("r", "name", "calls")))).alias("named"),
+        F.sort_array(F.collect_list(F.when(best, F.struct("r", "name", "calls")))).alias("named"),  # near_names at most
     )
 
 

@@ -21,15 +21,19 @@ def expensive_sessions(t: Tables) -> DataFrame:
 
 
 def answered(messages: DataFrame, config) -> DataFrame:
-    """session_id, idx, question, answer, simple: each user message with the assistant's answer, within two messages."""
+    """session_id, idx, tokens (of question and answer), simple: each user message with the assistant's answer, within two messages.
+
+    What is sorted by session are lengths, never texts.
+    """
     order = W.partitionBy("session_id").orderBy("idx")
-    row = F.struct("role", text.text("content").alias("content"), F.coalesce(F.size("tool_calls"), F.lit(0)).alias("calls"))
-    ahead = messages.select("session_id", "idx", "role", text.text("content").alias("question"), F.lead(row, 1).over(order).alias("one"), F.lead(row, 2).over(order).alias("two"))
-    answer = F.when(F.col("one.role") == "assistant", F.col("one")).when(F.col("two.role") == "assistant", F.col("two"))
-    pairs = ahead.where("role = 'user'").withColumn("a", answer).where("a is not null")
-    short = F.length("a.content") < config.short_answer
-    simple = (F.length("question") < config.short_prompt) & short | (F.col("a.calls") <= 0) & short
-    return pairs.select("session_id", "idx", "question", F.col("a.content").alias("answer"), simple.alias("simple"))
+    rows = messages.select("session_id", "idx", F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).alias("who"), F.length(text.text("content")).alias("chars"), text.tokens("content").alias("tokens"), F.coalesce(F.size("tool_calls"), F.lit(0)).alias("calls"))
+    row = F.struct("who", "chars", "tokens", "calls")
+    ahead = rows.select("session_id", "idx", "who", "chars", "tokens", F.lead(row, 1).over(order).alias("one"), F.lead(row, 2).over(order).alias("two"))
+    answer = F.when(F.col("one.who") == 1, F.col("one")).when(F.col("two.who") == 1, F.col("two"))
+    pairs = ahead.where("who = 0").withColumn("a", answer).where("a is not null")
+    short = F.col("a.chars") < config.short_answer
+    simple = (F.col("chars") < config.short_prompt) & short | (F.col("a.calls") <= 0) & short
+    return pairs.select("session_id", "idx", (F.col("tokens") + F.col("a.tokens")).alias("tokens"), simple.alias("simple"))
 
 
 def simple_queries(t: Tables) -> DataFrame:
@@ -37,7 +41,7 @@ def simple_queries(t: Tables) -> DataFrame:
     sessions = expensive_sessions(t)
     messages = t.messages.join(sessions.select("session_id"), "session_id", "left_semi")
     simple = answered(messages, t.config).where("simple")
-    per = simple.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(text.tokens("question") + text.tokens("answer")).alias("tokens"))
+    per = simple.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
     return per.join(sessions, "session_id")
 
 

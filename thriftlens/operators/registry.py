@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from thriftlens.operators import bloat, duplicates, heartbeat, mismatch
 from thriftlens.operators.tables import FINDING, Tables
+from thriftlens.storage import written
 
 Detect = Callable[[Tables], DataFrame]
 _log = logging.getLogger("thriftlens")
@@ -44,7 +45,8 @@ def per_session(f: Callable[[dict, list[dict]], list[dict]]) -> Detect:
     """A detector from a Python function (session, its messages in order) -> findings as dicts.
 
     It runs in Arrow batches of whole sessions, so a session must fit one Python worker; built-in detectors
-    have no such limit.
+    have no such limit. Where it raises, or gives something that isn't a finding, that session has no findings of it;
+    the others keep theirs.
     """
 
     def detect(t: Tables) -> DataFrame:
@@ -52,8 +54,12 @@ def per_session(f: Callable[[dict, list[dict]], list[dict]]) -> Detect:
         def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             rows: list[dict] = []
             for session in left.to_dict("records"):
-                found = f(session, right.sort_values("idx").to_dict("records"))
-                rows += [{"session_id": key[0], "emit_ord": i, "confidence": 0.8} | x for i, x in enumerate(found or [])]
+                try:
+                    found = f(session, right.sort_values("idx").to_dict("records"))
+                    rows += [_checked({"session_id": key[0], "emit_ord": i, "confidence": 0.8} | x) for i, x in enumerate(found or [])]
+                except Exception as e:  # noqa: BLE001
+                    _log.warning("a detector failed on session %s: %s", key[0], e)
+                    rows = []
             return pd.DataFrame(rows, columns=FINDING)
 
         schema = "session_id string, emit_ord int, pattern string, tokens_wasted long, count long, description string, confidence double"
@@ -62,16 +68,29 @@ def per_session(f: Callable[[dict, list[dict]], list[dict]]) -> Detect:
     return detect
 
 
+def _checked(x: dict) -> dict:
+    return x | {"pattern": str(x["pattern"]), "tokens_wasted": int(x["tokens_wasted"]), "count": int(x["count"]), "description": str(x["description"]), "confidence": float(x["confidence"])}
+
+
+def _run(name: str, t: Tables) -> DataFrame:
+    """A detector's findings. Built-in ones are part of the caller's plan; others may fail while they run, so they run here, alone."""
+    found = _registry[name](t).select(*FINDING)
+    if _registry[name] is _built_in.get(name):
+        found.schema  # noqa: B018  resolves the plan
+        return found
+    return written(found, "findings")
+
+
 def findings(t: Tables, detectors: Iterable[str] | None = None) -> DataFrame:
     """All findings of the chosen detectors: session_id, detector, det_ord and the columns of a finding.
 
-    A detector whose plan can't be built is reported and left out; the others run.
+    A detector whose plan can't be built is reported and left out, and so is a registered one that fails while it
+    runs; the others run.
     """
     out = None
     for order, name in enumerate(chosen(detectors)):
         try:
-            found = _registry[name](t).select(*FINDING)
-            found.schema  # noqa: B018  resolves the plan
+            found = _run(name, t)
         except Exception as e:  # noqa: BLE001
             _log.warning("detector %s failed: %s", name, e)
             continue
@@ -83,5 +102,6 @@ def findings(t: Tables, detectors: Iterable[str] | None = None) -> DataFrame:
     return out
 
 
-for _name, _detect in (("duplicate_tool_calls", duplicates.detect), ("context_bloat", bloat.detect), ("model_mismatch", mismatch.detect), ("heartbeat_waste", heartbeat.detect)):
+_built_in: dict[str, Detect] = {"duplicate_tool_calls": duplicates.detect, "context_bloat": bloat.detect, "model_mismatch": mismatch.detect, "heartbeat_waste": heartbeat.detect}
+for _name, _detect in _built_in.items():
     register_detector(_name, _detect)

@@ -18,6 +18,23 @@ def api_of(path: Column) -> Column:
     return F.when(path.contains("/v1/chat/completions"), "chat").when(path.contains("/v1/messages"), "messages")
 
 
+_BODY = "model string, stream boolean, messages array<struct<role:string,content:string>>, temperature double, top_p double, frequency_penalty double, presence_penalty double, stop string, tools string, response_format string"
+
+
+def routed(raw: DataFrame) -> DataFrame:
+    """Raw requests (path, body as JSON, other columns) as the request log: api, model, streaming, messages and parameters.
+
+    Requests on other paths are passed on unread: api and what the body holds are null, and stats() doesn't count them.
+    A body that isn't JSON counts as one without messages. Works on a stream as well.
+    """
+    body = F.from_json(F.when(F.col("api").isNotNull(), F.col("body")), _BODY)
+    rows = raw.withColumn("api", api_of(F.col("path"))).withColumn("_b", body)
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    messages = F.when(F.col("api").isNotNull(), F.coalesce("_b.messages", none))
+    parameters = {c: F.col(f"_b.{c}") for c in ("temperature", "top_p", "frequency_penalty", "presence_penalty", "stop", "tools", "response_format")}
+    return rows.withColumns({"model": F.col("_b.model"), "streaming": F.coalesce("_b.stream", F.lit(False)), "messages": messages} | parameters).drop("_b")
+
+
 def measured(requests: DataFrame, compressor: str = "none") -> DataFrame:
     """Requests (api, messages, completion_tokens, failed) with before, after and saved of each."""
     small = compress.compressed_contents(F.col("messages"), compress.compressor(compressor))

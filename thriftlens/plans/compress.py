@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +14,10 @@ from thriftlens.functions import text
 from thriftlens.schema import DEFAULT
 
 Compress = Callable[[Column], Column]
+CompressList = Callable[[list[dict]], list[dict]]
+MESSAGES = "array<struct<role:string,content:string>>"
 _compressors: dict[str, Compress] = {"none": lambda c: c}
+_of_lists: dict[str, CompressList] = {}
 
 
 def register_compressor(name: str, f: Compress) -> None:
@@ -20,8 +25,13 @@ def register_compressor(name: str, f: Compress) -> None:
     _compressors[name] = f
 
 
+def register_list_compressor(name: str, f: CompressList) -> None:
+    """A compressor of whole requests: messages (dicts of role and content) in, messages out, in Python."""
+    _of_lists[name] = f
+
+
 def list_compressors() -> list[str]:
-    return sorted(_compressors)
+    return sorted({*_compressors, *_of_lists})
 
 
 def compressor(name: str) -> Compress:
@@ -74,3 +84,30 @@ def compressed_array(messages: Column, most: int = DEFAULT.cap, turns: int = DEF
 def compressed_contents(messages: Column, compress: Compress, longer_than: int = DEFAULT.compress_from) -> Column:
     """Each message's content through a compressor if it is long enough."""
     return F.transform(messages, lambda x: F.struct(x["role"].alias("role"), F.when(F.length(x["content"]) > longer_than, compress(x["content"])).otherwise(x["content"]).alias("content")))
+
+
+def compressed_list(messages: Column, name: str | None) -> Column:
+    """A request's messages, shortened by the rules already, through a compressor of whole lists.
+
+    It fails open: without a name, under a name that nobody registered, and where the compressor raises or gives
+    something else than messages, a request stays as the rules left it; the other requests are not affected.
+    """
+    f = _of_lists.get(name) if name else None
+    if f is None:
+        return messages
+
+    def one(ms):
+        if ms is None:
+            return None
+        before = [{"role": m["role"], "content": m["content"]} for m in ms]
+        try:
+            return [{"role": m.get("role"), "content": m.get("content")} for m in f([dict(m) for m in before])]
+        except Exception as e:  # noqa: BLE001
+            logging.getLogger("thriftlens").warning("compressor %s failed: %s", name, e)
+            return before
+
+    @F.pandas_udf(MESSAGES)
+    def run(each: pd.Series) -> pd.Series:
+        return each.map(one)
+
+    return run(messages)

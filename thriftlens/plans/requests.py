@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thriftlens.functions import pricing, text
@@ -27,9 +26,15 @@ def keyed(requests: DataFrame) -> DataFrame:
 
 
 def replayed(rows: DataFrame) -> DataFrame:
-    """keyed() with is_hit: the first cacheable request of a key misses and is stored, later ones hit."""
-    nth = F.row_number().over(W.partitionBy("key", "cacheable").orderBy("ts", "request_id"))
-    return rows.withColumn("is_hit", F.col("cacheable") & (nth > 1))
+    """keyed() with is_hit: the first cacheable request of a key misses and is stored, later ones hit.
+
+    The first is an aggregate over (ts, request_id) with a map-side part, joined back by its request_id, which tells
+    the requests of a log apart: a popular key is no group in one task, and messages aren't sorted.
+    """
+    cacheable = rows.where("cacheable")
+    first = cacheable.groupBy("key").agg(F.min(F.struct("ts", "request_id")).alias("first")).select(F.col("key").alias("_key"), F.col("first.request_id").alias("_first"), F.col("first.ts").alias("_at"), F.lit(False).alias("_hit"))
+    on = F.col("cacheable") & (F.col("key") == F.col("_key")) & F.col("request_id").eqNullSafe(F.col("_first")) & F.col("ts").eqNullSafe(F.col("_at"))
+    return rows.join(first, on, "left").withColumn("is_hit", F.col("cacheable") & F.coalesce("_hit", F.lit(True))).drop("_key", "_first", "_at", "_hit")
 
 
 def savings(rows: DataFrame, cap: int = DEFAULT.cap, turns: int = DEFAULT.turns) -> DataFrame:
@@ -46,9 +51,10 @@ def savings(rows: DataFrame, cap: int = DEFAULT.cap, turns: int = DEFAULT.turns)
     return rows.withColumn("compressed", F.when(~F.col("is_hit"), compress.compressed_array(F.col("messages"), cap, turns))).withColumn("tokens_saved", F.when(F.col("is_hit"), hit).otherwise(miss))
 
 
-def optimized(requests: DataFrame, cap: int = DEFAULT.cap, turns: int = DEFAULT.turns) -> DataFrame:
-    """The whole path, one row per request."""
-    return savings(replayed(keyed(requests)), cap, turns)
+def optimized(requests: DataFrame, cap: int = DEFAULT.cap, turns: int = DEFAULT.turns, whole: str | None = None) -> DataFrame:
+    """The whole path, one row per request; `whole` names a compressor of whole message lists, which goes after the rules."""
+    rows = savings(replayed(keyed(requests)), cap, turns)
+    return rows if whole is None else rows.withColumn("compressed", compress.compressed_list(F.col("compressed"), whole))
 
 
 def run_summary(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,8 @@ from thriftlens.functions import pricing, text
 from thriftlens.operators import bloat, duplicates, heartbeat, mismatch
 from thriftlens.operators.tables import Tables
 from thriftlens.plans import accounting, analysis, compress, requests
-from thriftlens.sources import adapters, dumps
-from thriftlens.storage import table
+from thriftlens.sources import adapters, database, dumps, resolve
+from thriftlens.storage import fresh_path, table
 from thriftlens.streaming import requests as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -246,10 +247,10 @@ def unused_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloat.unused(adapters.agents(spark, sf_dir)).select("session_id", F.col("available").cast("long").alias("available"), F.array_join("unused", ",").alias("unused"))
 
 
-@query(f"WITH {_DOCS.format(session='source')} {_OVERSIZED} {_OVERHEAD.format(found='SELECT * FROM oversized')} done AS (SELECT 1) SELECT {_FINDING} FROM overhead")
+@query(f"WITH {_DOCS.format(session='source')} {_STALE} {_OVERSIZED} {_OVERHEAD.format(found='SELECT * FROM stale UNION ALL SELECT * FROM oversized')} done AS (SELECT 1) SELECT {_FINDING} FROM overhead")
 def session_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapters.documents(spark, sf_dir, "source")
-    return bloat.overhead(t, bloat.oversized(t)).select(*_NUMBERS)
+    return bloat.overhead(t, bloat.stale(t).unionByName(bloat.oversized(t)).unionByName(bloat.unused_tools(t))).select(*_NUMBERS)
 
 
 @query(f"WITH {_CONV} {_PRICES} {_RESOLVED} {_MISMATCH} done AS (SELECT 1) SELECT {_FINDING} FROM mismatch")
@@ -352,13 +353,13 @@ def session_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text ------------------------------------------------------------------------------------------------------
 
 _TAIL = "  \r\n\r\n\r\n\r\n"
-_NOISE_SQL = "(SELECT doc_id, text || '  ' || repeat(chr(13) || chr(10), 4) || regexp_replace(md5(CAST(doc_id AS VARCHAR)), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') || ' 2024-01-02T03:04:05Z 2024-05-06T07:08:09 2024-01-02' || chr(10) || ' ' AS t FROM documents WHERE text IS NOT NULL)"
+_NOISE_SQL = "(SELECT doc_id, text || '  ' || repeat(chr(13) || chr(10), 4) || regexp_replace(md5(CAST(doc_id AS VARCHAR)), '(.{8})(.{4})(.{4})(.{4})(.{12})', '\\1-\\2-\\3-\\4-\\5') || ' 2024-01-02T03:04:05Z 2024-05-06T07:08:09 2024-01-02' || chr(10) || ' ' AS t FROM documents)"
 
 
 def _noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     uuid = F.regexp_replace(F.md5(F.col("doc_id").cast("string").cast("binary")), "(.{8})(.{4})(.{4})(.{4})(.{12})", "$1-$2-$3-$4-$5")
     t = F.concat(F.col("text"), F.lit(_TAIL), uuid, F.lit(" 2024-01-02T03:04:05Z 2024-05-06T07:08:09 2024-01-02\n "))
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", t.alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
 
 
 _STEPS = {
@@ -386,9 +387,9 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _noise(spark, sf_dir).select("doc_id", text.clean("t").alias("t"))
 
 
-@query("SELECT doc_id, nfc_normalize(text || 'e' || chr(769) || ' A' || chr(778)) AS t FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, nfc_normalize(text || 'e' || chr(769) || ' A' || chr(778)) AS t FROM documents")
 def norm_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", text.nfc(F.concat("text", F.lit("é Å"))).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.nfc(F.concat("text", F.lit("é Å"))).alias("t"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN role = 'user' AND turn % 2 = 1 THEN 'system' ELSE role END AS role FROM conversations")
@@ -397,9 +398,9 @@ def role_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.canonical_role(developer).alias("role"))
 
 
-@query("SELECT request_id, CAST(i - 1 AS BIGINT) AS pos, m[i].role AS role, rtrim(m[i].content || chr(10) || '[DATE]', ' ') AS content FROM (SELECT conv_id * 2 AS request_id, list({'role': role, 'content': coalesce(text, '')} ORDER BY turn) AS m FROM conversations GROUP BY conv_id), unnest(range(1, len(m) + 1)) AS t(i)")
+@query("SELECT request_id, CAST(i - 1 AS BIGINT) AS pos, m[i].role AS role, rtrim(m[i].content || chr(10) || '[DATE]', ' ') AS content FROM (SELECT conv_id * 2 + twin AS request_id, m FROM (SELECT conv_id, list({'role': role, 'content': coalesce(text, '')} ORDER BY turn) AS m FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id), unnest([0, 1]) AS v(twin)), unnest(range(1, len(m) + 1)) AS t(i)")
 def normalize_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.requests(spark, sf_dir).where("request_id % 2 = 0").select("request_id", F.posexplode(text.normalized(F.col("messages"))).alias("pos", "m"))
+    rows = adapters.requests(spark, sf_dir).select("request_id", F.posexplode(text.normalized(F.col("messages"))).alias("pos", "m"))
     return rows.select("request_id", F.col("pos").cast("long").alias("pos"), "m.role", "m.content")
 
 
@@ -483,18 +484,50 @@ def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _UPSERT_SQL = """
-WITH w AS (SELECT event_type || '/' || user_id % 20 AS key, event_type AS model, props AS response, event_id AS w_at FROM events)
-SELECT key, arg_max(model, w_at) AS model, arg_max(response, w_at) AS response, 1::BIGINT AS hits FROM w GROUP BY key
+WITH w AS (SELECT event_type || '/' || user_id || '/' || event_id // 2 % 5 AS key, event_type AS model, props AS response, event_id AS w_at FROM events),
+old AS (SELECT key, arg_max(model, w_at) AS model, arg_max(response, w_at) AS response, 1 + count(*) AS hits FROM w WHERE w_at % 2 = 0 GROUP BY key),
+new AS (SELECT key, arg_max(model, w_at) AS model, arg_max(response, w_at) AS response, 1 AS hits FROM w WHERE w_at % 2 = 1 GROUP BY key)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE key NOT IN (SELECT key FROM new)
 """
 
 
 @query(_UPSERT_SQL)
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    writes = table(spark, sf_dir, "events").select(F.concat("event_type", F.lit("/"), (F.col("user_id") % 20).cast("string")).alias("key"), F.col("event_type").alias("model"), F.col("props").alias("response"), F.timestamp_seconds("event_id").alias("created_at"), "event_id")
-    half = requests.stored(writes.where("event_id % 2 = 0"))
-    # writes of both halves in order of time: merging the later half into the earlier one needs the later write of each key
-    every = writes.drop("event_id")
-    return requests.merged(half, every).select("key", "model", "response", "hits")
+    """Half of the events are in the cache, each looked up once; the other half is written into it."""
+    writes = table(spark, sf_dir, "events").select(F.concat_ws("/", "event_type", "user_id", F.floor(F.col("event_id") / 2) % 5).alias("key"), F.col("event_type").alias("model"), F.col("props").alias("response"), F.timestamp_seconds("event_id").alias("created_at"), "event_id")
+    before, after = writes.where("event_id % 2 = 0").drop("event_id"), writes.where("event_id % 2 = 1").drop("event_id")
+    old = requests.counted(requests.stored(before), before.select("key", F.lit(True).alias("cacheable")))
+    return requests.merged(old, after).select("key", "model", "response", "hits")
+
+
+_ANSWERS = "answers AS (SELECT model, k, arg_max('r' || conv_id, request_id) AS response FROM req WHERE i = 0 AND conv_id % 2 = 0 GROUP BY model, k)"
+
+
+def _answers(rows: DataFrame) -> DataFrame:
+    """The first request of every second conversation as writes to the cache."""
+    return rows.where("request_id % 4 = 0").select("key", "model", F.concat(F.lit("r"), F.floor(F.col("request_id") / 2).cast("string")).alias("response"), F.col("ts").alias("created_at"))
+
+
+@query(f"""WITH {_REQ}, {_ANSWERS}, asked AS (SELECT model, k, count(*) AS n FROM req WHERE NOT streaming GROUP BY model, k)
+SELECT request_id, response, CASE WHEN response IS NOT NULL THEN 1 + coalesce(n, 0) END AS hits FROM req LEFT JOIN answers USING (model, k) LEFT JOIN asked USING (model, k)""")
+def cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each request's cached response, and the hits of its entry after all lookups."""
+    rows = requests.keyed(adapters.requests(spark, sf_dir))
+    cache = requests.stored(_answers(rows))
+    hits = requests.counted(cache, rows).select("key", "hits")
+    return requests.looked_up(cache, rows).join(hits, "key", "left").select("request_id", "response", "hits")
+
+
+@query(f"WITH {_REQ}, {_ANSWERS}, n AS (SELECT count(*) AS n, max(response) AS r FROM answers) SELECT 0::BIGINT AS step, 0::BIGINT AS entries, NULL::VARCHAR AS largest UNION ALL SELECT 1, n, r FROM n UNION ALL SELECT 2, 0, NULL")
+def cache_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache at a path: before anything was stored, as it is read back, and after it was cleared."""
+    path = fresh_path(spark, "cache")
+    look = lambda step: requests.open_cache(spark, path).agg(F.count("*").alias("entries"), F.max("response").alias("largest")).select(F.lit(step).cast("long").alias("step"), "entries", "largest").collect()  # noqa: E731  one row
+    seen = look(0)
+    requests.save_cache(requests.stored(_answers(requests.keyed(adapters.requests(spark, sf_dir)))), path)
+    seen += look(1)
+    requests.clear_cache(spark, path)
+    return spark.createDataFrame(seen + look(2), "step long, entries long, largest string")
 
 
 @query(f"""WITH {_REQ}, sized AS (SELECT *, greatest(1, (2 + len(m) - 1 + list_sum(list_transform(m, lambda x: length(CAST(to_json({{'role': x.role, 'content': trim(x.content, {_WS}) || chr(10) || '[DATE]'}}) AS VARCHAR))))) // 4) AS before FROM replayed)
@@ -538,8 +571,6 @@ def proxy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _request_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The request log as files, then as a stream of them, in order of time by file."""
-    from thriftlens.storage import fresh_path
-
     path = fresh_path(spark, "requests")
     adapters.requests(spark, sf_dir).repartitionByRange(4, "ts").write.parquet(path)
     return streams.request_log(spark, path)
@@ -551,10 +582,88 @@ def proxy_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ratio(streams.finished(stats, "complete", "stats"))
 
 
-@query(f"""SELECT count(*) AS total_requests, CAST(floor(epoch(min(ts))) AS BIGINT) AS first_s, round((1700003600 - 1700000000) / 3600::DOUBLE, 6) AS hours FROM events""")
+@query("SELECT user_id, count(*) AS total_requests, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE / 3600::DOUBLE, 6) AS hours FROM events GROUP BY user_id")
 def runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = accounting.hours(F.lit(1_700_000_000), F.lit(1_700_003_600))
-    return table(spark, sf_dir, "events").agg(F.count("*").alias("total_requests"), F.floor(F.unix_micros(F.min(F.col("ts").cast("timestamp"))) / 1_000_000).alias("first_s"), F.round(F.max(now), 6).alias("hours"))
+    """Hours from each user's first event to the last."""
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
+    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("total_requests"), F.min(seconds).alias("start"), F.max(seconds).alias("now"))
+    return per.select("user_id", "total_requests", F.round(accounting.hours(F.col("start"), F.col("now")), 6).alias("hours"))
+
+
+@query(f"""WITH {_REQ}, told AS (SELECT api, completion_tokens, list_transform(m, lambda x: {{'role': x.role, 'content': x.content || CASE WHEN i = 0 THEN chr(10) || '2024-05-06' ELSE '  ' || chr(13) || chr(10) || '2025-11-12' || chr(13) || chr(10) END}}) AS m FROM req WHERE conv_id % 5 <> 0)
+SELECT count(*) AS total_requests, CAST(sum(length(CAST(to_json(m) AS VARCHAR)) // 4) AS BIGINT) AS total_input_tokens_before, CAST(sum(completion_tokens) AS BIGINT) AS total_output_tokens, api, (SELECT count(*) FROM req WHERE conv_id % 5 = 0) AS passed_on FROM told GROUP BY api""")
+def proxy_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by API of raw requests, routed by their path, and how many went elsewhere."""
+    log = accounting.routed(adapters.raw_requests(spark, sf_dir))
+    other = log.where("api is null").agg(F.count("*").alias("passed_on"))
+    per = accounting.stats(log, by=["api"]).select("total_requests", "total_input_tokens_before", "total_output_tokens", "api")
+    return per.crossJoin(F.broadcast(other))  # one row
+
+
+@query(f"""{_PROXY.split("SELECT api, count(*)")[0]} SELECT count(*) AS total_requests, CAST(sum(before) AS BIGINT) AS total_input_tokens_before, CAST(sum(after) AS BIGINT) AS total_input_tokens_after, CAST(sum(out) AS BIGINT) AS total_output_tokens,
+round(sum((before - after) / 1e6::DOUBLE * CASE WHEN api = 'chat' THEN 2.5::DOUBLE ELSE 3.0::DOUBLE END), 4) AS estimated_cost_saved FROM sized""")
+def stats_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The totals as they are read back from their file."""
+    path = fresh_path(spark, "stats")
+    accounting.save_stats(accounting.stats(adapters.requests(spark, sf_dir), "half"), path)
+    return accounting.load_stats(spark, path)
+
+
+# --- sources: files that are written from the conversations and read back --------------------------------------
+
+_CONVS = "SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL"
+_DB_SESSION = f"SELECT CAST(conv_id AS VARCHAR) AS session_id, {_MODELS}[conv_id % {len(adapters.MODELS)} + 1] AS model, CASE WHEN conv_id % 4 = 0 THEN 0 ELSE conv_id % 50 END AS message_count, conv_id * 10 AS input_tokens, 0::BIGINT AS output_tokens, conv_id / 8::DOUBLE AS cost_usd"
+_DB_COLUMNS = ["session_id", "model", "message_count", "input_tokens", "output_tokens", "cost_usd"]
+
+
+@query(f"{_DB_SESSION} FROM (SELECT DISTINCT conv_id FROM ({_CONVS}))")
+def database_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return database.read_database(spark, adapters.session_database(spark, sf_dir))[0].select(*_DB_COLUMNS)
+
+
+@query(f"""SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, coalesce(text, '') AS content, CASE WHEN turn % 2 = 0 THEN 'tool' END AS tool_name,
+CASE WHEN turn <> 0 THEN turn END AS token_count, CASE WHEN turn % 3 = 1 AND conv_id % 5 <> 0 THEN 'look_up' END AS called, CASE WHEN turn % 3 = 1 AND conv_id % 5 = 0 THEN 'not json' END AS raw FROM ({_CONVS}) WHERE turn % 7 <> 6""")
+def database_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active messages in the order of their ids, calls parsed."""
+    m = database.read_database(spark, adapters.session_database(spark, sf_dir))[1]
+    return m.select("session_id", "idx", "role", "content", "tool_name", "token_count", F.col("tool_calls")[0]["function"]["name"].alias("called"), F.col("tool_calls_raw").alias("raw"))
+
+
+@query(f"{_DB_SESSION}, (SELECT count(*) FROM ({_CONVS}) AS m WHERE m.conv_id = c.conv_id AND turn % 7 <> 6) AS messages, how FROM (SELECT min(conv_id) AS conv_id, 'id' AS how FROM ({_CONVS}) UNION ALL SELECT max(conv_id), 'latest' FROM ({_CONVS})) AS c")
+def database_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One session by its id, as a user names it, and the session that began last."""
+    path = adapters.session_database(spark, sf_dir)
+    first = table(spark, sf_dir, "conversations").agg(F.min("conv_id")).first()[0]
+    out = []
+    for how, found in (("id", resolve.read_session(spark, str(first), database=path)), ("latest", resolve.read_session(spark, database=path))):
+        out.append(found[0].select(*_DB_COLUMNS).crossJoin(F.broadcast(found[1].agg(F.count("*").alias("messages")))).withColumn("how", F.lit(how)))  # one row each
+    return out[0].unionByName(out[1])
+
+
+_JSON_CHARS = r"length(regexp_replace(regexp_replace(regexp_replace({0}, '[\x{{10000}}-\x{{10FFFF}}]', repeat('u', 12), 'g'), '[^ -~\n\r\t\f\x08]', repeat('u', 6), 'g'), '[\x22\\\n\r\t\f\x08]', 'uu', 'g'))"
+_DUMPED = f"""
+SELECT conv_id || '_a_b' AS session_id, {_MODELS}[conv_id % {len(adapters.MODELS)} + 1] AS model, count(*) AS message_count, count(*) FILTER (WHERE role = 'assistant' AND turn % 3 = 1) AS tool_call_count,
+greatest(1, CAST(sum({len(json.dumps({"role": "", "content": ""}))} - 2 + {_JSON_CHARS.format("role")} + CASE WHEN text IS NULL THEN 4 ELSE 2 + {_JSON_CHARS.format("text")} END + CASE WHEN turn % 3 = 1 THEN {len(json.dumps({"tool_calls": adapters.CALL}))} ELSE 0 END) AS BIGINT) // 4) AS input_tokens
+FROM ({_CONVS}) GROUP BY conv_id
+"""
+_DUMP_COLUMNS = ["session_id", "model", "message_count", "tool_call_count", "input_tokens"]
+
+
+@query(_DUMPED)
+def dump_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dumps.read_dumps(spark, adapters.request_dumps(spark, sf_dir))[0].select(*_DUMP_COLUMNS)
+
+
+@query(f"SELECT conv_id || '_a_b' AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, text AS content, CASE WHEN turn % 3 = 1 THEN 'look_up' END AS called FROM ({_CONVS})")
+def dump_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = dumps.read_dumps(spark, adapters.request_dumps(spark, sf_dir))[1]
+    return m.select("session_id", "idx", "role", "content", F.col("tool_calls")[0]["function"]["name"].alias("called"))
+
+
+@query(f"SELECT * FROM ({_DUMPED}) ORDER BY CAST(string_split(session_id, '_')[1] AS BIGINT) % 2 DESC, CAST(string_split(session_id, '_')[1] AS BIGINT) DESC LIMIT 1")
+def dump_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest dump of a folder; the index file beside it is newer still."""
+    return resolve.read_session(spark, adapters.request_dumps(spark, sf_dir))[0].select(*_DUMP_COLUMNS)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import os
+import sqlite3
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thriftlens.operators.tables import Tables
 from thriftlens.schema import CALLS
-from thriftlens.storage import table, written
+from thriftlens.storage import fresh_path, table, written
 
 MODELS = ["claude-opus-4-8", "claude-haiku-4.5", "gpt-5", "gpt-4o-mini-2024", "o3", "unknown", "deepseek-v4-pro", "gemini-3-pro", "no-such-model"]
 PHRASES = ["still running?", "Add a test for the parser", "any updates?", "all quiet", "Rename the column and run it again", "checking status", "what does this function do"]
@@ -92,3 +96,77 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.lit(None).cast("string").alias(c) for c in ("stop", "tools", "response_format")],
         (F.col("conv_id") % 100).cast("long").alias("prompt_tokens"), (F.col("conv_id") % 50).cast("long").alias("completion_tokens"), (F.col("conv_id") % 150).cast("long").alias("total_tokens"),
     )
+
+
+# --- files of other systems, made from the conversations to be read back ---------------------------------------
+
+#: The tool call of every third message of a conversation; in a database, every fifth conversation has what isn't JSON.
+CALL = [{"id": "c", "type": "function", "function": {"name": "look_up", "arguments": "{}"}}]
+
+
+def _local(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that Python can open."""
+    path = fresh_path(spark, name).removeprefix("file://").removeprefix("file:")
+    if "://" in path:
+        raise ValueError("session databases and dumps need a shared folder that is mounted")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return path
+
+
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
+
+
+def session_database(spark: SparkSession, sf_dir: str) -> str:
+    """A session database of all conversations, written row by row: the path of the file.
+
+    A later conversation began later. Every seventh message is inactive.
+    """
+    path = _local(spark, "sessions.db")
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE sessions(id TEXT, model TEXT, message_count INT, tool_call_count INT, input_tokens INT, output_tokens INT, estimated_cost_usd REAL, started_at REAL)")
+        db.execute("CREATE TABLE messages(id INTEGER, session_id TEXT, role TEXT, content TEXT, tool_calls TEXT, tool_name TEXT, token_count INT, active INT)")
+        seen = None
+        for r in _turns(spark, sf_dir).toLocalIterator():
+            if r.conv_id != seen:
+                seen = r.conv_id
+                db.execute("INSERT INTO sessions VALUES(?,?,?,?,?,?,?,?)", (str(seen), MODELS[seen % len(MODELS)], None if seen % 4 == 0 else seen % 50, 0, seen * 10, None, seen / 8, float(seen)))
+            calls = None if r.turn % 3 != 1 else "not json" if seen % 5 == 0 else json.dumps(CALL)
+            db.execute("INSERT INTO messages VALUES(?,?,?,?,?,?,?,?)", (r.turn - seen * 1000, str(seen), r.role, r.text, calls, "" if r.turn % 2 else "tool", r.turn, int(r.turn % 7 != 6)))
+    db.close()
+    return path
+
+
+def request_dumps(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a dump of each conversation; the one of the largest odd id is the newest, but for the index file."""
+    folder = _local(spark, "dumps")
+    os.makedirs(folder)
+    held: list[dict] = []
+
+    def flush(conv: int) -> None:
+        body = {"model": MODELS[conv % len(MODELS)], "messages": held}
+        path = f"{folder}/request_dump_{conv}_a_b_c.json"
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump({"request": {"method": "POST", "body": json.dumps(body) if conv % 2 else body}}, f)
+        os.utime(path, (1_700_000_000 + (conv if conv % 2 else -conv),) * 2)
+
+    last = None
+    for r in _turns(spark, sf_dir).toLocalIterator():
+        if last is not None and r.conv_id != last:
+            flush(last)
+            held.clear()
+        last = r.conv_id
+        held.append({"role": r.role, "content": r.text} | ({"tool_calls": CALL} if r.turn % 3 == 1 else {}))
+    if last is not None:
+        flush(last)
+    with open(f"{folder}/sessions.json", "w", encoding="utf-8") as f:
+        f.write("{}")
+    return folder
+
+
+def raw_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The request log as it comes in: path and body. Every fifth conversation asks for something that isn't counted."""
+    log = requests(spark, sf_dir)
+    path = F.when(F.floor(F.col("request_id") / 2) % 5 == 0, "/v1/models").when(F.col("api") == "chat", "/v1/chat/completions").otherwise("/behind/v1/messages?beta=true")
+    body = F.to_json(F.struct("model", F.col("streaming").alias("stream"), "messages", F.lit(0.5).alias("temperature")))
+    return log.select("request_id", "ts", path.alias("path"), body.alias("body"), "prompt_tokens", "completion_tokens", "total_tokens")

@@ -24,8 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that nobody has used."""
-    return f"{shared_dir(spark)}/thriftlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that nobody has used; what is there when the application ends is deleted."""
+    path = f"{shared_dir(spark)}/thriftlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

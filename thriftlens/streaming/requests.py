@@ -34,7 +34,9 @@ def replay(stream: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
     """request_id, key, is_hit of each cacheable request, with one entry of state per key.
 
     A key that was never seen misses, then hits. Entries stay for good, as in the cache itself; forget_after_ms
-    drops keys that weren't asked for in that time. Within a micro-batch requests go by (ts, request_id).
+    drops keys that weren't asked for in that time. Within a micro-batch requests go by (ts, request_id), in
+    whatever order and however many batches they come: one row of a key is held back, its earliest so far, and all
+    others are passed on as hits, so memory doesn't grow with a popular key.
     """
     rows = requests.keyed(stream).where("cacheable").select("key", "request_id", "ts")
 
@@ -42,13 +44,17 @@ def replay(stream: DataFrame, forget_after_ms: int | None = None) -> DataFrame:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = state.exists
-        for b in batches:  # sorted inside a batch of one key; later batches of it are later requests
-            b = b.sort_values(["ts", "request_id"])
-            hit = [True] * len(b)
-            if not seen and len(b):
-                hit[0], seen = False, True
-            yield pd.DataFrame({"request_id": b["request_id"], "key": key[0], "is_hit": hit})
+        out = lambda ids, hit: pd.DataFrame({"request_id": ids, "key": key[0], "is_hit": hit})
+        held: pd.DataFrame | None = None
+        for b in batches:
+            if state.exists:
+                yield out(b["request_id"], True)
+                continue
+            b = pd.concat([held, b], ignore_index=True)
+            held = b.sort_values(["ts", "request_id"]).head(1)
+            yield out(b["request_id"].drop(held.index), True)
+        if held is not None:
+            yield out(held["request_id"], False)
         state.update((True,))
         if forget_after_ms:
             state.setTimeoutDuration(forget_after_ms)
