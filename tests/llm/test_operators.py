@@ -22,16 +22,16 @@ def test_sql(agrees):
         agrees(queries.QUERIES[name], sql)
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_components(spark, few):
+@pytest.mark.parametrize("chunk,parts", [(1, 3), (7, 5), (1000, 4), (1000, 1)])
+def test_components(spark, chunk, parts):
     import random
 
-    r = random.Random(few)
+    r = random.Random(chunk)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(170)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5000, 5000 + i) for i in range(1, 60)] + [(7, 7)]
     sets = {i: i for x in links for i in x if x[0] != x[1]}
     pairs = {frozenset(x) for x in links}
     want = least_linked(sets, lambda a, b: frozenset((a, b)) in pairs)
-    out = components(spark.createDataFrame(links, "a long, b long"), few=few).collect()
+    out = components(spark.createDataFrame(links, "a long, b long").repartition(parts), chunk=chunk).collect()
     assert len(out) == len(want) and {x["node"]: x["comp"] for x in out} == want
 
 
@@ -267,7 +267,8 @@ def test_a_large_family_in_blocks(spark):
             w[r.randrange(len(w))] = f"x{r.random()}"
         out.append((1000 - i, " ".join(w)))
     df = spark.createDataFrame(out, "doc_id long, text string")
-    check_near(df, 85, 100, minhash.Plan(5, 85, 100, block=16))
+    check_near(df, 85, 100, minhash.Plan(5, 85, 100, block=16, pivots=4))
+    check_near(df, 85, 100, minhash.Plan(5, 85, 100, most=2000, pivots=1))
 
 
 def test_exactly_at_the_threshold(spark):
@@ -288,11 +289,9 @@ def test_one_of_each_stays(docs, no_docs):
 
 def test_blocks_of_a_comparison_agree():
     plan = minhash.Plan(2, 1, 2)
-    texts = [b"a b c d", b"a b c e", b"x y z", None, b"A B C D"]
-    a, b = minhash.compare(np.arange(5), np.zeros(5, int), texts, plan)
-    assert sorted(map(tuple, map(sorted, zip(a, b)))) == [(0, 1), (0, 4)]
-    a, b = minhash.compare(np.arange(5), np.array([0, 1, 1, 0, 1]), texts, plan)
-    assert sorted(map(tuple, map(sorted, zip(a, b)))) == [(0, 1), (0, 4)]
+    texts = [b"a b c d", b"a b c e", b"x y z", b"q", b"A B C D", b"q"]
+    a, b = minhash.compare(np.arange(6), [shingles.shingle_set(t, 2) for t in texts], plan)
+    assert sorted(map(tuple, map(sorted, zip(a, b)))) == [(0, 1), (0, 4), (3, 5)]
 
 
 def test_long_words_are_told_apart():

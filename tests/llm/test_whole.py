@@ -6,10 +6,10 @@ import random
 import numpy as np
 import pytest
 
-from thriftlens.llm import linededup, minhash
+from thriftlens.llm import linededup, minhash, mixing
 from thriftlens.llm.common import components
 
-from .test_operators import brute_lines, check_near, least_linked
+from .test_operators import brute_lines, check_mix, check_near, least_linked
 
 
 # --- line dedup: the end of a repeated passage
@@ -122,3 +122,50 @@ def test_rows_without_an_id_are_documents_of_their_own(spark):
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in left) == sorted(map(lambda r: (str(r[0]), str(r[1])), [(None, other), (None, copied), (None, ""), (None, None), (1, "left"), out[5]]))
     kept = linededup.without_repeats(df)
     assert kept.columns == df.columns and kept.count() == 5
+
+
+# --- one id with several texts, in any order of rows
+
+
+def test_near_duplicates_of_an_id_with_several_texts(spark):
+    text = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
+    a, b, c = text("a"), text("b"), text("c")
+    out = [(1, a, "x"), (2, a + " more", "x"), (2, b, "x"), (3, b, "x"), (4, c, "x"), (4, c + " more", "x"), (None, a, "x"), (5, "", "x"), (5, " ", "x"), (5, "", "x"), (4, c, "x")]
+    want = sorted([(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (4, 4, True), (4, 4, True), (4, 4, True), (None, None, False), (5, 5, True), (5, 5, True), (5, 5, True)], key=str)
+    stay = []
+    for rows in (out, out[::-1], out[5:] + out[:5]):
+        df = spark.createDataFrame(rows, "doc_id long, t string, grp string").withColumnRenamed("t", "text").repartition(3)
+        assert sorted([(r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()], key=str) == want
+        left = minhash.first_of_each(df)
+        assert left.columns == ["doc_id", "text", "grp"]
+        stay.append(sorted(map(str, map(tuple, left.collect()))))
+    assert stay[0] == stay[1] == stay[2] and len(stay[0]) == 6 and str((2, b, "x")) in stay[0] and str((None, a, "x")) in stay[0]
+
+
+def test_a_mix_of_rows_of_one_id(spark):
+    out = [(7, f"{'w ' * (i % 9)}", "s" if i % 3 else "t") for i in range(200)] + [(None, "a b c", None)] * 40 + [(i, "one two three", "t") for i in range(100)]
+    seen = []
+    for rows in (out, out[::-1]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+        check_mix(df)
+        seen.append((sorted(map(str, mixing.mixture(df).collect())), sorted(map(str, mixing.mixed(df).collect()))))
+    assert seen[0] == seen[1]
+
+
+# --- MinHash: large families
+
+
+def test_a_family_of_two_parts_and_strangers(spark):
+    """More members than a block has, in two parts that only a few members join, and some that are like neither."""
+    r, base, out = random.Random(6), [f"b{i}" for i in range(120)], []
+    other = base[:99] + [f"c{i}" for i in range(21)]
+    for i in range(260):
+        w = list(base if i % 2 else other)
+        if i % 13 == 0:
+            w = base[:108] + [f"c{k}" for k in range(9, 21)]
+        for _ in range(i % 4):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        out.append((i, " ".join(w)))
+    df = spark.createDataFrame(out, "doc_id long, text string")
+    check_near(df, 85, 100, minhash.Plan(5, 85, 100, block=32, pivots=3))
+    check_near(df, 80, 100, minhash.Plan(5, 80, 100, block=32, pivots=3, sketches=16))

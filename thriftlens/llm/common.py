@@ -40,6 +40,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and lost executors don't matter."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/thriftlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)  # whatever is left when the application ends
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._thriftlens_path = path
@@ -55,12 +57,6 @@ def dropped(table: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def swept(spark: SparkSession) -> None:
-    """Delete every table that this application wrote; call it when its results are no longer needed."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/thriftlens/{spark.sparkContext.applicationId}")
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def small_batches(spark: SparkSession, mb: int = 4) -> None:
     """Bound an Arrow batch by bytes, so that a run of long texts can't fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
@@ -152,8 +148,8 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Links that one task takes at most (16 MB); larger graphs are worked on by all.
-FEW_LINKS = 1_000_000
+#: Links that are contracted at once (16 MB).
+CHUNK = 1_000_000
 
 
 def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,45 +170,55 @@ def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         label = new
 
 
-def components(edges: DataFrame, few: int = FEW_LINKS, most_rounds: int = 60) -> DataFrame:
+def contracted(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Links (u, v) that connect the same nodes: in each chunk of a partition, every node with the least one it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def stars() -> pa.RecordBatch:
+            nodes, least = least_reached(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+            more = nodes != least
+            return pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(least[more])], ["u", "v"])
+
+        n = 0
+        for b in batches:
+            u, v = column(b, "u").to_numpy(), column(b, "v").to_numpy()
+            for i in range(0, len(u), chunk):
+                held.append((u[i : i + chunk], v[i : i + chunk]))
+                n += len(held[-1][0])
+                if n >= chunk:
+                    yield stars()
+                    held, n = [], 0
+        if held:
+            yield stars()
+
+    return mapped(links.select(F.col("u").cast("long"), F.col("v").cast("long")), run, "u long, v long").distinct()
+
+
+def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Connected components of links (a, b): rows (node, comp), comp the smallest node of each.
 
-    Alternating large-star and small-star steps: edges are rewired to the least neighbour until a round
-    changes nothing, or until so few are left that one task can finish them. Nodes without a link don't
-    appear. Every step's minima are written first, so that the join with them has exchanges on both sides and
-    Spark can split a node that has very many links.
+    Chunks of links are contracted where they lie; then large-star and small-star steps rewire links to the least
+    neighbour, each followed by a contraction, until all links are stars whose centres have no link of their own. That
+    is seen from one aggregate over the nodes. Nodes without a link don't appear. Every step's minima are written
+    first, so that the join with them has exchanges on both sides and Spark can split a node that has very many links.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    if e.count() <= few:
-        return _finished(e)
-    before = None
-    for _ in range(most_rounds):
+    e = written(contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), chunk), "links")
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-        large = written(both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        large = written(both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least2 = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
-        small = large.join(least2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(small.unionByName(least2.select("u", F.col("m").alias("v"))).distinct(), "links")
-        after = new.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
+        small = large.join(least2.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = written(contracted(small.unionByName(least2.select("u", F.col("m").alias("v"))), chunk), "links")
         for t in (least, large, least2, e):
             dropped(t)
         e = new
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def _finished(e: DataFrame) -> DataFrame:
-    """components() of a table of few links (u, v), in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(column(b, "u").to_numpy(), column(b, "v").to_numpy()) for b in batches if b.num_rows]
-        if held:
-            nodes, comp = least_reached(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
-            for i in range(0, len(nodes), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 50_000]), pa.array(comp[i : i + 50_000])], ["node", "comp"])
-
-    return written(mapped(e.repartition(1), run, "node long, comp long"), "components")
+def _stars(e: DataFrame) -> bool:
+    """Whether each node of links (u, v) has one link up, or only links from below."""
+    ends = e.select(F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").limit(1).count()

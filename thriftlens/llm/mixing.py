@@ -11,9 +11,11 @@ folded to one residual, longest documents first (so that the one left over tends
 residuals are the documents of the next level, until one block is left for each source. A level is one shuffle of
 what the level below left over; a large source only has more blocks.
 
-Defined results: null text has size 0 and is taken 0 words. Sources are ordered by code point with null last.
-No words at all: every target is 0. Repeated rows are separate documents. Equal inputs give equal results:
-chance comes from hashes of doc_id. Other columns are ignored.
+Defined results: null text has size 0 and is taken 0 words. A very long text is one document, counted whole. Sources
+are ordered by code point with null last. No words at all: every target is 0. Repeated rows are separate documents.
+One doc_id (or none) with several texts or sources: separate documents too. Equal inputs give equal results in any
+order of rows: chance comes from hashes of doc_id and text, and rows that are equal in id, source and text are
+numbered among themselves. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,14 +34,13 @@ _TINY = 1e-9
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, rep (which of the rows of this id), source, size in words."""
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words.alias("size"))
-    return rows.withColumn("rep", _rep(F.col("size")))
+    """doc_id, source, size in words, t (a hash of the text), rep (which of the rows that are equal in these)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", _words().alias("size"), F.xxhash64("text").alias("t"))
+    return rows.withColumn("rep", F.row_number().over(W.partitionBy("doc_id", "source", "t").orderBy("size")))
 
 
-def _rep(size: Column) -> Column:
-    return F.row_number().over(W.partitionBy("doc_id").orderBy(F.col("source"), size))
+def _words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -66,7 +67,7 @@ def targets(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int =
 
 def _folded(level: int) -> Column:
     """items (sorted structs) -> struct(cur: the one document left over, out: those whose words are decided)."""
-    names = ("size", "u", "doc_id", "rep", "base")
+    names = ("size", "u", "doc_id", "t", "rep", "base")
 
     def step(acc: Column, x: Column) -> Column:
         c = acc["cur"]
@@ -87,7 +88,7 @@ def _folded(level: int) -> Column:
 
 
 def decisions(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """doc_id, rep, source, size, source_size, target, copies: one row per row of docs."""
+    """doc_id, t, rep, source, size, source_size, target, copies: one row per row of docs."""
     rows = written(sized(docs), "sized")
     goal = written(targets(rows, weights, share, most), "targets")
     largest = goal.agg(F.max("n")).first()[0] or 0
@@ -96,15 +97,15 @@ def decisions(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int
     shares = rows.join(right, F.col("source").eqNullSafe(F.col("_source"))).withColumn("copies", copies)
     shares = shares.withColumn("base", F.least(F.floor("copies"), F.lit(most)).cast("int"))
     shares = shares.withColumn("mass", F.greatest(F.col("copies") - F.col("base"), F.lit(0.0)) * F.col("size"))
-    shares = shares.withColumn("fixed", (F.col("mass") <= F.col("size") * _TINY)).withColumn("u", F.xxhash64("doc_id", "rep"))
-    shares = written(shares.select("doc_id", "rep", "source", "size", "source_size", "target", "base", "mass", "fixed", "u", "n"), "shares")
-    keep = ["doc_id", "rep", "source", "size", "source_size", "target"]
+    shares = shares.withColumn("fixed", (F.col("mass") <= F.col("size") * _TINY)).withColumn("u", F.xxhash64("doc_id", "t", "rep"))
+    shares = written(shares.select("doc_id", "t", "rep", "source", "size", "source_size", "target", "base", "mass", "fixed", "u", "n"), "shares")
+    keep = ["doc_id", "t", "rep", "source", "size", "source_size", "target"]
     done = shares.where("fixed").select(*keep, F.col("base").alias("copies"))
     still = shares.where("not fixed").drop("fixed").withColumn("blocks", F.ceil(F.col("n") / FAN).cast("long"))
     blocks, level = -(-largest // FAN), 0
     while True:
         dealt = still.withColumn("blk", F.pmod(F.xxhash64("u", F.lit(1000 + level)), "blocks"))
-        item = F.struct("size", "u", "doc_id", "rep", "base", "mass")
+        item = F.struct("size", "u", "doc_id", "t", "rep", "base", "mass")
         groups = dealt.groupBy("source", "blk").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"), *[F.first(c).alias(c) for c in ("source_size", "target", "blocks")])
         folded = groups.select("source", "source_size", "target", "blocks", _folded(level).alias("f"))
         flat = folded.select("source", "source_size", "target", "blocks", F.posexplode(F.concat(F.array("f.cur"), F.col("f.out"))).alias("p", "d"))
@@ -128,12 +129,13 @@ def mixture(docs: DataFrame) -> DataFrame:
 
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken."""
-    id_, rep, copies, nth, copy = (unused_name(docs, n) for n in ("_id", "_rep", "_copies", "_nth", "_copy"))
-    d = written(decisions(docs, weights, share, most).select(F.col("doc_id").alias(id_), F.col("rep").alias(rep), F.col("copies").alias(copies)), "decided")
-    rows, on = docs, F.col("doc_id").cast("long").eqNullSafe(F.col(id_))
+    id_, of, text, rep, copies, nth, copy = (unused_name(docs, n) for n in ("_id", "_of", "_text", "_rep", "_copies", "_nth", "_copy"))
+    d = decisions(docs, weights, share, most).select(F.col("doc_id").alias(id_), F.col("source").alias(of), F.col("t").alias(text), F.col("rep").alias(rep), F.col("copies").alias(copies))
+    d = written(d, "decided")
+    rows, own = docs, F.col("doc_id").cast("long")
+    on = own.eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(text))
     if d.where(F.col(rep) > 1).limit(1).count():
-        words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        rows = docs.withColumn(nth, F.row_number().over(W.partitionBy(F.col("doc_id").cast("long")).orderBy(F.col("source"), words)))
+        rows = docs.withColumn(nth, F.row_number().over(W.partitionBy(own, "source", F.xxhash64("text")).orderBy(F.lit(0))))
         on = on & (F.col(nth) == F.col(rep))
     taken = rows.join(d.where(F.col(copies) > 0).hint("merge"), on).withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies))))
     return taken.select(*docs.columns)
