@@ -1,24 +1,27 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
-Each curve projects unit vectors on its own random orthogonal directions, shifts and cuts each coordinate into
-equal shares of the data, and orders the vectors by their Hilbert key. One range partition (curve, key) sorts
-all curves at once; running counts and one row per partition turn keys into positions. Around a query's position
-on each curve, a window of neighbours is compared by cosine in double precision; the curves' best are merged and
-ranked again.
-
-The width of the window is fitted, not chosen: for a bounded sample of queries (`sample`) the exact neighbours
-are found by comparing them, in one block, with all vectors, and the window is made just wide enough that
-`aim` of those neighbours lie inside it on some curve. The share of the data that this takes follows from the
-data: near copies need a few positions, featureless noise a large part. Windows are read in blocks of positions,
-so a task holds a block of vectors and the queries that reach into it, whatever the width.
+Each curve projects unit vectors on its own orthogonal directions, drawn at random from the covariance of a sample (so
+that axes along which the data spread count more), shifts and cuts each coordinate into equal shares of the data, and
+orders the vectors by their Hilbert key. One range partition (curve, key) sorts all curves at once; running counts and
+one row per partition turn keys into positions. Around a query's position on each curve, a window of neighbours is
+compared by quantized codes (16 bits a component). The curves' best are merged, and the few that are left of each query
+are compared by cosine in double precision on the original vectors, and ranked.
+
+The width of the window and the number of curves are fitted, not chosen: for a bounded sample of queries (`sample`) the
+exact neighbours are found by comparing them, in one block, with all vectors. One pass counts how many keys lie below
+theirs, which gives their positions without a sort. Of the numbers of curves up to `curves`, the one is taken whose
+windows, just wide enough that `aim` of those neighbours lie inside on some curve, hold the fewest vectors in all. The
+share of the data that this takes follows from the data: near copies need a few positions, featureless noise a large
+part. Data and queries are dealt by blocks of positions, so a task holds a block of codes and the queries of a stretch
+of `every` blocks that reach it, whatever the width.
 
 Equal vectors are one point of a curve with the k + 1 least ids (more can't be in a result), so a vector that is
-repeated very often is no crowd at a position.
+repeated very often is no crowd at a position, and is asked for once.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite parts takes no part, as query or
-as candidate. Vectors of another length than the most frequent one take no part either. Fewer than k
-candidates: all of them. Ties go to the smaller vec_id. Rows of one vec_id are one vector. Other columns are
-ignored.
+as candidate. Vectors of different length aren't compared: each length has curves of its own (lengths are few; each
+is a round of jobs). Fewer than k candidates: all of them. Ties go to the smaller vec_id. Rows of one vec_id are one
+vector; if they differ, the one with the least hash counts. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -84,9 +87,11 @@ class Curves:
 def fit_curves(sample: np.ndarray, curves: int, d: int, bits: int, seed: int = 1) -> Curves:
     rng, dim = np.random.default_rng(seed), sample.shape[1]
     d = min(d, dim)
+    values, axes = np.linalg.eigh(sample.T @ sample / len(sample))
+    root = axes * np.sqrt(np.maximum(values, values[-1] * 1e-6))
     turns, cuts = [], []
     for _ in range(curves):
-        turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:, :d]
+        turn = np.linalg.qr(root @ rng.normal(size=(dim, d)))[0]
         y = np.sort(sample @ turn, axis=0)
         # shares of equal size, shifted by up to half a share: another shift on each curve
         at = (np.arange(1, 1 << bits)[:, None] + rng.uniform(-0.5, 0.5, (1, d))) / (1 << bits)
@@ -100,15 +105,35 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
-def points_of(vectors: DataFrame, k: int) -> DataFrame:
-    """pid, ids (the k + 1 least vec_ids), x: one row for each distinct vector of the most frequent length."""
+def halved(v: np.ndarray) -> np.ndarray:
+    """v scaled by a power of 2, which no product can tell, to a greatest component of 0.5 to 1."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
+
+
+def coded(x: np.ndarray) -> list[bytes]:
+    """A float32 scale and 16 bits a component of each unit vector."""
+    scale = (np.abs(x).max(1) / 32767).astype(np.float32)
+    return [s.tobytes() + q.tobytes() for s, q in zip(scale, np.rint(x / scale[:, None]).astype(np.int16))]
+
+
+def uncoded(codes: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
+    return raw[:, 4:].copy().view(np.int16).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+
+
+def points_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(points: pid, ids (the k + 1 least vec_ids), v, dim of each distinct vector; ids: vec_id, pid of each id)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = rows.where(usable("v") & F.col("vec_id").isNotNull())
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    rows = rows.where(F.size("v") == (common[0]["n"] if common else 0)).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
-    ranked = rows.withColumn("r", F.dense_rank().over(W.partitionBy("h1", "h2").orderBy("vec_id"))).where(F.col("r") <= k + 1)
-    points = ranked.groupBy("h1", "h2").agg(F.min("vec_id").alias("pid"), F.sort_array(F.collect_set("vec_id")).alias("ids"), F.first("v").alias("v"))
-    return written(points.select("pid", "ids", "v"), "points")
+    rows = rows.where(usable("v") & F.col("vec_id").isNotNull()).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
+    each = rows.groupBy("vec_id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("vec_id", "h.h1", "h.h2")
+    each = written(each, "ids")
+    # the least ids of a vector in two steps: of each part of its ids first, so that no vector is one task
+    order = lambda *by: F.row_number().over(W.partitionBy("h1", "h2", *by).orderBy("vec_id"))
+    some = each.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(256))).withColumn("r", order("part")).where(F.col("r") <= k + 1)
+    some = written(some.withColumn("r", order()).where(F.col("r") <= k + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "least")
+    points = rows.groupBy("h1", "h2").agg(F.first("v").alias("v")).join(some.hint("merge"), ["h1", "h2"])
+    points = written(points.select("h1", "h2", F.col("ids")[0].alias("pid"), "ids", "v", F.size("v").alias("dim")), "points")
+    return points.select("pid", "ids", "v", "dim"), each.join(points.select("h1", "h2", "pid", "dim").hint("merge"), ["h1", "h2"]).select("vec_id", "pid", "dim")
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -117,48 +142,41 @@ def matrix(lists: pa.Array) -> np.ndarray:
 
 
 def positions(points: DataFrame, curves: Curves) -> DataFrame:
-    """curve, pos, pid, ids, v: each point's place on each curve, from 0."""
+    """curve, pos, pid, code: each point's place on each curve, from 0."""
     shared = points.sparkSession.sparkContext.broadcast(curves)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = shared.value.keys(unit(matrix(column(b, "v"))))
-            for c, key in enumerate(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), pa.array(key), *(column(b, n) for n in ("pid", "ids", "v"))], ["curve", "key", "pid", "ids", "v"])
+            x = unit(matrix(column(b, "v")))
+            codes = pa.array(coded(x), pa.binary())
+            for c, key in enumerate(shared.value.keys(x)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), pa.array(key), column(b, "pid"), codes], ["curve", "key", "pid", "code"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for b in batches:
-            yield pa.RecordBatch.from_arrays([column(b, "curve"), pa.array(np.arange(n, n + b.num_rows)), *(column(b, c) for c in ("pid", "ids", "v", "part"))], ["curve", "nth", "pid", "ids", "v", "part"])
+            yield pa.RecordBatch.from_arrays([column(b, "curve"), pa.array(np.arange(n, n + b.num_rows)), *(column(b, c) for c in ("pid", "code", "part"))], ["curve", "nth", "pid", "code", "part"])
             n += b.num_rows
 
-    rows = mapped(points, keyed, "curve int, key long, pid long, ids array<long>, v array<double>")
+    rows = mapped(points.select("pid", "v"), keyed, "curve int, key long, pid long, code binary")
     order = ["curve", "key", "pid"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("curve", "pid", "ids", "v", F.spark_partition_id().alias("part"))
-    table = written(mapped(ranged, counted, "curve int, nth long, pid long, ids array<long>, v array<double>, part int"), "curves")
-    parts = table.groupBy("part", "curve").agg(F.count("*").alias("n"), F.min("nth").alias("nth0"))  # few rows per partition
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("curve", "pid", "code", F.spark_partition_id().alias("part"))
+    table = written(mapped(ranged, counted, "curve int, nth long, pid long, code binary, part int"), "curves")
+    parts = table.groupBy("part", "curve").agg(F.count("*").alias("n"), F.min("nth").alias("nth0"))  # a row per partition, one more per curve
     before = F.coalesce(F.sum("n").over(W.partitionBy("curve").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = written(parts.select("part", "curve", (before - F.col("nth0")).alias("offset")), "offsets")
-    return table.join(F.broadcast(offsets), ["part", "curve"]).select("curve", (F.col("nth") + F.col("offset")).alias("pos"), "pid", "ids", "v")
-
-
-def best_of(scores: np.ndarray, ids: np.ndarray, owner: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query rows, places) of each query's k best: greatest score, then least id. scores: (queries, vectors)."""
-    rows, places = [], []
-    n = scores.shape[1]
-    for q in range(len(scores)):
-        s = scores[q]
-        at = np.arange(n)
-        if n > 4 * k:
-            least = -np.partition(-s, k)[k]
-            at = np.flatnonzero(s >= least)
-        at = at[np.isfinite(s[at])]
-        at = at[np.lexsort((ids[at], -s[at]))][:k]
-        rows.append(np.full(len(at), owner[q]))
-        places.append(at)
-    return np.concatenate(rows) if rows else np.zeros(0, np.int64), np.concatenate(places) if places else np.zeros(0, np.int64)
+    return table.join(F.broadcast(offsets), ["part", "curve"]).select("curve", (F.col("nth") + F.col("offset")).alias("pos"), "pid", "code")
+
+
+def best_of(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of each row's k best finite scores."""
+    k = min(k, scores.shape[1])
+    at = np.argpartition(-scores, k - 1, axis=1)[:, :k] if k < scores.shape[1] else np.broadcast_to(np.arange(k), (len(scores), k))
+    row = np.repeat(np.arange(len(scores)), k)
+    good = np.isfinite(scores[row, at.ravel()])
+    return row[good], at.ravel()[good]
 
 
 def exact_neighbours(points: DataFrame, qids: np.ndarray, qx: np.ndarray, k: int) -> dict[int, list[int]]:
@@ -167,87 +185,132 @@ def exact_neighbours(points: DataFrame, qids: np.ndarray, qx: np.ndarray, k: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, x = shared.value
+        held_s, held_p = np.full((len(q), k), -np.inf), np.zeros((len(q), k), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
             ids = column(b, "pid").to_numpy()
             s = x @ unit(matrix(column(b, "v"))).T
             s[q[:, None] == ids[None, :]] = -np.inf
-            rows, at = best_of(s, ids, np.arange(len(q)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(ids[at]), pa.array(s[rows, at])], ["q", "pid", "s"])
+            both, pids = np.hstack([held_s, s]), np.hstack([held_p, np.broadcast_to(ids, s.shape)])
+            at = np.argpartition(-both, k - 1, axis=1)[:, :k]
+            held_s, held_p = np.take_along_axis(both, at, 1), np.take_along_axis(pids, at, 1)
+        good = np.isfinite(held_s)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, k)[good.ravel()]), pa.array(held_p[good]), pa.array(held_s[good])], ["q", "pid", "s"])
 
     found = mapped(points.select("pid", "v"), run, "q long, pid long, s double")
     best = found.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s"), "pid"))).where(F.col("r") <= k)
     out: dict[int, list[int]] = {}
-    for r in best.select("q", "pid").collect():
+    for r in best.select("q", "pid").collect():  # sample * k rows at most
         out.setdefault(r["q"], []).append(r["pid"])
     return out
 
 
-def fit_window(placed: DataFrame, near: dict[int, list[int]], aim: float) -> int:
-    """The least width at which `aim` of the sampled neighbours are within it on some curve."""
+def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n: int, aim: float) -> tuple[int, int]:
+    """(number of curves, width): with which `aim` of the sampled neighbours lie inside a window, for the fewest vectors in all windows."""
+    spark = points.sparkSession
     wanted = sorted({p for q, ps in near.items() for p in (q, *ps)})
-    spark = placed.sparkSession
     ids = spark.createDataFrame([(p,) for p in wanted], "pid long")  # sample * (k + 1) rows at most
-    at = {(r["curve"], r["pid"]): r["pos"] for r in placed.select("curve", "pos", "pid").join(F.broadcast(ids), "pid").collect()}
-    curves = sorted({c for c, _ in at})
-    gaps = sorted(min(abs(at[c, q] - at[c, p]) for c in curves) for q, ps in near.items() for p in ps)
-    return max(8, gaps[min(len(gaps) - 1, int(aim * len(gaps)))] + 1) if gaps else 8
-
-
-def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 8, d: int = 20, bits: int = 3, sample: int = 200, aim: float = 0.97, block: int = 2048) -> DataFrame:
+    rows = points.select("pid", "v").join(F.broadcast(ids), "pid").toArrow()
+    at = {p: i for i, p in enumerate(rows.column("pid").to_pylist())}
+    keys = curves.keys(unit(matrix(rows.column("v").combine_chunks())))
+    steps = np.sort(keys, axis=1)
+    shared = spark.sparkContext.broadcast((curves, steps))
+
+    def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        curves_, steps_ = shared.value
+        total = np.zeros((len(steps_), steps_.shape[1] + 1), np.int64)
+        for b in batches:
+            if b.num_rows:
+                for c, key in enumerate(curves_.keys(unit(matrix(column(b, "v"))))):
+                    total[c] += np.bincount(np.searchsorted(steps_[c], key, "right"), minlength=total.shape[1])
+        c, step = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(step, pa.int32()), pa.array(total[c, step])], ["curve", "step", "n"])
+
+    counts = np.zeros((len(steps), steps.shape[1] + 1), np.int64)
+    for r in mapped(points.select("v"), below, "curve int, step int, n long").groupBy("curve", "step").agg(F.sum("n").alias("n")).collect():  # curves * sample * (k + 1) rows
+        counts[r["curve"], r["step"]] = r["n"]
+    pos = np.stack([np.cumsum(counts[c])[np.searchsorted(steps[c], keys[c])] for c in range(len(keys))])  # keys below each one
+    pairs = [(at[q], at[p]) for q, ps in near.items() for p in ps]
+    if not pairs:
+        return 1, 8
+    gaps = np.minimum.accumulate(np.stack([np.abs(pos[:, a] - pos[:, b]) for a, b in pairs], 1), axis=0)
+    gaps.sort(axis=1)
+    width = np.maximum(8, gaps[:, min(len(pairs) - 1, int(aim * len(pairs)))] + 1)
+    several = min(4, len(width)) - 1
+    best = several + int(np.argmin((np.minimum(2 * width, n) * np.arange(1, len(width) + 1))[several:]))
+    return best + 1, int(width[best])
+
+
+def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32, d: int = 20, bits: int = 3, sample: int = 400, aim: float = 0.95, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k nearest others found."""
     spark = vectors.sparkSession
-    points = points_of(vectors, k)
-    n = points.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    share = lambda most, salt: F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / n))
-    fit_on = points.where(share(5000, 21)).orderBy("pid").limit(6000).select("v").toArrow()
+    points, ids = points_of(vectors, k)
+    asked = written(ids.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("pid").alias("qpid"), "dim"), "asked")
+    out = spark.createDataFrame([], "qpid long, pid long, score double")
+    lengths = asked.select("dim").distinct().orderBy("dim").collect()
+    for r in lengths:
+        own = points.where(F.col("dim") == r["dim"])
+        queries = written(asked.where(F.col("dim") == r["dim"]).select("qpid").distinct(), "queries")
+        out = out.unionByName(_searched(own, queries, every, k, curves, d, bits, sample, aim, block))
+    # of each point asked for, the ids of the nearest points; then of each id that asks, all but itself
+    near = out.join(points.select("pid", "ids").hint("merge"), "pid").select("qpid", "score", F.explode("ids").alias("vec_id"))
+    order = lambda by: F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "vec_id"))
+    near = written(near.withColumn("r", order("qpid")).where(F.col("r") <= k + 1).select("qpid", "vec_id", "score"), "near")
+    ranked = asked.select("query_id", "qpid").join(near.hint("merge"), "qpid").where("vec_id <> query_id").withColumn("rank", order("query_id"))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _searched(points: DataFrame, queries: DataFrame, every: int, k: int, curves: int, d: int, bits: int, sample: int, aim: float, block: int) -> DataFrame:
+    """qpid, pid, score: the points found nearest to each point of queries (qpid), itself included; all of one length."""
+    n, asks = points.count(), queries.count()
+    share = lambda col, most, of, salt: F.pmod(F.xxhash64(col, F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / of))
+    fit_on = points.where(share("pid", 5000, n, 21)).select("pid", "v").limit(6000).toArrow()
     if not fit_on.num_rows:
-        fit_on = points.orderBy("pid").limit(1).select("v").toArrow()
-    placed = written(positions(points, fit_curves(unit(matrix(fit_on.column("v").combine_chunks())), curves, d, bits)), "placed")
-    queried = vectors.select(F.col("vec_id").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("qv")).where(F.pmod("qid", F.lit(every)) == 0).where(usable("qv") & (F.size("qv") == matrix(fit_on.column("v").combine_chunks()).shape[1])).dropDuplicates(["qid"])
-    queried = written(queried.withColumn("h1", F.xxhash64("qv")).withColumn("h2", F.xxhash64(F.lit(1), "qv")), "queries")
-    some = queried.orderBy(F.xxhash64("qid")).limit(sample).toArrow()
-    if not some.num_rows:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    # a query's own point, by its hashed vector
-    keys = points.select(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"), "pid")
-    homes = written(queried.join(keys, ["h1", "h2"]).select("qid", "pid", "qv"), "homes")
-    picked = homes.orderBy(F.xxhash64("qid")).limit(sample).toArrow()
-    near = exact_neighbours(points, picked.column("pid").to_numpy(), matrix(picked.column("qv").combine_chunks()), k)
-    width = fit_window(placed, near, aim)
-    asked = placed.select("curve", "pos", "pid").join(homes, "pid").select("curve", F.col("pos").alias("qpos"), "qid", "qv")
-    asked = asked.withColumn("blk", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("qpos") - width) / block)), F.least(F.lit((n - 1) // block), F.floor((F.col("qpos") + width) / block)))))
-    none = F.lit(None)
-    tasks = placed.select("curve", F.floor(F.col("pos") / block).alias("blk"), "pos", F.col("v").alias("v"), "ids", none.cast("long").alias("qid"))
-    tasks = tasks.unionByName(asked.select("curve", "blk", F.col("qpos").alias("pos"), F.col("qv").alias("v"), F.array().cast("array<long>").alias("ids"), "qid"))
+        fit_on = points.limit(1).select("pid", "v").toArrow()
+    fit_on = fit_on.sort_by("pid")
+    lines = fit_curves(unit(matrix(fit_on.column("v").combine_chunks())), curves, d, bits)
+    some = queries.where(share("qpid", sample, asks, 22)).withColumnRenamed("qpid", "pid").limit(2 * sample)
+    picked = points.select("pid", "v").join(F.broadcast(some), "pid").toArrow()
+    near = exact_neighbours(points, picked.column("pid").to_numpy(), matrix(picked.column("v").combine_chunks()), k) if picked.num_rows else {}
+    used, width = fit_window(points, lines, near, n, aim) if near else (len(lines.turn), n)
+    placed = written(positions(points, Curves(lines.turn[:used], lines.cuts[:used], bits)), "placed")
+    # data go to the stretches of queries that reach their block, queries to the blocks they reach
+    span = block * every
+    seq = lambda a, b: F.explode(F.sequence(a, b))
+    at = lambda x, by, last: F.greatest(F.lit(0), F.least(F.lit(last), F.floor(x / by)))
+    lastb, lastq = (n - 1) // block, (n - 1) // span
+    blk, pos = F.floor(F.col("pos") / block), F.col("pos")
+    data = placed.withColumn("blk", blk).withColumn("qb", seq(at(F.col("blk") * block - width, span, lastq), at((F.col("blk") + 1) * block + width, span, lastq)))
+    reach = placed.join(queries.withColumnRenamed("qpid", "pid").hint("merge"), "pid").withColumn("qb", F.floor(pos / span)).withColumn("blk", seq(at(pos - width, block, lastb), at(pos + width, block, lastb)))
+    columns = ["curve", "blk", "qb", "pos", "pid", "code"]
+    tasks = data.select(*columns, F.lit(False).alias("asks")).unionByName(reach.select(*columns, F.lit(True).alias("asks")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in by_key(batches, ["curve", "blk"]):
-            t = t.combine_chunks()
-            asks = t.column("qid").is_valid().to_numpy()
-            if asks.all() or not asks.any():
+        for t in by_key(batches, ["curve", "blk", "qb"]):
+            asks_ = t.column("asks").to_numpy()
+            if asks_.all() or not asks_.any():
                 continue
-            v, pos = matrix(t.column("v").combine_chunks()), t.column("pos").to_numpy()
-            qid = t.column("qid").to_numpy()[asks].astype(np.int64)
-            lists = t.column("ids").combine_chunks().filter(pa.array(~asks))
-            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-            ids = lists.flatten().to_numpy()
-            v, norm = v, np.sqrt((v * v).sum(1))
-            y, ynorm, ypos = v[~asks], norm[~asks], pos[~asks]
-            for a in range(0, len(qid), 256):
-                q = np.flatnonzero(asks)[a : a + 256]
-                s = (v[q] @ y.T) / (norm[q][:, None] * ynorm[None, :])
-                s[np.abs(pos[q][:, None] - ypos[None, :]) > width] = -np.inf
-                s = s[:, owner]
-                s[qid[a : a + 256][:, None] == ids[None, :]] = -np.inf
-                rows, at = best_of(s, ids, np.arange(len(q)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[a : a + 256][rows]), pa.array(ids[at]), pa.array(s[rows, at])], ["query_id", "vec_id", "score"])
-
-    found = mapped(tasks.repartition("curve", "blk").sortWithinPartitions("curve", "blk"), run, "query_id long, vec_id long, score double")
-    # the same pair may be found on several curves, its products summed in another order: one score is kept
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    ranked = once.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            x, p, ids = uncoded(t.column("code").to_pylist()), t.column("pos").to_numpy(), t.column("pid").to_numpy()
+            y, ypos, yids = x[~asks_], p[~asks_], ids[~asks_]
+            for q in np.array_split(np.flatnonzero(asks_), -(-int(asks_.sum()) // 256)):
+                s = x[q] @ y.T
+                s[np.abs(p[q][:, None] - ypos[None, :]) > width] = -np.inf
+                row, col = best_of(s, 3 * k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[row]]), pa.array(yids[col]), pa.array(s[row, col])], ["qpid", "pid", "s"])
+
+    key = ["curve", "blk", "qb"]
+    found = mapped(tasks.repartition(*key).sortWithinPartitions(*key), run, "qpid long, pid long, s float")
+    once = written(found.groupBy("qpid", "pid").agg(F.max("s").alias("s")), "found")
+    few = once.withColumn("r", F.row_number().over(W.partitionBy("qpid").orderBy(F.desc("s"), "pid"))).where(F.col("r") <= 8 * k)
+    one, two = points.select("pid", "v"), points.select(F.col("pid").alias("qpid"), F.col("v").alias("qv"))
+    pairs = few.select("qpid", "pid").join(one.hint("merge"), "pid").join(two.hint("merge"), "qpid")
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = halved(matrix(column(b, "v"))), halved(matrix(column(b, "qv")))
+                s = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+                yield pa.RecordBatch.from_arrays([column(b, "qpid"), column(b, "pid"), pa.array(s)], ["qpid", "pid", "score"])
+
+    return written(mapped(pairs, scored, "qpid long, pid long, score double"), "scored")
