@@ -369,7 +369,7 @@ def test_bpe(docs, no_docs, library):
 def test_bpe_by_chance(library):
     import random
 
-    v, r = bpe.vocabulary(queries.tokenizer_path()), random.Random(4)
+    v, r = bpe.vocabulary(open(queries.tokenizer_path(), "rb").read()), random.Random(4)
     parts = ["a", "tion", " the", "  ", "\n", "'s", "'T", "é", "²", "ß", "你", "\U0001f600", "123", "!!", " <|endoftext|>", "\x85", "\xa0", "́", "zq", "=====", "\t"]
     for _ in range(3000):
         t = "".join(r.choice(parts) for _ in range(r.randrange(12)))
@@ -484,15 +484,63 @@ def test_token_files(spark, docs, no_docs, library, tmp_path):
 def test_chunks_hold_whole_pieces(library):
     import random
 
-    e, r = tokenout.Encoder(queries.tokenizer_path()), random.Random(5)
+    e, r = tokenout.Encoder(open(queries.tokenizer_path(), "rb").read()), random.Random(5)
     parts = ["a", "tion", "é", " ", "\n", ",", "1", "'", "s", "'s", "ß", "_", "-", "23", "½", "\t", ". ", "x "]
     texts_ = ["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(4000)] + ["", "a<|endoftext|>", "a.\nb c", "end."]
     for t, ids in zip(texts_, e.encode([t.encode() for t in texts_])):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
+    longer = ["a" * n + c for n in range(20) for c in "abé"] + ["x" * 16, "x" * 17, "x" * 40 + "y", "y" + "x" * 40] * 2
+    for t, ids in zip(longer, e.encode([t.encode() for t in longer])):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids
     e.words.used = wordcache.POOL + 1  # memory full
     assert e.encode([b"a b"])[0].tolist() == library.encode("a b", add_special_tokens=False).ids
 
 
+def test_a_word_is_known_by_its_bytes():
+    """Words in one slot, with every hash alike but for the bytes themselves, are told apart."""
+    words_ = [b" abcdefg", b" abcdefh", b" abcdefgh", b" abcdefgi", b" abcdefghijklmno", b" abcdefghijklmnp", b" abcdefghijklmnopq", b" abcdefghijklmnopr"]
+    b = np.frombuffer(b"".join(words_), np.uint8)
+    lengths = np.array([len(w) for w in words_])
+    keys = wordcache.packed(b, np.cumsum(lengths) - lengths, lengths)
+    assert len({tuple(k) for k in keys.T.tolist()}) == len(words_)
+    assert [keys[0, 0].tobytes(), keys[:, 4].tobytes()] == [words_[0], words_[4]]
+
+
+def test_files_have_indexes_filters_and_run_lengths(spark, tmp_path):
+    """What the ORC files hold beside the rows, and that a reader of one document skips the other row groups."""
+    path = f"file://{tmp_path}/tokens"
+    df = spark.range(6000).select((F.col("id") * 2 + (1 << 40)).alias("doc_id"), F.expr("concat('text number ', id)").alias("text"))
+    tokenout.write_tokens(df, queries.tokenizer_path(), path)
+    files = sorted(tmp_path.glob("tokens/*.orc"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    sarg = jvm.org.apache.hadoop.hive.ql.io.sarg
+    columns = spark.sparkContext._gateway.new_array(jvm.java.lang.String, 1)
+    columns[0] = "doc_id"
+
+    def read(reader, key):
+        """Rows that a reader of one doc_id takes from a file."""
+        wanted = sarg.SearchArgumentFactory.newBuilder().startAnd().equals("doc_id", getattr(sarg, "PredicateLeaf$Type").LONG, key).end().build()
+        rows, batch, n = reader.rows(reader.options().searchArgument(wanted, columns)), reader.getSchema().createRowBatch(), 0
+        while rows.nextBatch(batch):
+            n += batch.count()
+        return n
+
+    readers = [jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(f)), jvm.org.apache.orc.OrcFile.readerOptions(conf)) for f in files]
+    assert sum(r.getNumberOfRows() for r in readers) == 6000
+    for reader in readers:
+        assert reader.getRowIndexStride() == 1000
+        at = reader.getSchema().getFieldNames().indexOf("doc_id") + 1
+        for stripe in reader.getStripes():
+            footer = reader.rows().readStripeFooter(stripe)
+            streams = [(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()]
+            assert (at, "ROW_INDEX") in streams and (at, "BLOOM_FILTER_UTF8") in streams
+            assert footer.getColumns(at).getKind().toString() == "DIRECT_V2"  # integers are run-length encoded
+        stats = reader.getStatistics()[at]
+        assert (stats.getMaximum() - stats.getMinimum()) // 2 + 1 == reader.getNumberOfRows()  # a file is a stretch of ids
+    assert 0 < sum(read(r, (1 << 40) + 2468) for r in readers) <= 1000  # one row group of one file
+    assert sum(read(r, (1 << 40) + 2469) for r in readers) == 0  # inside the bounds of a row group, but not in its Bloom filter
+
+
 # --- 10 lines
 
 

@@ -35,3 +35,25 @@ def test_stages(spark, tables):
     library, texts = Tokenizer.from_file(queries.tokenizer_path()), {r["doc_id"]: r["text"] for r in after}
     for r in out:
         assert r["ids"] == library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+
+
+def test_odd_documents(spark, docs, no_docs, tmp_path):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing columns, rows without an id, an empty table."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    more = docs.limit(0).unionByName(spark.createDataFrame([(20, "a text with some words of its own kind", "en", "z"), (20, "another text under the id that the first one has", None, "z"), (None, "no id here", "en", None)], "doc_id long, text string, lang string, source string"), allowMissingColumns=True)
+    path = f"{tmp_path}/odd"
+    docs.unionByName(more).write.parquet(f"file://{path}/documents.parquet")
+    seen = spark.read.parquet(f"file://{path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, seen = seen, corpus_pipeline.written(stage(spark, seen, path), name)
+        assert seen.columns == docs.columns
+        texts = {r["text"] for r in before.collect()}
+        if name != "line_dedup":
+            assert {r["text"] for r in seen.collect()} <= texts
+    out = corpus_pipeline.run(spark, f"file://{path}").collect()
+    assert len(out) == seen.count() > 0
+    assert Counter(r["n_tokens"] for r in out) == Counter(len(library.encode(r["text"] or "", add_special_tokens=False).ids) for r in seen.collect())
+    no_docs.write.parquet(f"file://{tmp_path}/empty/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/empty").count() == 0

@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from thriftlens.llm import linededup, minhash, mixing
+from thriftlens.llm import ann, embdedup, linededup, minhash, mixing
 from thriftlens.llm.common import components
 
 from .test_operators import brute_lines, check_mix, check_near, least_linked
@@ -169,3 +169,72 @@ def test_a_family_of_two_parts_and_strangers(spark):
     df = spark.createDataFrame(out, "doc_id long, text string")
     check_near(df, 85, 100, minhash.Plan(5, 85, 100, block=32, pivots=3))
     check_near(df, 80, 100, minhash.Plan(5, 80, 100, block=32, pivots=3, sketches=16))
+
+
+# --- vectors: crowds, several lengths, ids that are not unique
+
+
+def test_a_crowd_of_near_vectors(spark):
+    """All pairs of a crowd are counted, in many blocks, and none twice."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=12) + r.normal(size=(600, 12)) * 0.25
+    x[300:] = r.normal(size=12) + r.normal(size=(300, 12)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.93) & (np.arange(600)[:, None] % 2 == np.arange(600)[None, :] % 2) & ~np.eye(600, dtype=bool)
+    want = least_linked(dict(enumerate(range(600))), lambda a, b: near[a, b])
+    for cell, rows in ((2048, 8192), (2048, 40), (30, 17), (5, 3)):
+        out = embdedup.near_vectors(df, 0.93, cell=cell, block_rows=rows).collect()
+        assert {x.vec_id: (x.n_links, x.component_id) for x in out} == {i: (int(near[i].sum()), want[i]) for i in range(600)}
+
+
+def test_vectors_of_one_id(spark):
+    out = [(1, [1.0, 0.0], 0), (2, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (2, [1.0, 0.01], 0)]
+    for rows in (out, out[::-1]):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(2)
+        assert sorted((r.vec_id, r.n_links, r.component_id) for r in embdedup.near_vectors(df).collect()) == [(1, 2, 1), (2, 1, 2), (2, 2, 1), (2, 2, 1), (3, 1, 2)]
+
+
+def test_neighbours_of_each_length(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(size=(8, 3, 20)[i % 3]).tolist()) for i in range(900)] + [(900, [1.0]), (1000, [5.0] * 7), (1050, [1e-300, 2e-300]), (1051, [1e-300, 1e-300]), (1100, [1e300, 2e300])]
+    found = {}
+    for x in ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), every=50, k=5, block=64).collect():
+        found.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    length = {i: len(v) for i, v in rows}
+    hit = total = 0
+    for q, v in rows:
+        others = [i for i, n in length.items() if n == length[q] and i != q]
+        if q % 50 or not others:
+            assert q not in found
+            continue
+        u = np.array(v) / np.abs(v).max()
+        score = {i: float(u @ w / np.linalg.norm(u) / np.linalg.norm(w)) for i, w in ((i, np.array(dict(rows)[i]) / np.abs(dict(rows)[i]).max()) for i in others)}
+        best = sorted(others, key=lambda i: (-round(score[i], 12), i))[:5]
+        got = sorted(found[q])
+        assert [g[0] for g in got] == list(range(1, len(best) + 1)) and all(abs(g[2] - score[g[1]]) < 1e-12 for g in got)
+        hit, total = hit + len({g[1] for g in got} & set(best)), total + len(best)
+    assert hit / total >= 0.9 and total > 80
+
+
+def test_a_vector_that_very_many_ids_have(spark):
+    r = np.random.default_rng(3)
+    rows = [(i, (r.normal(size=6) if i % 4 else np.ones(6)).tolist()) for i in range(2000)]
+    out = {}
+    for x in ann.neighbours(spark.createDataFrame(rows + rows[:100], "vec_id long, embedding array<double>"), every=50, k=5, block=64).collect():
+        out.setdefault(x.query_id, []).append((x["rank"], x.vec_id))
+    assert len(out) == 40
+    for q in range(0, 2000, 100):
+        assert sorted(out[q]) == list(enumerate([i for i in range(0, 28, 4) if i != q][:5], 1))
+
+
+def test_fewer_vectors_are_compared_than_there_are(spark):
+    r = np.random.default_rng(5)
+    points = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(60, 6))[r.integers(0, 60, 4000)] @ r.normal(size=(6, 32)) + r.normal(size=(4000, 32)) * 0.05)]
+    df = spark.createDataFrame(points, "pid long, v array<double>")
+    x = ann.unit(np.array([p[1] for p in points]))
+    lines = ann.fit_curves(x[:1000], 32, 20, 3)
+    near = ann.exact_neighbours(df, np.arange(0, 4000, 20), x[::20], 5)
+    assert all(set(near[q]) == set(np.argsort(-np.where(np.arange(4000) == q, -9, x @ x[q]))[:5]) for q in range(0, 4000, 400))
+    used, width = ann.fit_window(df, lines, near, 4000, 0.95)
+    assert used >= 2 and used * 2 * width < 0.5 * 4000

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mapped, raw
+from .common import column, mapped, raw, shipped
 from .wordcache import ODD, WordCache, plain, spread
 
 #: Fixed by the tokenizer's public format: how a byte-level pre-tokenizer cuts a text.
@@ -53,11 +53,10 @@ def pieces(text: str) -> list[str]:
 
 
 class Vocabulary:
-    """A byte-level BPE vocabulary from a tokenizers JSON file whose merges are in the order of their ids."""
+    """A byte-level BPE vocabulary from a tokenizers JSON file (its bytes) whose merges are in the order of their ids."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, content: bytes):
+        spec = json.loads(content)
         model, letters = spec["model"], byte_letters()
         if spec.get("normalizer") or spec["pre_tokenizer"].get("add_prefix_space") or model["type"] != "BPE":
             raise ValueError("only byte-level BPE without a normalizer is read")
@@ -212,18 +211,20 @@ class Vocabulary:
 _LOADED: dict[str, Vocabulary] = {}
 
 
-def vocabulary(path: str) -> Vocabulary:
-    """One for each Python worker."""
-    if path not in _LOADED:
-        _LOADED[path] = Vocabulary(path)
-    return _LOADED[path]
+def vocabulary(content: bytes) -> Vocabulary:
+    """One for each Python worker and file."""
+    key = hashlib.sha256(content).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = Vocabulary(content)
+    return _LOADED[key]
 
 
 def encoded(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 per row of docs; with_ids adds the ids themselves."""
+    shared = shipped(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        v = vocabulary(shared.value)
         for b in batches:
             n, ids_hash, text_hash = [], [], []
             kept = v.encode_all([t or b"" for t in raw(b)])

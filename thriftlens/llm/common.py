@@ -73,6 +73,12 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def shipped(spark: SparkSession, path: str):
+    """A broadcast of a file's bytes (a tokenizer's, a few MB): only the driver has to reach it."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes | None]:
     """The UTF-8 bytes of a text column."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary()).to_pylist()

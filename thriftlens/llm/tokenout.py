@@ -10,12 +10,13 @@ Encoding is the tokenizers library's. The words of plain Latin texts repeat, so
 library gave for a bounded number of them (cut where its pre-tokenizer cuts too); any other text, and one that
 holds a special token's string, is given to the library whole.
 
-Defined results: null text is an empty text: only the end id. Null ids come first; equal ids stay in the order
-of the input. No rows: empty files. Columns other than doc_id and text are ignored.
+Defined results: null text is an empty text: only the end id. A very long text is encoded whole and is one row. Null
+ids come first; equal ids, with equal or different texts, stay in the order of the input. No rows: empty files. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import uuid
 import zlib
@@ -27,20 +28,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, mapped, raw, shared_dir, small_batches, written
+from .common import column, mapped, raw, shared_dir, shipped, small_batches, written
 from .wordcache import WordCache, plain, spread
 
 END = 2
 
 
 class Encoder:
-    """The library's ids of texts."""
+    """The library's ids of texts, by a tokenizer file's bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, content: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.library = Tokenizer.from_buffer(content)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
@@ -95,20 +96,22 @@ class Encoder:
 _LOADED: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _LOADED:
-        _LOADED[path] = Encoder(path)
-    return _LOADED[path]
+def encoder(content: bytes) -> Encoder:
+    """One for each Python worker and file."""
+    key = hashlib.sha256(content).hexdigest()
+    if key not in _LOADED:
+        _LOADED[key] = Encoder(content)
+    return _LOADED[key]
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
     """ORC files at path: part, before, doc_id, n_tokens, ids, in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("tie"))
     ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    end = np.array([END], np.int32)
+    end, shared = np.array([END], np.int32), shipped(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, total = encoder(tokenizer), 0
+        e, total = encoder(shared.value), 0
         for b in batches:
             ids = e.encode([t or b"" for t in raw(b)])
             n = np.array([len(x) + 1 for x in ids], np.int64)
@@ -157,5 +160,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the token files to the shared folder and read them back."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/thriftlens/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
     write_tokens(docs, tokenizer, path)
     return read_back(spark, path)

@@ -1,9 +1,10 @@
-"""Token ids of plain texts by table look-up: words are found by their hash, and only new ones are encoded.
+"""Token ids of plain texts by table look-up: words are found by their bytes, and only new ones are encoded.
 
 A byte-level pre-tokenizer cuts a plain text at known places, so its words can be encoded one by one, and they
-repeat. All words of a slice of texts are hashed at once, looked up in a table of slots (a word overwrites what
+repeat. All words of a slice of texts are packed at once, looked up in a table of slots (a word overwrites what
 was in its slot) and their ids copied together, all in numpy; memory is bounded by the table and a pool of ids.
-Texts that aren't plain are left to the caller, whole.
+A slot holds the whole word if it has 16 bytes or fewer, which is nearly always, and a 128-bit hash of a longer one,
+and its length; so a word is never taken for another. Texts that aren't plain are left to the caller, whole.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import xxhash
 
 from .common import in_groups
-from .shingles import run_hashes
+from .shingles import mix
 
 #: Beyond Latin-1 and Latin Extended-A, and for Latin-1's own fractions and superscripts and white space, a text isn't plain.
 ODD = re.compile("[\x1c-\x1f\x85\xa0\xaa\xb2\xb3\xb9\xba\xbc-\xbe\u0180-\U0010ffff]")
@@ -50,6 +52,27 @@ def chunk_starts(b: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+#: Weights that pack 8 bytes into an integer; what comes after them counts nothing.
+_PACK = np.array([1 << (8 * i) for i in range(8)] + [0], np.uint64)
+
+
+def packed(b: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(2, words): the bytes of each word of 16 bytes or fewer, or a 128-bit hash; words are end to end in b."""
+    place = np.arange(len(b))
+    place -= np.repeat(starts, lengths)
+    out = np.zeros((2, len(starts)), np.uint64)
+    out[0] = np.add.reduceat(b * _PACK[np.minimum(place, 8)], starts)
+    more = np.flatnonzero(lengths > 8)
+    if len(more):
+        rest = place >= 8
+        n = lengths[more] - 8
+        out[1, more] = np.add.reduceat(b[rest] * _PACK[np.minimum(place[rest] - 8, 8)], np.cumsum(n) - n)
+        for i in more[n > 8].tolist():
+            h = xxhash.xxh3_128_intdigest(b[starts[i] : starts[i] + lengths[i]])
+            out[:, i] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+    return out
+
+
 class WordCache:
     """ask(words) gives the ids of words end to end, and how many each has."""
 
@@ -58,7 +81,7 @@ class WordCache:
         self.forget()
 
     def forget(self) -> None:
-        self.keys = np.zeros(1 << SLOT_BITS, np.uint64)
+        self.keys, self.bytes = np.zeros((2, 1 << SLOT_BITS), np.uint64), np.zeros(1 << SLOT_BITS, np.int32)
         self.at, self.length = np.zeros(1 << SLOT_BITS, np.int32), np.zeros(1 << SLOT_BITS, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
 
@@ -70,21 +93,26 @@ class WordCache:
         b = np.frombuffer(buffer, np.uint8)
         starts = chunk_starts(b)
         lengths = np.diff(np.append(starts, len(b)))
-        hashes = run_hashes(b, starts, lengths) | np.uint64(1)
+        keys = packed(b, starts, lengths)
         ends = np.cumsum([len(t) + 1 for t in texts])
-        slot = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        slot = (mix(keys[0] ^ (keys[1] * np.uint64(0x9E3779B97F4A7C15)) + lengths.astype(np.uint64)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
         at, n = self.at[slot].astype(np.int64), self.length[slot].astype(np.int64)
-        missing = np.flatnonzero(self.keys[slot] != hashes)
+        missing = np.flatnonzero((self.keys[0][slot] != keys[0]) | (self.keys[1][slot] != keys[1]) | (self.bytes[slot] != lengths))
         if len(missing):
-            new, first, which = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            new = np.stack([keys[0, missing], keys[1, missing], lengths[missing].astype(np.uint64)], 1)
+            new, first, which = np.unique(new, axis=0, return_index=True, return_inverse=True)
             where = missing[first]
             ids, count = self.ask([buffer[x : x + k] for x, k in zip(starts[where].tolist(), lengths[where].tolist())])
             base = self.used
             self.add(ids)
             place = base + np.cumsum(count) - count
+            which = which.ravel()
             at[missing], n[missing] = place[which], count[which]
             s = slot[where]
-            self.keys[s], self.at[s], self.length[s] = new, place, count
+            last = np.unique(s[::-1], return_index=True)[1]  # of words that share a slot one stays, whole
+            last = len(s) - 1 - last
+            s = s[last]
+            self.keys[:, s], self.bytes[s], self.at[s], self.length[s] = new[last, :2].T, new[last, 2], place[last], count[last]
         n[np.searchsorted(starts, ends - 1)] = 0  # the line breaks that close the texts
         per_text = np.add.reduceat(n, np.searchsorted(starts, ends - np.array([len(t) + 1 for t in texts])))
         return self.pool[spread(at, n)], per_text
