@@ -4,7 +4,8 @@ Vectors of one label are spread over cells by their nearest centroid. With unit
 e = sqrt(2 - 2t) be the greatest distance of a linked pair x, y with home centroids a and b. Then
 (x.a - x.b) + (y.b - y.a) = (x - y).(a - b) <= e |a - b|, and both terms are at least 0, so one of them is at
 most e |a - b| / 2. A vector therefore visits every cell whose centroid it misses by no more than that, and each
-linked pair meets in the home cell of one of the two: no link is lost at a cell's border.
+linked pair meets in the home cell of one of the two: no link is lost at a cell's border. Centroids closer than e to
+another are left out, so a crowd of near vectors is one cell, and not many that all of its vectors visit.
 
 Equal vectors of a label are one class first (an aggregate with a map-side part), so thousands of copies cost
 one row. A cell's rows are dealt into blocks of `rows` rows or `block_values` numbers; each pair of blocks is one cosine
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, column, components, least_reached, mapped, written
+from .common import by_key, column, components, least_reached, mapped, scratch, written
 
 
 def usable(v: str = "embedding"):
@@ -61,7 +62,16 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
     return c
 
 
-def fit_cells(classes: DataFrame, cell: int, sample: int, most_cells: int, seed: int = 3) -> dict[tuple[str, int], np.ndarray]:
+def spaced(c: np.ndarray, least: float) -> np.ndarray:
+    """Centroids that are `least` apart or more: between closer ones nearly all vectors of one would visit the other."""
+    kept = c[:1]
+    for x in c[1:]:
+        if ((kept - x) ** 2).sum(1).min() >= least * least:
+            kept = np.vstack([kept, x])
+    return kept
+
+
+def fit_cells(classes: DataFrame, threshold: float, cell: int, sample: int, most_cells: int, seed: int = 3) -> dict[tuple[str, int], np.ndarray]:
     """Centroids of each (label, length) with more than `cell` classes; labels beyond most_cells / 2 have one cell."""
     sizes = classes.groupBy("lab", "dim").count().where(F.col("count") > cell).orderBy(F.desc("count"), "lab", "dim").limit(most_cells // 2).collect()
     if not sizes:
@@ -81,7 +91,7 @@ def fit_cells(classes: DataFrame, cell: int, sample: int, most_cells: int, seed:
         if k > 1:
             x = np.array(vs)
             x /= np.abs(x).max(1, keepdims=True)
-            out[r["lab"], r["dim"]] = kmeans(x / np.linalg.norm(x, axis=1)[:, None], k, rng)
+            out[r["lab"], r["dim"]] = spaced(kmeans(x / np.linalg.norm(x, axis=1)[:, None], k, rng), np.sqrt(2 - 2 * threshold))
     return out
 
 
@@ -179,7 +189,7 @@ def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def linked(classes: DataFrame, threshold: float, cell: int, sample: int, most_cells: int, block_values: int, block_rows: int) -> DataFrame:
     """kind, a, b: link counts b of class a (kind 0) and links between classes a and b (kind 1)."""
-    cells = fit_cells(classes, cell, sample, most_cells)
+    cells = fit_cells(classes, threshold, cell, sample, most_cells)
     rows = written(dealt(classes, cells, threshold), "dealt")
     most = F.least(F.lit(float(block_rows)), F.greatest(F.lit(1.0), block_values / F.col("dim")))
     blocks = written(rows.groupBy("lab", "dim", "cell").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")), "blocks")
@@ -202,13 +212,14 @@ def linked(classes: DataFrame, threshold: float, cell: int, sample: int, most_ce
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, cell: int = 2048, sample: int = 20_000, most_cells: int = 8192, block_values: int = 1 << 19, block_rows: int = 8192) -> DataFrame:
     """vec_id, n_links, component_id, kept per row of vectors."""
-    rows, classes = classes_of(vectors)
-    found = linked(classes, threshold, cell, sample, most_cells, block_values, block_rows)
-    counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
-    groups = components(found.where("kind = 1").select("a", "b"))
-    out = classes.select("h1", "h2", "least", "cid", "m").join(counts.withColumnRenamed("a", "cid").hint("merge"), "cid", "left").join(groups.withColumnRenamed("node", "cid").hint("merge"), "cid", "left")
-    out = written(out.select("h1", "h2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "least", F.coalesce("comp", "cid").alias("grp")), "linkcounts")
-    least = written(out.groupBy("grp").agg(F.min("least").alias("comp")), "least")
+    with scratch() as keep:
+        rows, classes = classes_of(vectors)
+        found = linked(classes, threshold, cell, sample, most_cells, block_values, block_rows)
+        counts = found.where("kind = 0").groupBy("a").agg(F.sum("b").alias("links"))
+        groups = components(found.where("kind = 1").select("a", "b"))
+        out = classes.select("h1", "h2", "least", "cid", "m").join(counts.withColumnRenamed("a", "cid").hint("merge"), "cid", "left").join(groups.withColumnRenamed("node", "cid").hint("merge"), "cid", "left")
+        out = keep(written(out.select("h1", "h2", (F.col("m") - 1 + F.coalesce("links", F.lit(0))).alias("links"), "least", F.coalesce("comp", "cid").alias("grp")), "linkcounts"))
+        least = keep(written(out.groupBy("grp").agg(F.min("least").alias("comp")), "least"))
     out = out.drop("least").join(least.hint("merge"), "grp")
     all_rows = rows.join(out.hint("merge"), ["h1", "h2"], "left")
     comp = F.when(F.col("ok"), F.col("comp")).otherwise(F.col("vec_id"))
