@@ -7,12 +7,11 @@ one row per partition turn keys into positions. Around a query's position on eac
 compared by quantized codes (16 bits a component). The curves' best are merged, and the few that are left of each query
 are compared by cosine in double precision on the original vectors, and ranked.
 
-The width of the window and the number of curves are fitted, not chosen: for a bounded sample of queries (`sample`) the
+The width of the window and the number of curves are fitted, not chosen: for a bounded sample of vectors (`sample`) the
 exact neighbours are found by comparing them, in one block, with all vectors. One pass counts how many keys lie below
-theirs, which gives their positions without a sort. Of the numbers of curves up to `curves`, the one is taken whose
-windows, just wide enough that `aim` of those neighbours lie inside on some curve, hold the fewest vectors in all. The
-share of the data that this takes follows from the data: near copies need a few positions, featureless noise a large
-part. Data and queries are dealt by blocks of positions, so a task holds a block of codes and the queries of a stretch
+theirs, which gives their positions without a sort. For each number of curves up to `curves` a window is just wide
+enough that `aim` of those neighbours lie inside on some curve; `fit_window` picks one. The share of the data that this
+takes follows from the data: near copies need a few positions, featureless noise a large part. Data and queries are dealt by blocks of positions, so a task holds a block of codes and the queries of a stretch
 of `every` blocks that reach it, whatever the width.
 
 Equal vectors are one point of a curve with the k + 1 least ids (more can't be in a result), so a vector that is
@@ -35,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import by_key, column, mapped, written
+from .common import by_key, column, mapped, scratch, written
 from .embdedup import usable
 
 
@@ -207,7 +206,11 @@ def exact_neighbours(points: DataFrame, qids: np.ndarray, qx: np.ndarray, k: int
 
 
 def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n: int, aim: float) -> tuple[int, int]:
-    """(number of curves, width): with which `aim` of the sampled neighbours lie inside a window, for the fewest vectors in all windows."""
+    """(number of curves, width) with which `aim` of the sampled neighbours lie inside a window.
+
+    The fewest curves whose windows hold three quarters of the n vectors or fewer, as each curve is one more copy that is
+    sorted; if there are none, those whose windows hold the fewest.
+    """
     spark = points.sparkSession
     wanted = sorted({p for q, ps in near.items() for p in (q, *ps)})
     ids = spark.createDataFrame([(p,) for p in wanted], "pid long")  # sample * (k + 1) rows at most
@@ -238,40 +241,41 @@ def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n:
     gaps.sort(axis=1)
     width = np.maximum(8, gaps[:, min(len(pairs) - 1, int(aim * len(pairs)))] + 1)
     several = min(4, len(width)) - 1
-    best = several + int(np.argmin((np.minimum(2 * width, n) * np.arange(1, len(width) + 1))[several:]))
+    held = (np.minimum(2 * width, n) * np.arange(1, len(width) + 1))[several:]
+    best = several + int(np.argmax(held <= 0.75 * n) if (held <= 0.75 * n).any() else np.argmin(held))
     return best + 1, int(width[best])
 
 
-def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32, d: int = 20, bits: int = 3, sample: int = 400, aim: float = 0.95, block: int = 2048) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32, d: int = 20, bits: int = 3, sample: int = 400, aim: float = 0.94, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k nearest others found."""
     spark = vectors.sparkSession
-    points, ids = points_of(vectors, k)
-    asked = written(ids.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("pid").alias("qpid"), "dim"), "asked")
-    out = spark.createDataFrame([], "qpid long, pid long, score double")
-    lengths = asked.select("dim").distinct().orderBy("dim").collect()
-    for r in lengths:
-        own = points.where(F.col("dim") == r["dim"])
-        queries = written(asked.where(F.col("dim") == r["dim"]).select("qpid").distinct(), "queries")
-        out = out.unionByName(_searched(own, queries, every, k, curves, d, bits, sample, aim, block))
-    # of each point asked for, the ids of the nearest points; then of each id that asks, all but itself
-    near = out.join(points.select("pid", "ids").hint("merge"), "pid").select("qpid", "score", F.explode("ids").alias("vec_id"))
-    order = lambda by: F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "vec_id"))
-    near = written(near.withColumn("r", order("qpid")).where(F.col("r") <= k + 1).select("qpid", "vec_id", "score"), "near")
+    with scratch() as keep:
+        points, ids = points_of(vectors, k)
+        asked = keep(written(ids.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("pid").alias("qpid"), "dim"), "asked"))
+        out = spark.createDataFrame([], "qpid long, pid long, score double")
+        lengths = asked.select("dim").distinct().orderBy("dim").collect()
+        for r in lengths:
+            own = points.where(F.col("dim") == r["dim"])
+            queries = written(asked.where(F.col("dim") == r["dim"]).select("qpid").distinct(), "queries")
+            out = out.unionByName(_searched(own, queries, every, k, curves, d, bits, sample, aim, block))
+        # of each point asked for, the ids of the nearest points; then of each id that asks, all but itself
+        near = out.join(points.select("pid", "ids").hint("merge"), "pid").select("qpid", "score", F.explode("ids").alias("vec_id"))
+        order = lambda by: F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "vec_id"))
+        near = keep(written(near.withColumn("r", order("qpid")).where(F.col("r") <= k + 1).select("qpid", "vec_id", "score"), "near"))
     ranked = asked.select("query_id", "qpid").join(near.hint("merge"), "qpid").where("vec_id <> query_id").withColumn("rank", order("query_id"))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _searched(points: DataFrame, queries: DataFrame, every: int, k: int, curves: int, d: int, bits: int, sample: int, aim: float, block: int) -> DataFrame:
     """qpid, pid, score: the points found nearest to each point of queries (qpid), itself included; all of one length."""
-    n, asks = points.count(), queries.count()
-    share = lambda col, most, of, salt: F.pmod(F.xxhash64(col, F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / of))
-    fit_on = points.where(share("pid", 5000, n, 21)).select("pid", "v").limit(6000).toArrow()
+    n = points.count()
+    share = lambda most, salt: F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / n))
+    fit_on = points.where(share(5000, 21)).select("pid", "v").limit(6000).toArrow()
     if not fit_on.num_rows:
         fit_on = points.limit(1).select("pid", "v").toArrow()
     fit_on = fit_on.sort_by("pid")
     lines = fit_curves(unit(matrix(fit_on.column("v").combine_chunks())), curves, d, bits)
-    some = queries.where(share("qpid", sample, asks, 22)).withColumnRenamed("qpid", "pid").limit(2 * sample)
-    picked = points.select("pid", "v").join(F.broadcast(some), "pid").toArrow()
+    picked = points.where(share(sample, 22)).select("pid", "v").limit(2 * sample).toArrow()
     near = exact_neighbours(points, picked.column("pid").to_numpy(), matrix(picked.column("v").combine_chunks()), k) if picked.num_rows else {}
     used, width = fit_window(points, lines, near, n, aim) if near else (len(lines.turn), n)
     placed = written(positions(points, Curves(lines.turn[:used], lines.cuts[:used], bits)), "placed")
