@@ -5,8 +5,10 @@ from __future__ import annotations
 import ctypes
 import os
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +47,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._thriftlens_path = path
+    if _scopes():
+        _scopes()[-1].append(table)
     return table
 
 
+_local = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside are deleted at the end, but for those given to the function that this yields.
+
+    Those are what a lazy result still reads; they belong to the scope around this one, if there is one, and else stay
+    until the application ends.
+    """
+    kept: list[DataFrame] = []
+    _scopes().append([])
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for t in _scopes().pop():
+            if not any(t is k for k in kept):
+                dropped(t)
+        if _scopes():
+            _scopes()[-1].extend(kept)
+
+
 def dropped(table: DataFrame | None) -> None:
     """Delete a table made by written(), once nothing reads it any more."""
     path = getattr(table, "_thriftlens_path", None)
@@ -58,8 +95,13 @@ def dropped(table: DataFrame | None) -> None:
 
 
 def small_batches(spark: SparkSession, mb: int = 4) -> None:
-    """Bound an Arrow batch by bytes, so that a run of long texts can't fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(mb << 20))
+    """Bound an Arrow batch by bytes, so that a run of long texts can't fill a Python worker.
+
+    Plans read this setting of the session when they run, so it stays; a smaller one of the user's stays too.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > mb << 20:
+        spark.conf.set(name, str(mb << 20))
 
 
 def importable(spark: SparkSession) -> None:

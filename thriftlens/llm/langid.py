@@ -209,7 +209,7 @@ def _calibrate(model: Model, rows: list[Sample], mass: np.ndarray, rng: np.rando
     model.cut = float((low + high) / 2 if low < high else high)
 
 
-def fit(docs: DataFrame, learn, per_lang: int = 1500, most: int = 40_000, seed: int = 7) -> Model | None:
+def fit(docs: DataFrame, learn, per_lang: int = 1500, most: int = 15_000, seed: int = 7) -> Model | None:
     """Fit on rows of docs where `learn` (a Column) holds and lang isn't null; None if there are none.
 
     per_lang bounds the labelled rows of each language, and most those of all together, in equal parts.

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mapped, raw, unused_name, written
+from .common import column, mapped, raw, scratch, unused_name, written
 from .shingles import mix
 
 WORDS = 50
@@ -202,7 +202,8 @@ def _joined(docs: DataFrame, words: int) -> tuple[DataFrame, str]:
     docs, own = numbered(docs)
     spans = unused_name(docs, "_spans")
     right = [unused_name(docs, f"_{k}_of") for k in KEY]
-    found = written(deletions(docs.select(*(F.col(o).alias(k) for o, k in zip(own, KEY)), "text"), words), "spans")
+    with scratch() as keep:
+        found = keep(written(deletions(docs.select(*(F.col(o).alias(k) for o, k in zip(own, KEY)), "text"), words), "spans"))
     found = found.select(*(F.col(k).alias(r) for k, r in zip(KEY, right)), F.col("spans").alias(spans))
     # always a merge join: the table of spans grows with the corpus, so the plan is the same at every size
     on = [F.col(o) == F.col(r) for o, r in zip(own, right)]

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, column, components, dropped, in_groups, least_reached, mapped, raw, unused_name, written
+from .common import by_key, column, components, dropped, in_groups, least_reached, mapped, raw, scratch, unused_name, written
 from .shingles import mix, shingle_set, shingles, word_runs
 
 
@@ -275,17 +275,18 @@ def confirmed_links(docs: DataFrame, members: DataFrame, plan: Plan) -> DataFram
 def decided(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5, plan: Plan | None = None) -> DataFrame:
     """Per row: doc_id, t (a hash of the text), n_shingles, grp (a number of the component, null without shingles or id), component_id, kept."""
     plan = plan or Plan(words, num, den)
-    signed = written(signatures(docs, plan), "signed")
-    sets = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
-    classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    families = components(written(candidate_links(classes, plan), "candidates"))
-    members = classes.select("cid", "least", "f1", "f2").join(families.select(F.col("node").alias("cid"), F.col("comp").alias("fam")).hint("merge"), "cid")
-    found = components(written(confirmed_links(docs, members, plan), "confirmed"))
-    joined = classes.select("f1", "f2", "cid", "least").join(found.select(F.col("node").alias("cid"), "comp").hint("merge"), "cid", "left").select("f1", "f2", "least", F.coalesce("comp", "cid").alias("grp"))
-    joined = written(joined, "joined")
-    least = written(joined.groupBy("grp").agg(F.min("least").alias("component")), "least")
-    joined = written(joined.select("f1", "f2", "grp").join(least.hint("merge"), "grp"), "labels")
+    with scratch() as keep:
+        signed = keep(written(signatures(docs, plan), "signed"))
+        sets = signed.where("n_shingles > 0 and doc_id is not null")
+        classes = sets.groupBy("f1", "f2").agg(F.min("doc_id").alias("least"), F.first("halves").alias("halves"), F.first("sketch").alias("sketch"))
+        classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+        families = components(written(candidate_links(classes, plan), "candidates"))
+        members = classes.select("cid", "least", "f1", "f2").join(families.select(F.col("node").alias("cid"), F.col("comp").alias("fam")).hint("merge"), "cid")
+        found = components(written(confirmed_links(docs, members, plan), "confirmed"))
+        joined = classes.select("f1", "f2", "cid", "least").join(found.select(F.col("node").alias("cid"), "comp").hint("merge"), "cid", "left").select("f1", "f2", "least", F.coalesce("comp", "cid").alias("grp"))
+        joined = written(joined, "joined")
+        least = written(joined.groupBy("grp").agg(F.min("least").alias("component")), "least")
+        joined = keep(written(joined.select("f1", "f2", "grp").join(least.hint("merge"), "grp"), "labels"))
     own = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     out = signed.select("doc_id", "t", "n_shingles", "f1", "f2").join(joined.hint("merge"), ["f1", "f2"], "left")
     own, known = F.when(F.col("doc_id").isNotNull(), own), F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
@@ -303,11 +304,12 @@ def first_of_each(docs: DataFrame, words: int = 5, num: int = 4, den: int = 5) -
     If that id has several rows in the component, the one with the least hash of its text stays. Rows without an id or
     without words are compared with nothing; the former all stay, and of the latter one of those with equal id and text.
     """
-    found = written(decided(docs, words, num, den), "near")
-    id_, text = unused_name(docs, "_id"), unused_name(docs, "_text")
-    alone = F.when(F.col("grp").isNull(), F.col("t"))
-    stay = written(found.where("kept").groupBy("doc_id", "grp", alone.alias("alone")).agg(F.min("t").alias("t")).select(F.col("doc_id").alias(id_), F.col("t").alias(text)), "stay")
-    repeated = found.where("kept").groupBy("doc_id", "t").count().where("count > 1").limit(1).count() > 0
+    with scratch() as keep:
+        found = written(decided(docs, words, num, den), "near")
+        id_, text = unused_name(docs, "_id"), unused_name(docs, "_text")
+        alone = F.when(F.col("grp").isNull(), F.col("t"))
+        stay = keep(written(found.where("kept").groupBy("doc_id", "grp", alone.alias("alone")).agg(F.min("t").alias("t")).select(F.col("doc_id").alias(id_), F.col("t").alias(text)), "stay"))
+        repeated = found.where("kept").groupBy("doc_id", "t").count().where("count > 1").limit(1).count() > 0
     # a merge join at every size: what stays grows with the corpus
     known = docs.where("doc_id is not null").join(stay.hint("merge"), (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(text)), "left_semi")
     if repeated:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, unused_name, written
+from .common import WORD, scratch, unused_name, written
 
 FAN = 48
 WEIGHTS = (5, 2, 1)
@@ -130,8 +130,9 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of docs that the mix takes, each as often as it is taken."""
     id_, of, text, rep, copies, nth, copy = (unused_name(docs, n) for n in ("_id", "_of", "_text", "_rep", "_copies", "_nth", "_copy"))
-    d = decisions(docs, weights, share, most).select(F.col("doc_id").alias(id_), F.col("source").alias(of), F.col("t").alias(text), F.col("rep").alias(rep), F.col("copies").alias(copies))
-    d = written(d, "decided")
+    with scratch() as keep:
+        d = decisions(docs, weights, share, most).select(F.col("doc_id").alias(id_), F.col("source").alias(of), F.col("t").alias(text), F.col("rep").alias(rep), F.col("copies").alias(copies))
+        d = keep(written(d, "decided"))
     rows, own = docs, F.col("doc_id").cast("long")
     on = own.eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(of)) & (F.xxhash64("text") == F.col(text))
     if d.where(F.col(rep) > 1).limit(1).count():
