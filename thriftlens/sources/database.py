@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, InputPartition
 
 from thriftlens.schema import CALLS
+from thriftlens.storage import importable
 
 _SESSIONS = "session_id string, model string, message_count long, tool_call_count long, input_tokens long, output_tokens long, cost_usd double, started_at string, started_rank long"
 _MESSAGES = "session_id string, id long, role string, content string, tool_calls string, tool_name string, token_count long"
@@ -97,6 +98,7 @@ class SessionDatabase(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    importable(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SessionDatabase)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -23,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import this package, wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that nobody has used; what is there when the application ends is deleted."""
     path = f"{shared_dir(spark)}/thriftlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
