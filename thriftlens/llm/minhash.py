@@ -19,7 +19,7 @@ Connected candidates form families, and links inside a family are confirmed on f
 never texts, in blocks of `block` sets or `most` shingles. Each block is compared whole, together with about `pivots`
 sets drawn from all of its family: near copies of one text link to the pivots, and so to each other, so a large
 family is connected by sending each set once and the pivots to each block. What the pivots leave outside of a family's
-largest part is compared with every member of it, in blocks. The bytes that are sent are proportional to a family,
+largest part is compared with every member of it, in blocks of twice the size. The bytes that are sent are proportional to a family,
 and beyond that to its size times the number of blocks that stay outside. A comparison gives stars, never pairs.
 
 Defined results: null or wordless text: empty set, linked with nothing, component_id its own id. A very long text is
@@ -59,7 +59,7 @@ def least_agreement(t: float, hashes: int) -> int:
 class Plan:
     """Shape of the tables: r hashes in a half-band, m half-bands in each of two collections."""
 
-    def __init__(self, words: int = 5, num: int = 4, den: int = 5, r: int | None = None, m: int | None = None, agree: int | None = None, block: int = 512, most: int = 1 << 21, pivots: int = 64, sketches: int = 1024):
+    def __init__(self, words: int = 5, num: int = 4, den: int = 5, r: int | None = None, m: int | None = None, agree: int | None = None, block: int = 224, most: int = 1 << 20, pivots: int = 48, sketches: int = 512):
         if r is None:
             r = next((x for x in (3, 2) if half_bands(num / den, x) <= 12), 1)
         m = m or half_bands(num / den, r)
@@ -248,27 +248,27 @@ def _compared(tasks: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
 def confirmed_links(docs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
     """Exact links (a, b) that connect all linked members (cid, fam, least, f1, f2) of each family."""
     sets = written(family_sets(docs, members, plan), "sets")
-    many = F.greatest(F.ceil(F.count("*") / plan.block), F.ceil(F.sum("n") / plan.most)).cast("int")
-    sizes = written(sets.groupBy("fam").agg(F.count("*").alias("k"), many.alias("nb")), "sizes")
+    many = lambda block: F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / plan.most)).cast("int")
+    sizes = written(sets.groupBy("fam").agg(F.count("*").alias("k"), many(plan.block).alias("nb"), many(2 * plan.block).alias("nw")), "sizes")
     placed = sets.join(sizes.hint("merge"), "fam").withColumn("blk", F.pmod(F.xxhash64("cid"), F.col("nb")).cast("int"))
     drawn = F.pmod(F.xxhash64("cid", F.lit(9)), F.lit(1 << 40)) / float(1 << 40) < plan.pivots / F.col("k")
     pivots = placed.where(F.col("nb") > 1).where(drawn).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     first = written(_compared(placed.unionByName(pivots), ["fam", "blk"], plan), "first")
     # large families that aren't one part yet
     parts = components(first).select(F.col("node").alias("cid"), "comp")
-    large = placed.where(F.col("nb") > 1).select("fam", "cid", "nb").join(parts.hint("merge"), "cid", "left").select("fam", "cid", "nb", F.coalesce("comp", "cid").alias("comp"))
+    large = placed.where(F.col("nb") > 1).select("fam", "cid", "nw").join(parts.hint("merge"), "cid", "left").select("fam", "cid", "nw", F.coalesce("comp", "cid").alias("comp"))
     large = written(large, "large")
-    per = large.groupBy("fam", "nb", "comp").agg(F.count("*").alias("k"))
-    split = per.groupBy("fam", "nb").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
-    outside = F.ceil((F.col("k") - F.col("top.k")) * F.col("nb") / F.col("k")).cast("int")
-    split = written(split.select("fam", "nb", F.col("top.comp").alias("main"), outside.alias("no")), "split")
+    per = large.groupBy("fam", "nw", "comp").agg(F.count("*").alias("k"))
+    split = per.groupBy("fam", "nw").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("k"), F.count("*").alias("parts")).where("parts > 1")
+    outside = F.ceil((F.col("k") - F.col("top.k")) * F.col("nw") / F.col("k")).cast("int")
+    split = written(split.select("fam", "nw", F.col("top.comp").alias("main"), outside.alias("no")), "split")
     every = sets.join(split.hint("merge"), "fam")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("cid", F.lit(3)), F.col(n)).cast("int")
     columns = ["fam", "p", "q", "cid", "set"]
-    tasks = every.withColumn("p", dealt("nb")).withColumn("q", each("no")).select(*columns)
+    tasks = every.withColumn("p", dealt("nw")).withColumn("q", each("no")).select(*columns)
     rest = every.join(large.select("cid", "comp").hint("merge"), "cid").where("comp <> main")
-    tasks = tasks.unionByName(rest.withColumn("q", dealt("no")).withColumn("p", each("nb")).select(*columns))
+    tasks = tasks.unionByName(rest.withColumn("q", dealt("no")).withColumn("p", each("nw")).select(*columns))
     return first.unionByName(_compared(tasks, ["fam", "p", "q"], plan))
 
 
