@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
 import threading
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -15,35 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thriftlens.storage import fresh_path, importable
+
 #: Python's and this project's ASCII white space: space, and U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]"
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: One word of a text.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or on a local master a folder of our own."""
-    sc = spark.sparkContext
-    set_by_cluster = sc.getConf().get("spark.checkpoint.dir", None)
-    if set_by_cluster:
-        return set_by_cluster.rstrip("/")
-    already = sc._jsc.sc().getCheckpointDir()
-    if already.isDefined():
-        return already.get().rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='thriftlens-')}"
-    sc.setCheckpointDir(own)
-    return own
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there, and lost executors don't matter."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/thriftlens/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)  # whatever is left when the application ends
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table._thriftlens_path = path
@@ -104,13 +84,6 @@ def small_batches(spark: SparkSession, mb: int = 4) -> None:
         spark.conf.set(name, str(mb << 20))
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import this package, wherever the driver was started."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 

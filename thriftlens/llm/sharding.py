@@ -7,8 +7,9 @@ There is one shuffle, of about 40 bytes a row. Range bounds split ties (equal id
 number, so no key is hot. The written table ends the lineage: bounds are sampled once.
 
 Defined results: null text counts 0 bytes (plus the fixed bytes of a row) and has the checksum of no bytes.
-Null ids come first; rows of equal id go by checksum, size and position. No rows, no shards; with fewer
-documents than shards some shards are empty. Other columns are ignored.
+A very long text is one row, never cut, so its shard may be that much larger. Null ids come first; rows of equal id
+(repeated rows, or several texts) go by checksum, size and position. No rows, no shards; with fewer documents than
+shards some shards are empty. Other columns are ignored.
 """
 
 from __future__ import annotations

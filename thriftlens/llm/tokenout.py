@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, mapped, raw, shared_dir, shipped, small_batches, written
+from thriftlens.storage import fresh_path
+
+from .common import column, mapped, raw, shipped, small_batches, written
 from .wordcache import WordCache, plain, spread
 
 END = 2
@@ -159,8 +160,6 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write the token files to the shared folder and read them back."""
     spark = docs.sparkSession
-    path = f"{shared_dir(spark)}/thriftlens/{spark.sparkContext.applicationId}/tokens-{uuid.uuid4().hex}"
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    path = fresh_path(spark, "tokens")
     write_tokens(docs, tokenizer, path)
     return read_back(spark, path)
