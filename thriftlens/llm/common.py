@@ -169,8 +169,8 @@ def unused_name(df: DataFrame, name: str) -> str:
     return name
 
 
-#: Links that are contracted at once (16 MB).
-CHUNK = 1_000_000
+#: Links that are contracted at once (4 MB, and several times that while it lasts).
+CHUNK = 250_000
 
 
 def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
