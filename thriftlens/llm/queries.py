@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, embdedup, langid, linededup, minhash, mixing, sharding, tokenout
+from . import alignment, ann, audit, bpe, chat, embdedup, langid, linededup, minhash, mixing, packing, sharding, tokenout
 from .common import table_path
 
 
@@ -15,13 +15,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "documents"))
 
 
-def tokenizer_path() -> str:
-    """The public byte-level BPE vocabulary; THRIFTLENS_BPE names another file."""
-    if os.environ.get("THRIFTLENS_BPE"):
-        return os.environ["THRIFTLENS_BPE"]
+def tokenizer_path(name: str = "byte_bpe_50k.json", variable: str = "THRIFTLENS_BPE") -> str:
+    """A public tokenizer's file, by default the byte-level BPE vocabulary; the variable names another file."""
+    if os.environ.get(variable):
+        return os.environ[variable]
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_deduped(documents(spark, sf_dir), words=linededup.WORDS)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model", "THRIFTLENS_PIECES"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digests(packing.packed(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json", "THRIFTLENS_WORD_BPE")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(documents(spark, sf_dir), spark.read.parquet(table_path(sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_shards": op1_shards,
     "op2_language": op2_language,
@@ -81,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_orc_tokens": op9_orc_tokens,
     "op10_line_dedup": op10_line_dedup,
+    "op11_alignment": op11_alignment,
+    "op12_packing": op12_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 #: By definition: equal lines on a diagonal make a run; a run of 50 words goes from the later place.
@@ -174,9 +189,49 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
 FROM sized GROUP BY conv_id
 """
 
+_AUDIT = r"""
+WITH docs AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
+firsts AS (SELECT t, min(doc_id) AS least FROM docs GROUP BY t),
+label AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels GROUP BY doc_id),
+flags AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(l.toxic, false) AS toxic,
+         len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+         100 * length(regexp_replace(w.t, '[^A-Z]', '', 'g')) > 5 * length(w.t) AS c,
+         regexp_matches(w.t, '[#$%&*|]') AS d, w.doc_id > least AS e
+  FROM words AS w JOIN firsts AS f ON f.t = w.t LEFT JOIN label AS l ON l.doc_id = w.doc_id
+),
+fails AS (SELECT part, good, toxic, concat(CASE WHEN a THEN 'A' END, CASE WHEN b THEN 'B' END, CASE WHEN c THEN 'C' END, CASE WHEN d THEN 'D' END, CASE WHEN e THEN 'E' END) AS s FROM flags),
+sets AS (SELECT part, s, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM fails GROUP BY part, s),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters AS p, letters AS q, letters AS r, letters AS s, letters AS t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+),
+steps AS (
+  SELECT filter_order, CAST(i AS INTEGER) AS step, filter_order[i] AS own, filter_order[1:i - 1] AS earlier
+  FROM orders, unnest(range(1, 6)) AS u(i)
+),
+taken AS (
+  SELECT part, filter_order, step, own,
+         coalesce(sum(n) FILTER (WHERE NOT contains(s, own) AND translate(s, earlier, '') = s), 0) AS kept,
+         coalesce(sum(n) FILTER (WHERE contains(s, own) AND translate(s, earlier, '') = s), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE contains(s, own) AND translate(s, earlier, '') <> s), 0) AS redundant,
+         coalesce(sum(n) FILTER (WHERE s = own), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE contains(s, own) AND translate(s, earlier, '') = s), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (WHERE contains(s, own) AND translate(s, earlier, '') = s), 0) AS toxic_lost
+  FROM sets, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM taken
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op4_minhash": _NEAR,
     "op5_near_vectors": _NEAR_VECTORS,
     "op8_chat": _CHAT,
     "op10_line_dedup": _LINE_DEDUP,
+    "op13_filter_audit": _AUDIT,
 }

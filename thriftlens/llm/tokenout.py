@@ -36,15 +36,16 @@ END = 2
 
 
 class Encoder:
-    """The library's ids of texts, by a tokenizer file's bytes."""
+    """The library's ids of texts, by a tokenizer file's bytes; literal: special tokens' strings are plain text."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_buffer(content)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.encode_special_tokens = literal
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("Ġ") for i in range(size)])
