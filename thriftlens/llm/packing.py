@@ -206,12 +206,14 @@ def planned(tails: dict[int, int], windows: int = 0, tiers: tuple[int, ...] = TI
 def tokenized(docs: DataFrame, tokenizer: str, window: int = TIERS[0]) -> DataFrame:
     """part, doc_id, doc_tokens, tail, nth, windows, ids of each row.
 
-    nth: equal tails before it in its part; windows: whole windows before it there; ids: little-endian 32-bit integers.
+    nth: equal tails before it in its part; windows: whole windows before it there; ids: little-endian integers of 16 bits
+    if the vocabulary allows, else of 32.
     """
     shared = shipped(docs.sparkSession, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, seen, windows, end = word_encoder(shared.value), np.zeros(window, np.int64), 0, np.array([END], np.int32)
+        kind = "<u2" if e.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<i4"
         for b in batches:
             nth, before, binary = [], [], []
             n = []
@@ -222,7 +224,7 @@ def tokenized(docs: DataFrame, tokenizer: str, window: int = TIERS[0]) -> DataFr
                 seen[size % window] += 1
                 windows += size // window
                 n.append(size)
-                binary.append(np.concatenate([ids, end]).astype("<i4").tobytes())
+                binary.append(np.concatenate([ids, end]).astype(kind).tobytes())
             n = np.array(n, np.int64)
             arrays = [column(b, "part"), column(b, "doc_id"), pa.array(n), pa.array((n % window).astype(np.int32)), pa.array(nth, pa.int64()), pa.array(before, pa.int64()), pa.array(binary, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["part", "doc_id", "doc_tokens", "tail", "nth", "windows", "ids"])
@@ -253,6 +255,8 @@ def packed(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS) -> D
             out: list[list] = [[] for _ in range(9)]
             for doc, n, rank, at, ids in zip(*(column(b, c).to_pylist() for c in ("doc_id", "doc_tokens", "rank", "window", "ids"))):
                 whole = n // window
+                if len(ids) == 2 * n:
+                    ids = np.frombuffer(ids, "<u2").astype("<i4").tobytes()
                 pieces = [(i * window, window, 0, at + i, 0) for i in range(whole)]
                 if n % window:
                     pieces += [(whole * window + s, k, t, rank + shift, offset) for s, k, t, shift, offset in plan.of(n % window, rank)]
