@@ -4,22 +4,24 @@ Each curve projects unit vectors on its own orthogonal directions, drawn at rand
 that axes along which the data spread count more), shifts and cuts each coordinate into equal shares of the data, and
 orders the vectors by their Hilbert key. One range partition (curve, key) sorts all curves at once; running counts and
 one row per partition turn keys into positions. Around a query's position on each curve, a window of neighbours is
-compared by quantized codes (16 bits a component). The curves' best are merged, and the few that are left of each query
-are compared by cosine in double precision on the original vectors, and ranked.
+compared in single precision; those that come within its rounding error of the k-th best, all of a crowd if need be, are
+compared again by cosine in double precision on the original vectors, so near copies that differ in the last digits are
+told apart and no candidate of a window is lost. The windows' best are merged and ranked.
 
 The width of the window and the number of curves are fitted, not chosen: for a bounded sample of vectors (`sample`) the
 exact neighbours are found by comparing them, in one block, with all vectors. One pass counts how many keys lie below
 theirs, which gives their positions without a sort. For each number of curves up to `curves` a window is just wide
 enough that `aim` of those neighbours lie inside on some curve; `fit_window` picks one. The share of the data that this
-takes follows from the data: near copies need a few positions, featureless noise a large part. Data and queries are dealt by blocks of positions, so a task holds a block of codes and the queries of a stretch
-of `every` blocks that reach it, whatever the width.
+takes follows from the data: near copies need a few positions, featureless noise a large part. Data and queries are dealt
+by blocks of positions, so a task holds a block of vectors and the queries of a stretch of `every` blocks that reach it,
+whatever the width.
 
 Equal vectors are one point of a curve with the k + 1 least ids (more can't be in a result), so a vector that is
 repeated very often is no crowd at a position, and is asked for once.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite parts takes no part, as query or
 as candidate. Vectors of different length aren't compared: each length has curves of its own (lengths are few; each
-is a round of jobs). Fewer than k candidates: all of them. Ties go to the smaller vec_id. Rows of one vec_id are one
+is a round of jobs). Fewer than k candidates: all of them. An empty table, or one without a query, gives no rows. Ties go to the smaller vec_id. Rows of one vec_id are one
 vector; if they differ, the one with the least hash counts. Other columns are ignored.
 """
 
@@ -35,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_key, column, mapped, scratch, written
-from .embdedup import usable
+from .embdedup import VALUES, usable
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -109,15 +111,43 @@ def halved(v: np.ndarray) -> np.ndarray:
     return np.ldexp(v, -np.frexp(np.abs(v).max(1))[1][:, None])
 
 
-def coded(x: np.ndarray) -> list[bytes]:
-    """A float32 scale and 16 bits a component of each unit vector."""
-    scale = (np.abs(x).max(1) / 32767).astype(np.float32)
-    return [s.tobytes() + q.tobytes() for s, q in zip(scale, np.rint(x / scale[:, None]).astype(np.int16))]
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The cosine of each row of x with that of y, in double precision."""
+    x, y = halved(x), halved(y)
+    return np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
 
 
-def uncoded(codes: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(codes), np.uint8).reshape(len(codes), -1)
-    return raw[:, 4:].copy().view(np.int16).astype(np.float32) * raw[:, :4].copy().view(np.float32)
+def coded(v: np.ndarray, narrow: bool) -> list[bytes]:
+    """The bytes of each vector; narrow: in single precision, which is exact for what was read so."""
+    return [x.tobytes() for x in v.astype("<f4" if narrow else "<f8")]
+
+
+def uncoded(codes: list[bytes], narrow: bool) -> np.ndarray:
+    return np.frombuffer(b"".join(codes), "<f4" if narrow else "<f8").reshape(len(codes), -1).astype(np.float64)
+
+
+def nearest(x: np.ndarray, y: np.ndarray, there: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, cosines): of each row of x the k nearest rows of y where `there`, by double precision, and maybe more.
+
+    Products in single precision sort out all but those within their error of the k-th best. Where that leaves many, a
+    crowd of near copies, the row is compared with all in double precision.
+    """
+    ux, uy = unit(x), unit(y)
+    s = ux.astype(np.float32) @ uy.astype(np.float32).T
+    s[~there] = -np.inf
+    if k < s.shape[1]:
+        error = 4 * (x.shape[1] + 4) * 2.0**-24  # of two sums of products of unit vectors
+        s[s < -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - error] = -np.inf
+    left = np.isfinite(s)
+    crowd = left.sum(1) > 4 * k
+    row, col = np.nonzero(left & ~crowd[:, None])
+    if crowd.any():
+        which = np.flatnonzero(crowd)
+        again = ux[which] @ uy.T
+        again[~left[which]] = -np.inf
+        r, c = best_of(again, k)
+        row, col = np.concatenate([row, which[r]]), np.concatenate([col, c])
+    return row, col, cosines(x[row], y[col])
 
 
 def points_of(vectors: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -140,17 +170,17 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
 
 
-def positions(points: DataFrame, curves: Curves) -> DataFrame:
-    """curve, pos, pid, code: each point's place on each curve, from 0."""
+def positions(points: DataFrame, curves: Curves, narrow: bool) -> DataFrame:
+    """curve, pos, pid, code: each point's place on each curve, from 0, and the bytes of its vector."""
     shared = points.sparkSession.sparkContext.broadcast(curves)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = unit(matrix(column(b, "v")))
-            codes = pa.array(coded(x), pa.binary())
-            for c, key in enumerate(shared.value.keys(x)):
+            v = matrix(column(b, "v"))
+            codes = pa.array(coded(v, narrow), pa.binary())
+            for c, key in enumerate(shared.value.keys(unit(v))):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, c, np.int32)), pa.array(key), column(b, "pid"), codes], ["curve", "key", "pid", "code"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +239,7 @@ def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n:
     """(number of curves, width) with which `aim` of the sampled neighbours lie inside a window.
 
     The fewest curves whose windows hold three quarters of the n vectors or fewer, as each curve is one more copy that is
-    sorted; if there are none, those whose windows hold the fewest.
+    sorted; if there are none, those whose windows hold the fewest, or a single window if several hold more than all.
     """
     spark = points.sparkSession
     wanted = sorted({p for q, ps in near.items() for p in (q, *ps)})
@@ -217,7 +247,7 @@ def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n:
     rows = points.select("pid", "v").join(F.broadcast(ids), "pid").toArrow()
     at = {p: i for i, p in enumerate(rows.column("pid").to_pylist())}
     keys = curves.keys(unit(matrix(rows.column("v").combine_chunks())))
-    steps = np.sort(keys, axis=1)
+    steps = np.sort(np.concatenate([keys, keys + 1], axis=1), axis=1)
     shared = spark.sparkContext.broadcast((curves, steps))
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,24 +261,30 @@ def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n:
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(step, pa.int32()), pa.array(total[c, step])], ["curve", "step", "n"])
 
     counts = np.zeros((len(steps), steps.shape[1] + 1), np.int64)
-    for r in mapped(points.select("v"), below, "curve int, step int, n long").groupBy("curve", "step").agg(F.sum("n").alias("n")).collect():  # curves * sample * (k + 1) rows
+    for r in mapped(points.select("v"), below, "curve int, step int, n long").groupBy("curve", "step").agg(F.sum("n").alias("n")).collect():  # 2 * curves * sample * (k + 1) rows
         counts[r["curve"], r["step"]] = r["n"]
-    pos = np.stack([np.cumsum(counts[c])[np.searchsorted(steps[c], keys[c])] for c in range(len(keys))])  # keys below each one
+    # keys below each one, and those up to it: points of one key lie between, in the order of their ids
+    low, high = (np.stack([np.cumsum(counts[c])[np.searchsorted(steps[c], keys[c] + up)] for c in range(len(keys))]) for up in (0, 1))
     pairs = [(at[q], at[p]) for q, ps in near.items() for p in ps]
     if not pairs:
         return 1, 8
-    gaps = np.minimum.accumulate(np.stack([np.abs(pos[:, a] - pos[:, b]) for a, b in pairs], 1), axis=0)
+    one, two = (np.array(x) for x in zip(*pairs))
+    gaps = np.maximum(high[:, one], high[:, two]) - np.minimum(low[:, one], low[:, two]) - 1
+    gaps = np.minimum.accumulate(gaps, axis=0)
     gaps.sort(axis=1)
     width = np.maximum(8, gaps[:, min(len(pairs) - 1, int(aim * len(pairs)))] + 1)
     several = min(4, len(width)) - 1
     held = (np.minimum(2 * width, n) * np.arange(1, len(width) + 1))[several:]
+    if held.min() > n:  # one window over everything holds less
+        return 1, n
     best = several + int(np.argmax(held <= 0.75 * n) if (held <= 0.75 * n).any() else np.argmin(held))
     return best + 1, int(width[best])
 
 
-def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32, d: int = 20, bits: int = 3, sample: int = 400, aim: float = 0.94, block: int = 2048) -> DataFrame:
+def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32, d: int = 20, bits: int = 3, sample: int = 400, aim: float = 0.97, block: int = 2048) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every`, the k nearest others found."""
     spark = vectors.sparkSession
+    narrow = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
     with scratch() as keep:
         points, ids = points_of(vectors, k)
         asked = keep(written(ids.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.col("vec_id").alias("query_id"), F.col("pid").alias("qpid"), "dim"), "asked"))
@@ -257,7 +293,7 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32
         for r in lengths:
             own = points.where(F.col("dim") == r["dim"])
             queries = written(asked.where(F.col("dim") == r["dim"]).select("qpid").distinct(), "queries")
-            out = out.unionByName(_searched(own, queries, every, k, curves, d, bits, sample, aim, block))
+            out = out.unionByName(_searched(own, queries, every, k, curves, d, bits, max(8, min(sample, VALUES // (k + 1) // r["dim"])), aim, block, narrow, min(5000, VALUES // r["dim"])))
         # of each point asked for, the ids of the nearest points; then of each id that asks, all but itself
         near = out.join(points.select("pid", "ids").hint("merge"), "pid").select("qpid", "score", F.explode("ids").alias("vec_id"))
         order = lambda by: F.row_number().over(W.partitionBy(by).orderBy(F.desc("score"), "vec_id"))
@@ -266,11 +302,11 @@ def neighbours(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = 32
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _searched(points: DataFrame, queries: DataFrame, every: int, k: int, curves: int, d: int, bits: int, sample: int, aim: float, block: int) -> DataFrame:
+def _searched(points: DataFrame, queries: DataFrame, every: int, k: int, curves: int, d: int, bits: int, sample: int, aim: float, block: int, narrow: bool, fitted: int) -> DataFrame:
     """qpid, pid, score: the points found nearest to each point of queries (qpid), itself included; all of one length."""
     n = points.count()
     share = lambda most, salt: F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / n))
-    fit_on = points.where(share(5000, 21)).select("pid", "v").limit(6000).toArrow()
+    fit_on = points.where(share(fitted, 21)).select("pid", "v").limit(fitted + 1000).toArrow()
     if not fit_on.num_rows:
         fit_on = points.limit(1).select("pid", "v").toArrow()
     fit_on = fit_on.sort_by("pid")
@@ -278,7 +314,7 @@ def _searched(points: DataFrame, queries: DataFrame, every: int, k: int, curves:
     picked = points.where(share(sample, 22)).select("pid", "v").limit(2 * sample).toArrow()
     near = exact_neighbours(points, picked.column("pid").to_numpy(), matrix(picked.column("v").combine_chunks()), k) if picked.num_rows else {}
     used, width = fit_window(points, lines, near, n, aim) if near else (len(lines.turn), n)
-    placed = written(positions(points, Curves(lines.turn[:used], lines.cuts[:used], bits)), "placed")
+    placed = written(positions(points, Curves(lines.turn[:used], lines.cuts[:used], bits), narrow), "placed")
     # data go to the stretches of queries that reach their block, queries to the blocks they reach
     span = block * every
     seq = lambda a, b: F.explode(F.sequence(a, b))
@@ -295,26 +331,14 @@ def _searched(points: DataFrame, queries: DataFrame, every: int, k: int, curves:
             asks_ = t.column("asks").to_numpy()
             if asks_.all() or not asks_.any():
                 continue
-            x, p, ids = uncoded(t.column("code").to_pylist()), t.column("pos").to_numpy(), t.column("pid").to_numpy()
+            x, p, ids = uncoded(t.column("code").to_pylist(), narrow), t.column("pos").to_numpy(), t.column("pid").to_numpy()
             y, ypos, yids = x[~asks_], p[~asks_], ids[~asks_]
             for q in np.array_split(np.flatnonzero(asks_), -(-int(asks_.sum()) // 256)):
-                s = x[q] @ y.T
-                s[np.abs(p[q][:, None] - ypos[None, :]) > width] = -np.inf
-                row, col = best_of(s, 3 * k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q[row]]), pa.array(yids[col]), pa.array(s[row, col])], ["qpid", "pid", "s"])
+                row, col, s = nearest(x[q], y, np.abs(p[q][:, None] - ypos[None, :]) <= width, k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q[row]]), pa.array(yids[col]), pa.array(s)], ["qpid", "pid", "score"])
 
     key = ["curve", "blk", "qb"]
-    found = mapped(tasks.repartition(*key).sortWithinPartitions(*key), run, "qpid long, pid long, s float")
-    once = written(found.groupBy("qpid", "pid").agg(F.max("s").alias("s")), "found")
-    few = once.withColumn("r", F.row_number().over(W.partitionBy("qpid").orderBy(F.desc("s"), "pid"))).where(F.col("r") <= 8 * k)
-    one, two = points.select("pid", "v"), points.select(F.col("pid").alias("qpid"), F.col("v").alias("qv"))
-    pairs = few.select("qpid", "pid").join(one.hint("merge"), "pid").join(two.hint("merge"), "qpid")
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                x, y = halved(matrix(column(b, "v"))), halved(matrix(column(b, "qv")))
-                s = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
-                yield pa.RecordBatch.from_arrays([column(b, "qpid"), column(b, "pid"), pa.array(s)], ["qpid", "pid", "score"])
-
-    return written(mapped(pairs, scored, "qpid long, pid long, score double"), "scored")
+    found = mapped(tasks.repartition(*key).sortWithinPartitions(*key), run, "qpid long, pid long, score double")
+    once = found.groupBy("qpid", "pid").agg(F.max("score").alias("score"))
+    best = once.withColumn("r", F.row_number().over(W.partitionBy("qpid").orderBy(F.desc("score"), "pid"))).where(F.col("r") <= k + 1)
+    return written(best.select("qpid", "pid", "score"), "found")

@@ -12,14 +12,14 @@ one row. A cell's rows are dealt into blocks of `rows` rows or `block_values` nu
 product in double precision, worked off in slabs, which gives counts and stars of linked vectors, never pairs: what a
 slab links already is left out of the next one's links. So a cell of any size is compared whole, with memory bounded
 by two blocks. As links are counted, every pair of a crowd of near vectors is compared; its rows are sent once for each
-block of their cell. Centroids are fitted on a bounded sample (`sample` vectors in all) and number at most
-`most_cells`, which bounds what is broadcast; beyond that cells grow and have more blocks, and a label without cells of
+block of their cell. Centroids are fitted on a bounded sample (`sample` vectors, VALUES numbers in all) and are at most
+`most_cells` and VALUES numbers, which bounds what is broadcast; beyond that cells grow and have more blocks, and a label without cells of
 its own is one cell. Either way all pairs are compared.
 
 Defined results: a vector that is null, empty, zero or holds null or non-finite parts, and one without a label,
 links with nothing: n_links 0, component_id its own id, kept. Vectors of different length don't link. Each
-row is a vector of its own, so repeated rows link, and so may rows of one vec_id with several vectors. Null vec_id: component_id null, not kept. Other columns are
-ignored.
+row is a vector of its own, so repeated rows link, and so may rows of one vec_id with several vectors. Null vec_id: component_id null, not kept. An empty table gives
+no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -64,32 +64,42 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 
 def spaced(c: np.ndarray, least: float) -> np.ndarray:
     """Centroids that are `least` apart or more: between closer ones nearly all vectors of one would visit the other."""
-    kept = c[:1]
+    kept, n = np.empty_like(c), 1
+    kept[0] = c[0]
     for x in c[1:]:
-        if ((kept - x) ** 2).sum(1).min() >= least * least:
-            kept = np.vstack([kept, x])
-    return kept
+        if 2 - 2 * (kept[:n] @ x).max() >= least * least:  # the squared distance of unit vectors
+            kept[n] = x
+            n += 1
+    return kept[:n]
+
+
+#: Numbers that the sample of vectors holds at most, and the centroids (32 MB each), whatever the vectors' length.
+VALUES = 1 << 22
 
 
 def fit_cells(classes: DataFrame, threshold: float, cell: int, sample: int, most_cells: int, seed: int = 3) -> dict[tuple[str, int], np.ndarray]:
-    """Centroids of each (label, length) with more than `cell` classes; labels beyond most_cells / 2 have one cell."""
+    """Centroids of each (label, length) with more than `cell` classes; labels beyond most_cells / 2 have one cell.
+
+    What comes to the driver is bounded by bytes: `sample` vectors and VALUES numbers.
+    """
     sizes = classes.groupBy("lab", "dim").count().where(F.col("count") > cell).orderBy(F.desc("count"), "lab", "dim").limit(most_cells // 2).collect()
     if not sizes:
         return {}
-    total = sum(r["count"] for r in sizes)
-    part = classes.where(F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total)))
+    total, values = sum(r["count"] for r in sizes), sum(r["count"] * r["dim"] for r in sizes)
+    most_cells = max(2, min(most_cells, VALUES // max(r["dim"] for r in sizes)))
+    part = classes.where(F.pmod(F.xxhash64("cid", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / total, VALUES / values)))
     names = F.create_map(*[x for r in sizes for x in (F.lit(f"{r['dim']} {r['lab']}"), F.lit(1))])
-    picked = part.where(names[F.concat_ws(" ", "dim", "lab")].isNotNull()).select("lab", "dim", "cid", "v").collect()
+    picked = part.where(names[F.concat_ws(" ", "dim", "lab")].isNotNull()).select("lab", "dim", "cid", "v").toArrow().sort_by("cid")
     rng, out = np.random.default_rng(seed), {}
-    groups: dict[tuple[str, int], list] = {}
-    for r in sorted(picked, key=lambda r: r["cid"]):
-        groups.setdefault((r["lab"], r["dim"]), []).append(r["v"])
+    groups: dict[tuple[str, int], list[int]] = {}
+    for i, key in enumerate(zip(picked.column("lab").to_pylist(), picked.column("dim").to_pylist())):
+        groups.setdefault(key, []).append(i)
     per_cell = max(float(cell), total / most_cells * 2)
     for r in sizes:
-        vs = groups.get((r["lab"], r["dim"]), [])
-        k = min(len(vs), max(1, round(r["count"] / per_cell)))
+        at = groups.get((r["lab"], r["dim"]), [])
+        k = min(len(at), max(1, round(r["count"] / per_cell)))
         if k > 1:
-            x = np.array(vs)
+            x = picked.column("v").take(pa.array(at)).combine_chunks().flatten().to_numpy().reshape(len(at), -1).copy()
             x /= np.abs(x).max(1, keepdims=True)
             out[r["lab"], r["dim"]] = spaced(kmeans(x / np.linalg.norm(x, axis=1)[:, None], k, rng), np.sqrt(2 - 2 * threshold))
     return out

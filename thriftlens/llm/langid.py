@@ -34,9 +34,10 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, in_groups, mapped, raw
+from .common import column, in_groups, mapped, raw, scratch, written
 
 BITS = 16
 DIM = 16
@@ -209,10 +210,12 @@ def _calibrate(model: Model, rows: list[Sample], mass: np.ndarray, rng: np.rando
     model.cut = float((low + high) / 2 if low < high else high)
 
 
-def fit(docs: DataFrame, learn, per_lang: int = 1500, most: int = 15_000, seed: int = 7) -> Model | None:
+def fit(docs: DataFrame, learn, per_lang: int = 1500, most: int = 15_000, seed: int = 7, subwords: int = 1 << 24) -> Model | None:
     """Fit on rows of docs where `learn` (a Column) holds and lang isn't null; None if there are none.
 
-    per_lang bounds the labelled rows of each language, and most those of all together, in equal parts.
+    per_lang bounds the labelled rows of each language, and most those of all together, in equal parts. subwords bounds
+    the sum of the texts' different subwords (8 bytes each on the driver): where texts are so long that they hold more,
+    fewer are learned, of each language in turn, each of them whole.
     """
     labelled = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
@@ -236,7 +239,13 @@ def fit(docs: DataFrame, learn, per_lang: int = 1500, most: int = 15_000, seed:
 
     found = mapped(picked, of_each, "doc_id long, h long, ids binary, n binary, lang string, piece binary")
     # one text of an id, whatever the order of rows
-    one = found.groupBy("doc_id").agg(F.min(F.struct("h", "lang", "ids", "n", "piece")).alias("s")).select("doc_id", "s.*").toArrow().sort_by("doc_id")
+    each_id = found.groupBy("doc_id").agg(F.min(F.struct("h", "lang", "ids", "n", "piece")).alias("s")).select("doc_id", "s.*")
+    with scratch():
+        drawn = written(each_id, "sample")
+        turn = drawn.select("doc_id", "lang", F.length("ids").alias("size"), F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id")).alias("turn"))
+        upto = turn.withColumn("upto", F.sum("size").over(W.orderBy("turn", "lang").rowsBetween(W.unboundedPreceding, 0)))  # numbers of the drawn rows alone
+        kept = upto.where(F.col("upto") <= 4 * subwords).select("doc_id")
+        one = drawn.join(kept.hint("merge"), "doc_id", "left_semi").toArrow().sort_by("doc_id")
     if not one.num_rows:
         return None
     cols = {c: one.column(c).to_pylist() for c in ("ids", "n", "lang", "piece")}
