@@ -1,8 +1,9 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
-from thriftlens.plans import accounting, compress, requests
+from thriftlens.plans import accounting, cache, compress, requests
 from thriftlens.schema import REQUESTS
 from thriftlens.streaming import requests as streams
 
@@ -118,7 +119,7 @@ def test_streams_equal_batches(spark, tmp_path):
         df.where(f"request_id >= {lo} and request_id < {lo + 20}").coalesce(1).write.mode("append").parquet(path)
     stream = lambda: streams.request_log(spark, path)
     assert streams.finished(streams.stats(stream()), "complete", "s").first() == accounting.stats(df).first()
-    got = {r.request_id: r.is_hit for r in streams.finished(streams.replay(stream()), "append", "r").collect()}
+    got = {r.request_id: r.is_hit for r in streams.replayed(stream()).collect()}
     want = {r.request_id: r.is_hit for r in requests.replayed(requests.keyed(df)).where("cacheable").collect()}
     assert got == want and sum(not h for h in got.values()) == 5
     windows = streams.finished(streams.stats_by_window(stream(), "10 seconds", "0 seconds"), "append", "w").collect()
@@ -134,7 +135,7 @@ def test_a_popular_key_in_a_stream(spark, tmp_path):
     rows = rows.withColumn("request_id", F.when(F.col("request_id") < 10, 9 - F.col("request_id")).otherwise(F.col("request_id")))
     rows.coalesce(1).write.mode("append").parquet(path)
     stream = streams.request_log(spark, path, "request_id long, ts timestamp, model string, streaming boolean, messages array<struct<role:string,content:string>>")
-    out = streams.finished(streams.replay(stream), "append", "hot")
+    out = streams.replayed(stream)
     assert out.count() == out.select("request_id").distinct().count() == n
     assert [r.request_id for r in out.where("not is_hit").collect()] == [0]
     batch = requests.replayed(requests.keyed(rows))
@@ -169,3 +170,118 @@ def test_raw_requests_are_routed(spark):
     out = {r.request_id: (r.api, r.model, r.streaming, r.messages and [tuple(m) for m in r.messages], r.temperature) for r in accounting.routed(spark.createDataFrame(raw, "request_id int, path string, body string")).collect()}
     assert out == {1: ("chat", "gpt-5", True, [("user", "hi")], 0.5), 2: ("messages", "o3", False, [], None), 3: (None, None, False, None, None), 4: ("messages", None, False, [], None), 5: (None, None, False, None, None)}
     assert accounting.stats(accounting.routed(spark.createDataFrame(raw, "request_id int, path string, body string")).withColumn("completion_tokens", F.lit(2))).first().total_requests == 3
+
+
+# --- the replay of a stream, and what a crash leaves
+
+
+def small_log(spark, path, keys, first=0):
+    """A file of requests, one for each key, in a stream's folder."""
+    rows = [(first + i, dt.datetime(2026, 1, 1) + dt.timedelta(seconds=first + i), "gpt-5", False, [("user", k)]) for i, k in enumerate(keys)]
+    schema = "request_id long, ts timestamp, model string, streaming boolean, messages array<struct<role:string,content:string>>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+    return lambda: streams.request_log(spark, path, schema, files_per_trigger=1)
+
+
+def test_very_many_new_keys_in_one_batch(spark, tmp_path):
+    path, n = str(tmp_path / "log"), 200_000
+    message = F.array(F.struct(F.lit("user").alias("role"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("content")))
+    rows = spark.range(n).select(F.col("id").alias("request_id"), F.timestamp_seconds(F.col("id")).alias("ts"), F.lit("gpt-5").alias("model"), F.lit(False).alias("streaming"), message.alias("messages"))
+    rows.unionByName(rows.where("request_id % 1000 = 0").withColumn("request_id", F.col("request_id") + n)).write.parquet(path)
+    out = streams.replayed(streams.request_log(spark, path, "request_id long, ts timestamp, model string, streaming boolean, messages array<struct<role:string,content:string>>"))
+    assert out.where("not is_hit").count() == n and out.count() == n + n // 1000
+    assert out.where("is_hit").agg(F.min("request_id")).first()[0] == n
+    # nothing runs in Python for a key; a text goes there only to be composed (NFC), which the JVM's functions can't
+    plan = requests.keyed(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Python [") == plan.count("Python [_nfc_all(CASE WHEN exists") == 1
+
+
+def test_replay_goes_on_from_a_checkpoint(spark, tmp_path, monkeypatch):
+    """Stopped after new keys were written and before the rows were: the same rows as without a stop, compaction or not."""
+    log, at = str(tmp_path / "log"), str(tmp_path / "replay")
+    batches = [["a", "b", "a"], ["b", "c"], ["d", "a", "d"], ["c", "e"], ["f", "f"]]
+    want = {}
+    for i, keys in enumerate(batches[:3]):
+        stream = small_log(spark, log, keys, 10 * i)
+    streams.replay(stream(), at, f"{at}/checkpoint", compact=2, availableNow=True).awaitTermination()
+    for i, keys in enumerate(batches[3:], 3):
+        small_log(spark, log, keys, 10 * i)
+
+    def stop(self, spark, number):
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(streams.Replay, "_compacted", stop)
+    with pytest.raises(Exception, match="stopped"):
+        streams.replay(stream(), at, f"{at}/checkpoint", compact=2, availableNow=True).awaitTermination()
+    monkeypatch.undo()
+    streams.replay(stream(), at, f"{at}/checkpoint", compact=2, availableNow=True).awaitTermination()
+    seen = set()
+    for i, keys in enumerate(batches):
+        for j, k in enumerate(keys):
+            want[10 * i + j] = k in seen
+            seen.add(k)
+    out = streams.Replay(at).out(spark)
+    assert {r.request_id: r.is_hit for r in out.collect()} == want and out.count() == len(want)
+
+
+# --- the cache's buckets
+
+
+def entries(spark, *rows):
+    return spark.createDataFrame([(k, "m", r, dt.datetime(2026, 1, 1, 0, 0, s)) for k, r, s in rows], "key string, model string, response string, created_at timestamp")
+
+
+def held(spark, path):
+    return {(r.key, r.response, r.hits) for r in requests.open_cache(spark, path).collect()}
+
+
+def test_an_upsert_rewrites_its_own_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    requests.save_cache(requests.stored(entries(spark, *((f"k{i}", "old", 1) for i in range(3000)))), path)
+    before = cache.pointed(spark, path, 0)
+    assert len(before) == cache.BUCKETS
+    touched = requests.upsert(entries(spark, ("k7", "new", 2)), path)
+    after = cache.pointed(spark, path, 1)
+    assert len(touched) == 1 and {b for b in before if after[b] != before[b]} == set(touched)
+    got = held(spark, path)
+    assert len(got) == 3000 and ("k7", "new", 1) in got and ("k8", "old", 1) in got
+    assert requests.upsert(entries(spark), path) == [] and held(spark, path) == got
+    requests.upsert(entries(spark, ("brand new", "x", 1)), path)
+    requests.upsert(entries(spark, ("k9", "y", 1)), path)
+    assert len(held(spark, path)) == 3001 and cache.versions(spark, path) == [2, 3]
+
+
+@pytest.mark.parametrize("step", ["_write", "_point", "_swept"])
+def test_a_crash_at_any_step_leaves_a_cache(spark, tmp_path, monkeypatch, step):
+    path = f"file://{tmp_path}/cache"
+    requests.save_cache(requests.stored(entries(spark, ("a", "1", 1), ("b", "1", 1))), path)
+    old = held(spark, path)
+    real = getattr(cache, step)
+
+    def crash(*args):
+        if step == "_write":
+            real(*args)
+        raise RuntimeError("stopped")
+
+    monkeypatch.setattr(cache, step, crash)
+    with pytest.raises(RuntimeError):
+        requests.upsert(entries(spark, ("a", "2", 2)), path)
+    with pytest.raises(RuntimeError):
+        requests.save_cache(requests.stored(entries(spark, ("c", "3", 3))), path)
+    new = {("c", "3", 1)} if step == "_swept" else old  # named already: only old files are left over
+    assert held(spark, path) == new
+    monkeypatch.undo()
+    requests.upsert(entries(spark, ("a", "4", 4)), path)
+    assert held(spark, path) == {x for x in new if x[0] != "a"} | {("a", "4", 1)}
+
+
+def test_two_writers_of_one_version(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/cache"
+    requests.save_cache(requests.stored(entries(spark, ("a", "1", 1))), path)
+    seen = cache.versions(spark, path)
+    requests.upsert(entries(spark, ("b", "1", 1)), path)
+    monkeypatch.setattr(cache, "versions", lambda *_: seen)
+    with pytest.raises(cache.CacheConflict):
+        cache._point(spark, path, 1, {})
+    monkeypatch.undo()
+    assert held(spark, path) == {("a", "1", 1), ("b", "1", 1)}

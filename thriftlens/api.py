@@ -13,7 +13,7 @@ from thriftlens.operators.tables import Tables
 from thriftlens.plans.accounting import load_stats, routed, save_stats, stats, status_line
 from thriftlens.plans.analysis import analyze, format_output, generate_prompts, run_analysis, summary
 from thriftlens.plans.compress import compress_messages, compressor, list_compressors, register_compressor, register_list_compressor
-from thriftlens.plans.requests import cache_stats, clear_cache, looked_up, merged, open_cache, optimized, run_summary, save_cache, stored
+from thriftlens.plans.requests import cache_stats, clear_cache, looked_up, merged, open_cache, optimized, run_summary, save_cache, stored, upsert
 from thriftlens.sources.resolve import read_all, read_session
 
 
@@ -36,5 +36,5 @@ def report(spark: SparkSession, path: str | None = None, detectors: Iterable[str
 __all__ = [
     "Tables", "analyze", "cache_stats", "clear_cache", "compress_messages", "compressor", "format_output", "generate_prompts", "get_detector", "list_compressors", "list_detectors", "load_stats",
     "looked_up", "merged", "normalize_messages", "open_cache", "optimized", "per_session", "read_all", "read_session", "register_compressor", "register_detector",
-    "register_list_compressor", "report", "routed", "run_analysis", "run_summary", "save_cache", "save_stats", "stats", "status_line", "stored", "summary",
+    "register_list_compressor", "report", "routed", "run_analysis", "run_summary", "save_cache", "save_stats", "stats", "status_line", "stored", "summary", "upsert",
 ]

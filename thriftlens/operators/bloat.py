@@ -2,81 +2,75 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from thriftlens.functions import text
 from thriftlens.operators.tables import Tables, finding, plural
-from thriftlens.storage import importable, written
+from thriftlens.storage import written
 
 
-def overlap_pairs(t: Tables) -> DataFrame:
-    """session_id, i, j, overlap of tool responses (i before j) that share more than stale_overlap characters of lines.
+def response_classes(t: Tables) -> DataFrame:
+    """session_id, f1, f2, c, m, size, lines: a class for each set of lines that tool responses of a session have.
+
+    c is the first response's idx and m their number; size is the characters of all lines. Classes are an aggregate with
+    a map-side part, so thousands of equal responses are one row.
+    """
+    per = t.lines().groupBy("session_id", "f1", "f2")
+    return written(per.agg(F.min("idx").alias("c"), F.count("*").alias("m"), F.first("size").alias("size"), F.first("lines").alias("lines")), "classes")
 
-    Only lines that can decide a pair are joined: with a response's lines from the most to the least frequent
-    of the session, those that come within the first stale_overlap characters can be left out, because two
-    responses that share more than that share a line beyond them. So boilerplate, which would pair all
+
+def class_pairs(classes: DataFrame, most: int) -> DataFrame:
+    """session_id, c, d, m, k, overlap of classes (c, d with m and k members) that share more than `most` characters of lines.
+
+    Only lines that can decide a pair are joined: with a class's lines from the most to the least frequent
+    of the session, those that come within the first `most` characters can be left out, because two
+    classes that share more than that share a line beyond them. So boilerplate, which would pair all
     responses with each other, is not joined; the few pairs found are then measured on all their lines.
-    How often a line stands in a session is a count with a map-side part, joined back. The pairs are the result, so
-    their number is bounded only by what overlaps: n responses of one session that all hold the same text are
-    n * (n - 1) / 2 pairs of numbers.
+    How often a line stands in a session is a count with a map-side part, joined back.
     """
-    most = t.config.stale_overlap
-    lines = _hashed_lines(t)
+    lines = classes.select("session_id", "c", F.inline("lines"))
     one = ["session_id", "h1", "h2"]
     often = lines.join(lines.groupBy(*one).agg(F.count("*").alias("often")).where("often > 1"), one)
-    upto = F.sum("n").over(W.partitionBy("session_id", "idx").orderBy(F.desc("often"), "h1", "h2").rowsBetween(W.unboundedPreceding, 0))
-    deciding = often.withColumn("upto", upto).where(F.col("upto") > most).select("session_id", "idx", "h1", "h2")
-    a, b = deciding.withColumnRenamed("idx", "i"), deciding.withColumnRenamed("idx", "j")
-    pairs = a.join(b, one).where("i < j").select("session_id", "i", "j").distinct()
-    left, right = lines.withColumnRenamed("idx", "i"), lines.drop("n").withColumnRenamed("idx", "j")
-    both = pairs.join(left, ["session_id", "i"]).join(right, [*one, "j"])
-    return both.groupBy("session_id", "i", "j").agg(F.sum("n").alias("overlap")).where(F.col("overlap") > most)
+    upto = F.sum("n").over(W.partitionBy("session_id", "c").orderBy(F.desc("often"), "h1", "h2").rowsBetween(W.unboundedPreceding, 0))
+    deciding = often.withColumn("upto", upto).where(F.col("upto") > most).select("session_id", "c", "h1", "h2")
+    pairs = deciding.join(deciding.withColumnRenamed("c", "d"), one).where("c < d").select("session_id", "c", "d").distinct()
+    both = pairs.join(lines, ["session_id", "c"]).join(lines.drop("n").withColumnRenamed("c", "d"), [*one, "d"])
+    shared = both.groupBy("session_id", "c", "d").agg(F.sum("n").alias("overlap")).where(F.col("overlap") > most)
+    size = classes.select("session_id", "c", "m")
+    return shared.join(size, ["session_id", "c"]).join(size.withColumnsRenamed({"c": "d", "m": "k"}), ["session_id", "d"]).select("session_id", "c", "d", "m", "k", "overlap")
 
 
-def _hashed_lines(t: Tables) -> DataFrame:
-    """session_id, idx, h1, h2, n: a 128-bit hash and the length of each distinct line of each long tool response.
+def overlap_pairs(t: Tables) -> DataFrame:
+    """session_id, i, j, overlap of tool responses (i before j) that share more than stale_overlap characters of lines.
 
-    Written as a table: texts are read once, and what is joined after that is 40 bytes a line. Splitting and trimming
-    at all of Unicode's line ends and blanks is four times as fast in Python, by batches, as by regular expressions.
+    The pairs are the result, so their number is bounded only by what overlaps: n responses of one session that all hold
+    the same text are n * (n - 1) / 2 pairs of numbers. Their totals, in stale(), don't need them.
     """
-    most, least = t.config.stale_overlap, t.config.line_length
-    long = t.messages.where((F.col("role") == "tool") & (F.length(text.text("content")) > most))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, low, high, sizes = [], [], [], []
-            for i, content in enumerate(b.column(2).to_pylist()):
-                for line in {x for x in map(str.strip, content.splitlines()) if len(x) > least}:
-                    h = hashlib.blake2b(line.encode(), digest_size=16).digest()
-                    rows.append(i)
-                    low.append(h[:8])
-                    high.append(h[8:])
-                    sizes.append(len(line))
-            at = pa.array(rows, pa.int64())
-            one, two = (np.frombuffer(b"".join(x), np.int64) for x in (low, high))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(one), pa.array(two), pa.array(sizes, pa.int64())], ["session_id", "idx", "h1", "h2", "n"])
-
-    importable(t.messages.sparkSession)
-    return written(long.select("session_id", F.col("idx").cast("long").alias("idx"), "content").mapInArrow(run, "session_id string, idx long, h1 long, h2 long, n long"), "lines")
+    most, classes = t.config.stale_overlap, response_classes(t)
+    members = t.lines().select("session_id", "idx", "f1", "f2").join(classes.select("session_id", "f1", "f2", "c"), ["session_id", "f1", "f2"]).select("session_id", "c", "idx")
+    one, two = members.withColumnRenamed("idx", "x"), members.withColumnsRenamed({"c": "d", "idx": "y"})
+    between = class_pairs(classes, most).join(one, ["session_id", "c"]).join(two, ["session_id", "d"])
+    same = classes.where((F.col("m") > 1) & (F.col("size") > most)).select("session_id", "c", F.col("c").alias("d"), F.col("size").alias("overlap"))
+    within = same.join(one, ["session_id", "c"]).join(two, ["session_id", "d"]).where("x < y")
+    ends = ["session_id", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "overlap"]
+    return between.select(*ends).unionByName(within.select(*ends))
 
 
 def stale(t: Tables) -> DataFrame:
-    per = overlap_pairs(t).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("overlap") / 4)).cast("long").alias("w"))
+    """From pairs of classes: m * k pairs of responses, or m * (m - 1) / 2 of one class, in closed form."""
+    most, classes = t.config.stale_overlap, response_classes(t)
+    between = class_pairs(classes, most).select("session_id", (F.col("m") * F.col("k")).alias("pairs"), "overlap")
+    within = classes.where((F.col("m") > 1) & (F.col("size") > most)).select("session_id", F.expr("m * (m - 1) div 2").alias("pairs"), F.col("size").alias("overlap"))
+    wasted = F.sum(F.col("pairs") * F.floor(F.col("overlap") / 4)).cast("long")
+    per = between.unionByName(within).groupBy("session_id").agg(F.sum("pairs").alias("n"), wasted.alias("w"))
     said = F.format_string("%d pairs of tool responses hold the same content, so it was read more than once", "n")
     return per.where(F.col("n") >= t.config.stale_pairs).select(*finding(0, "context_bloat", F.col("w"), F.col("n"), said, 0.65))
 
 
 def oversized(t: Tables) -> DataFrame:
     most = t.config.oversized
-    size = F.length(text.text("content"))
-    big = t.messages.where((F.col("role") == "tool") & (size > most)).withColumn("excess", (size - most).cast("long"))
+    big = t.facts().where((F.col("role") == "tool") & (F.col("chars") > most)).withColumn("excess", (F.col("chars") - most).cast("long"))
     first = F.min_by(F.struct(F.coalesce("tool_name", F.lit("unknown")).alias("name"), "excess"), "idx")
     per = big.groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.floor(F.col("excess") / 4)).cast("long").alias("w"), first.alias("first"))
     said = F.format_string(f"%d tool %s longer than {most:,} characters (the first, from %s, by %,d); limit the lines that are read", "n", plural(F.col("n"), "response is", "responses are"), "first.name", "first.excess")
@@ -85,8 +79,8 @@ def oversized(t: Tables) -> DataFrame:
 
 def unused(t: Tables) -> DataFrame:
     """session_id, available, unused (sorted names) where tools are defined in the first system message."""
-    system = t.messages.where("role = 'system'").groupBy("session_id").agg(F.min_by(text.text("content"), "idx").alias("content"))
-    defined = system.select("session_id", text.tool_names("content").alias("available")).where(F.size("available") >= t.config.unused_tools_from)
+    system = t.facts().where("role = 'system'").groupBy("session_id").agg(F.min_by("tools", "idx").alias("available"))
+    defined = system.where(F.size("available") >= t.config.unused_tools_from)
     used = t.tool_calls().groupBy("session_id").agg(F.collect_set("name").alias("used"))
     both = defined.join(used, "session_id", "left")
     left = F.array_sort(F.array_except("available", F.coalesce("used", F.array().cast("array<string>"))))
@@ -105,7 +99,7 @@ def _noise(t: Tables) -> DataFrame:
     c = t.config
     noise = F.floor(F.col("input_tokens") * F.lit(c.noise)).cast("long")
     long = t.sessions.where(F.col("message_count") > c.long_session).select("session_id", "message_count", noise.alias("noise"))
-    return long.join(t.messages.select("session_id"), "session_id", "left_semi")
+    return long.join(t.facts().select("session_id"), "session_id", "left_semi")
 
 
 def _overhead(t: Tables) -> list:

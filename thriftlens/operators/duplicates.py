@@ -14,7 +14,7 @@ def exact_groups(t: Tables) -> DataFrame:
     """session_id, name, norm_args, n, first_pos, resp, wasted of calls made twice or more with equal arguments."""
     calls = t.tool_calls().withColumn("norm_args", text.canonical_arguments("arguments"))
     groups = calls.groupBy("session_id", "name", "norm_args").agg(F.count("*").alias("n"), F.min(F.struct("idx", "call_pos")).alias("first_pos")).where("n >= 2")
-    return with_response_tokens(groups, t.messages, t.config.default_response).withColumn("wasted", (F.col("n") - 1) * F.col("resp"))
+    return with_response_tokens(groups, t.facts(), t.config.default_response).withColumn("wasted", (F.col("n") - 1) * F.col("resp"))
 
 
 def _per_tool(t: Tables) -> DataFrame:
@@ -25,7 +25,7 @@ def _per_tool(t: Tables) -> DataFrame:
     tools = groups.groupBy("session_id", "name").agg(
         F.sum("n").alias("calls"), F.min("first_pos").alias("first_pos"), F.sum(F.col("n") - 1).alias("spare"), F.count_if(F.col("n") >= 2).alias("groups"), F.max(F.when(F.col("n") >= 2, largest)).alias("most")
     )
-    return with_response_tokens(tools, t.messages, t.config.default_response)
+    return with_response_tokens(tools, t.facts(), t.config.default_response)
 
 
 def _per_session(t: Tables) -> DataFrame:

@@ -11,9 +11,8 @@ from thriftlens.operators.tables import Tables, finding
 
 def idle_totals(t: Tables) -> DataFrame:
     """session_id, model, input_tokens, scheduled, users, idle, idle_tokens of every session."""
-    idle = text.idle("content")
-    users = t.messages.where("role = 'user'").groupBy("session_id").agg(
-        F.count("*").alias("users"), F.count_if(idle).alias("idle"), F.sum(F.when(idle, text.tokens("content")).otherwise(0)).alias("idle_tokens")
+    users = t.facts().where("role = 'user'").groupBy("session_id").agg(
+        F.count("*").alias("users"), F.count_if("idle").alias("idle"), F.sum(F.when(F.col("idle"), F.col("tokens")).otherwise(0)).alias("idle_tokens")
     )
     sessions = t.sessions.select("session_id", "model", "input_tokens", text.scheduled("session_id").alias("scheduled"))
     return sessions.join(users, "session_id", "left").na.fill(0, ["users", "idle", "idle_tokens"])

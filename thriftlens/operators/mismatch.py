@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from thriftlens.functions import pricing, text
+from thriftlens.functions import pricing
 from thriftlens.operators.tables import Tables, finding, plural
 
 
@@ -20,13 +20,13 @@ def expensive_sessions(t: Tables) -> DataFrame:
     return known.where(saves).select("session_id", "model", "input", "cheapest", "cheapest_input")
 
 
-def answered(messages: DataFrame, config) -> DataFrame:
+def answered(facts: DataFrame, config) -> DataFrame:
     """session_id, idx, tokens (of question and answer), simple: each user message with the assistant's answer, within two messages.
 
     What is sorted by session are lengths, never texts.
     """
     order = W.partitionBy("session_id").orderBy("idx")
-    rows = messages.select("session_id", "idx", F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).alias("who"), F.length(text.text("content")).alias("chars"), text.tokens("content").alias("tokens"), F.coalesce(F.size("tool_calls"), F.lit(0)).alias("calls"))
+    rows = facts.select("session_id", "idx", F.when(F.col("role") == "user", 0).when(F.col("role") == "assistant", 1).alias("who"), "chars", "tokens", F.col("n_calls").alias("calls"))
     row = F.struct("who", "chars", "tokens", "calls")
     ahead = rows.select("session_id", "idx", "who", "chars", "tokens", F.lead(row, 1).over(order).alias("one"), F.lead(row, 2).over(order).alias("two"))
     answer = F.when(F.col("one.who") == 1, F.col("one")).when(F.col("two.who") == 1, F.col("two"))
@@ -39,8 +39,8 @@ def answered(messages: DataFrame, config) -> DataFrame:
 def simple_queries(t: Tables) -> DataFrame:
     """session_id, n, tokens of simple queries in sessions on an expensive model."""
     sessions = expensive_sessions(t)
-    messages = t.messages.join(sessions.select("session_id"), "session_id", "left_semi")
-    simple = answered(messages, t.config).where("simple")
+    facts = t.facts().join(sessions.select("session_id"), "session_id", "left_semi")
+    simple = answered(facts, t.config).where("simple")
     per = simple.groupBy("session_id").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
     return per.join(sessions, "session_id")
 

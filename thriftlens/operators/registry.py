@@ -85,10 +85,15 @@ def findings(t: Tables, detectors: Iterable[str] | None = None) -> DataFrame:
     """All findings of the chosen detectors: session_id, detector, det_ord and the columns of a finding.
 
     A detector whose plan can't be built is reported and left out, and so is a registered one that fails while it
-    runs; the others run.
+    runs; the others run. Where there are several, the messages' facts are made first, in one pass over the texts.
     """
-    out = None
-    for order, name in enumerate(chosen(detectors)):
+    out, names = None, chosen(detectors)
+    if sum(_registry[n] is _built_in.get(n) for n in names) > 1:
+        try:
+            t = t.prepared("context_bloat" in names)
+        except Exception as e:  # noqa: BLE001
+            _log.warning("facts of messages can't be made: %s", e)
+    for order, name in enumerate(names):
         try:
             found = _run(name, t)
         except Exception as e:  # noqa: BLE001

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thriftlens.functions import text
+from thriftlens.operators import facts
 from thriftlens.schema import DEFAULT, Config
+from thriftlens.storage import written
 
 FINDING = ["session_id", "emit_ord", "pattern", "tokens_wasted", "count", "description", "confidence"]
 
@@ -22,16 +23,40 @@ def calls_of(messages: DataFrame) -> DataFrame:
 
 @dataclass
 class Tables:
-    """sessions and messages; tool calls are taken from the messages unless given as a table of their own."""
+    """sessions and messages; tool calls are taken from the messages unless given as a table of their own.
 
-    sessions: DataFrame
+    Detectors read facts() and lines(), not texts. prepared() makes a table of both in one pass, for several detectors.
+    """
+
+    sessions: DataFrame | None
     messages: DataFrame
     calls: DataFrame | None = None
     prices: DataFrame | None = None
     config: Config = field(default=DEFAULT)
+    table: DataFrame | None = None  # of facts, with lines if has_lines
+    has_lines: bool = False
+
+    def facts(self) -> DataFrame:
+        """A row of numbers for each message: see operators/facts.py."""
+        if self.table is None:
+            return facts.facts_of(self.messages)
+        return self.table.drop("f1", "f2", "size", "lines")
+
+    def lines(self) -> DataFrame:
+        """session_id, idx, f1, f2, size, lines of each long tool response that has lines to share."""
+        held = self.table if self.has_lines else facts.lines_of(self.messages, self.config)
+        return held.where("lines is not null").select("session_id", "idx", "f1", "f2", "size", "lines")
+
+    def prepared(self, lines: bool = True) -> Tables:
+        """The same with its facts as a table, so that the texts are read once."""
+        if self.table is not None and (self.has_lines or not lines):
+            return self
+        calls = self.calls is None
+        table = facts.facts_and_lines(self.messages, self.config, calls) if lines else written(facts.facts_of(self.messages, calls), "facts")
+        return replace(self, table=table, has_lines=lines)
 
     def tool_calls(self) -> DataFrame:
-        return self.calls if self.calls is not None else calls_of(self.messages)
+        return self.calls if self.calls is not None else calls_of(self.facts())
 
 
 def finding(order: int, pattern: str, tokens: Column, count: Column, description: Column, confidence: float) -> list[Column]:
@@ -46,15 +71,15 @@ def plural(n: Column, one: str, more: str) -> Column:
     return F.when(n == 1, one).otherwise(more)
 
 
-def response_tokens(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def response_tokens(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Average tokens of tool responses: by (session_id, name), and by session_id."""
-    tool = messages.where("role = 'tool'").select("session_id", F.col("tool_name").alias("name"), text.tokens("content").alias("t"))
+    tool = facts.where("role = 'tool'").select("session_id", F.col("tool_name").alias("name"), F.col("tokens").alias("t"))
     average = F.floor(F.sum("t") / F.count("*")).cast("long")
     return tool.where("name is not null").groupBy("session_id", "name").agg(average.alias("by_name")), tool.groupBy("session_id").agg(average.alias("by_session"))
 
 
-def with_response_tokens(df: DataFrame, messages: DataFrame, default: int) -> DataFrame:
+def with_response_tokens(df: DataFrame, facts: DataFrame, default: int) -> DataFrame:
     """df (session_id, name, ...) with `resp`: of the tool, else of all tools of the session, else a default."""
-    by_name, by_session = response_tokens(messages)
+    by_name, by_session = response_tokens(facts)
     both = df.join(by_name, ["session_id", "name"], "left").join(by_session, "session_id", "left")
     return both.withColumn("resp", F.coalesce("by_name", "by_session", F.lit(default))).drop("by_name", "by_session")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from thriftlens.functions import pricing, text
 from thriftlens.plans import compress
+from thriftlens.plans.cache import clear_cache, open_cache, save_cache, upsert
 from thriftlens.schema import DEFAULT
 
 MESSAGE = "array<struct<role:string,content:string>>"
@@ -100,27 +101,6 @@ def cache_stats(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count("*").alias("exact_entries"), F.coalesce(F.sum(F.col("hits") - 1), F.lit(0)).cast("long").alias("exact_repeat_hits"))
 
 
-def open_cache(spark, path: str) -> DataFrame:
-    """The cache table at a path; empty if nothing was stored there."""
-    from thriftlens.schema import RESPONSES
-
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(RESPONSES).parquet(path)
-    return spark.createDataFrame([], RESPONSES)
-
-
-def save_cache(cache: DataFrame, path: str) -> None:
-    """Replace the table: the new one is written beside the old, which then makes room for it."""
-    spark = cache.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    new, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(conf)
-    cache.write.mode("overwrite").parquet(f"{path}.new")
-    fs.delete(old, True)
-    fs.rename(new, old)
-
-
-def clear_cache(spark, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = [
+    "cache_stats", "clear_cache", "counted", "json_size", "keyed", "looked_up", "merged", "open_cache", "optimized", "replayed", "replayed_cache", "run_summary", "save_cache", "savings", "stored", "upsert",
+]

@@ -273,26 +273,26 @@ def heartbeat_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ALL} SELECT {_FINDING}, detector, rank FROM ranked")
 def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.run_analysis(adapters.agents(spark, sf_dir)).select(*_NUMBERS, "detector", F.col("rank").cast("long").alias("rank"))
+    return analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)).select(*_NUMBERS, "detector", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{_ALL} SELECT {_FINDING}, rank FROM ranked WHERE rank <= 3")
 def top3_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.run_analysis(adapters.agents(spark, sf_dir)).where("rank <= 3").select(*_NUMBERS, F.col("rank").cast("long").alias("rank"))
+    return analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)).where("rank <= 3").select(*_NUMBERS, F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""{_ALL} SELECT s.session_id, s.input_tokens AS total_tokens, CASE WHEN s.input_tokens > 0 THEN s.input_tokens / 1e6::DOUBLE END AS cost, coalesce(w, 0) AS wasted,
 CASE WHEN s.input_tokens > 0 AND w > 0 THEN least(99, CAST(floor(w / s.input_tokens * 100) AS BIGINT)) END AS waste_pct
 FROM sessions AS s LEFT JOIN (SELECT session_id, CAST(sum(tokens_wasted) AS BIGINT) AS w FROM found GROUP BY 1) USING (session_id)""")
 def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = adapters.agents(spark, sf_dir)
+    t = adapters.agents(spark, sf_dir, lines=True)
     return analysis.summary(t.sessions, analysis.run_analysis(t))
 
 
 @query(f"""{_ALL} SELECT s.session_id, 'Session ' || s.session_id || ': ' || format('{{:,}}', s.input_tokens) || ' tokens, ' AS head, (SELECT count(*) FROM ranked AS r WHERE r.session_id = s.session_id AND rank <= 3) AS findings FROM sessions AS s""")
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The header's fixed part and the number of findings listed, read off the report's text."""
-    t = adapters.agents(spark, sf_dir)
+    t = adapters.agents(spark, sf_dir, lines=True)
     lines = F.split("report", "\n")
     head = F.regexp_extract(lines[0], r"\A(Session [^:]*: [0-9,]+ tokens, )", 1)
     return analysis.format_output(t.sessions, analysis.run_analysis(t)).select("session_id", head.alias("head"), F.size(F.filter(lines, lambda x: x.rlike(r"\A  [0-9]\. "))).cast("long").alias("findings"))
@@ -301,7 +301,7 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_ALL}, based AS (SELECT *, row_number() OVER (PARTITION BY session_id, replace(pattern, 'near_', '') ORDER BY rank) AS k FROM ranked)
 SELECT session_id, n, pattern FROM (SELECT session_id, pattern, row_number() OVER (PARTITION BY session_id ORDER BY rank) AS n FROM based WHERE k = 1) WHERE n <= 3""")
 def advice_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analysis.generate_prompts(analysis.run_analysis(adapters.agents(spark, sf_dir)))
+    found = analysis.generate_prompts(analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)))
     return found.where(F.length("prompt") > 0).select("session_id", F.col("n").cast("long").alias("n"), "pattern")
 
 
@@ -475,7 +475,7 @@ def cache_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_REQ} SELECT request_id, is_hit FROM replayed WHERE NOT streaming")
 def cache_replay_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return streams.finished(streams.replay(_request_stream(spark, sf_dir)), "append", "replay").select("request_id", "is_hit")
+    return streams.replayed(_request_stream(spark, sf_dir)).select("request_id", "is_hit")
 
 
 @query(f"WITH {_REQ} SELECT count(*) AS exact_entries, CAST(sum(n - 1) AS BIGINT) AS exact_repeat_hits FROM (SELECT class, count(*) AS n FROM keyed WHERE NOT streaming GROUP BY model, k, class)")
@@ -582,6 +582,33 @@ def proxy_stats_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ratio(streams.finished(stats, "complete", "stats"))
 
 
+_LATE = f"""
+WITH {_REQ}, timed AS (SELECT *, 1700000000 + request_id AS sec, conv_id % 10 = 0 AND conv_id < (SELECT max(conv_id) // 2 FROM c) AS late FROM req),
+mark AS (SELECT max(sec) AS high FROM timed WHERE NOT late),
+told AS (SELECT sec // 60 * 60 AS start, list_transform(m, lambda x: {{'role': x.role, 'content': x.content || CASE WHEN i = 0 THEN chr(10) || '2024-05-06' ELSE '  ' || chr(13) || chr(10) || '2025-11-12' || chr(13) || chr(10) END}}) AS m, completion_tokens AS out
+  FROM timed, mark WHERE NOT late OR sec // 60 * 60 + 60 > high - 30)
+SELECT start, count(*) AS total_requests, CAST(sum(length(CAST(to_json(m) AS VARCHAR)) // 4) AS BIGINT) AS total_input_tokens_before, CAST(sum(out) AS BIGINT) AS total_output_tokens
+FROM told, mark WHERE start + 60 <= high - 30 GROUP BY start
+"""
+
+
+@query(_LATE)
+def stats_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals by minute of event time; a tenth of the first half of the conversations comes when the watermark has passed it, and is left out.
+
+    Only minutes that the watermark has closed are there: half a minute is allowed for.
+    """
+    path, log = fresh_path(spark, "requests"), adapters.requests(spark, sf_dir).withColumn("conv", F.floor(F.col("request_id") / 2))
+    half = F.floor(log.agg(F.max("conv")).first()[0] / F.lit(2))
+    late = (F.col("conv") % 10 == 0) & (F.col("conv") < half)
+    # a file for each micro-batch: all that comes in time, an empty one in which the watermark takes effect, and what is late
+    for rows in (log.where(~late), log.limit(0), log.where(late), log.limit(0)):
+        rows.drop("conv").coalesce(1).write.mode("append").parquet(path)
+    stream = streams.request_log(spark, path, files_per_trigger=1)
+    windows = streams.finished(streams.stats_by_window(stream, "1 minute", "30 seconds"), "append", "windows")
+    return windows.select(F.unix_timestamp("start").alias("start"), "total_requests", "total_input_tokens_before", "total_output_tokens")
+
+
 @query("SELECT user_id, count(*) AS total_requests, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6::DOUBLE / 3600::DOUBLE, 6) AS hours FROM events GROUP BY user_id")
 def runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hours from each user's first event to the last."""

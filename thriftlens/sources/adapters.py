@@ -9,6 +9,7 @@ import sqlite3
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thriftlens.operators.facts import facts_of
 from thriftlens.operators.tables import Tables
 from thriftlens.schema import CALLS
 from thriftlens.storage import fresh_path, table, written
@@ -29,13 +30,12 @@ def _message(idx, role, content, tool_name=None, calls=None) -> list:
     ]
 
 
-def sessions_of(messages: DataFrame, model) -> DataFrame:
-    """Sessions whose metrics are those of their messages."""
-    per = messages.groupBy("session_id").agg(
-        F.count("*").alias("message_count"),
-        F.sum(F.when(F.col("role") == "assistant", F.coalesce(F.size("tool_calls"), F.lit(0))).otherwise(0)).cast("long").alias("tool_call_count"),
-        F.sum(F.floor(F.length("content") / 4)).cast("long").alias("input_tokens"),
-    )
+def sessions_of(facts: DataFrame, model) -> DataFrame:
+    """Sessions whose metrics are those of their messages' facts."""
+    per = facts.groupBy("session_id").agg(
+        F.count("*").alias("message_count"), F.sum(F.when(F.col("role") == "assistant", F.col("n_calls")).otherwise(0)).cast("long").alias("tool_call_count"),
+        F.sum(F.floor(F.col("chars") / 4)).cast("long").alias("input_tokens"),
+    )
     return per.select("session_id", model.alias("model"), "message_count", "tool_call_count", "input_tokens", F.lit(0).cast("long").alias("output_tokens"), F.lit(0.0).alias("cost_usd"), F.lit("").alias("started_at"), F.lit("table").alias("source"))
 
 
@@ -43,21 +43,21 @@ def conversations(spark: SparkSession, sf_dir: str) -> Tables:
     """A session for each conversation, its model from the id."""
     rows = table(spark, sf_dir, "conversations").withColumn("session_id", F.col("conv_id").cast("string"))
     messages = rows.select(*_message(F.col("turn"), F.col("role"), F.coalesce("text", F.lit(""))))
-    return Tables(sessions_of(messages, model_of(F.col("session_id").cast("long"))), messages)
+    return Tables(sessions_of(facts_of(messages), model_of(F.col("session_id").cast("long"))), messages)
 
 
 def documents(spark: SparkSession, sf_dir: str, session: str = "lang") -> Tables:
     """A session for each language (or source), in which every document is a tool response."""
     rows = table(spark, sf_dir, "documents").withColumn("session_id", F.col(session))
     messages = rows.select(*_message(F.col("doc_id"), "tool", F.coalesce("text", F.lit("")), F.col("source")))
-    return Tables(sessions_of(messages, F.lit("claude-opus-4-8")), messages)
+    return Tables(sessions_of(facts_of(messages), F.lit("claude-opus-4-8")), messages)
 
 
-def agents(spark: SparkSession, sf_dir: str, unique_arguments: bool = False) -> Tables:
+def agents(spark: SparkSession, sf_dir: str, unique_arguments: bool = False, lines: bool = False) -> Tables:
     """A session for each user: each event is a question, a tool call and a document as its response.
 
-    The system message defines the tools (all event types, and two that nobody calls). Both are written as
-    tables, as sessions are in use: every detector then scans the columns it needs.
+    The system message defines the tools (all event types, and two that nobody calls). What is written is the messages'
+    facts (with hashed lines if asked for), made in one pass over the texts; sessions are totals of those.
     """
     events, docs = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents").select("doc_id", "text")
     n = docs.count()
@@ -73,9 +73,12 @@ def agents(spark: SparkSession, sf_dir: str, unique_arguments: bool = False) ->
     types = events.agg(F.array_sort(F.collect_set("event_type")).alias("types"))
     text = F.array_join(F.transform(F.concat("types", F.array(*[F.lit(s) for s in SPARE_TOOLS])), lambda x: F.concat(F.lit('{"name": "'), x, F.lit('"}'))), "\n")
     system = rows.select("session_id").distinct().crossJoin(F.broadcast(types.select(text.alias("defined")))).select(*_message(F.lit(-1), "system", F.col("defined")))
-    messages = written(asked.unionByName(called).unionByName(told).unionByName(system), "messages")
+    messages = asked.unionByName(called).unionByName(told).unionByName(system)
+    calls = rows.select("session_id", (at + 1).alias("idx"), F.lit(0).alias("call_pos"), F.col("event_type").alias("name"), F.col("args").alias("arguments"))
+    t = Tables(None, messages, calls=calls).prepared(lines)
     number = F.regexp_extract("session_id", r"(\d+)\z", 1).cast("long")
-    return Tables(written(sessions_of(messages, model_of(number)), "sessions"), messages, calls=rows.select("session_id", (at + 1).alias("idx"), F.lit(0).alias("call_pos"), F.col("event_type").alias("name"), F.col("args").alias("arguments")))
+    t.sessions = written(sessions_of(t.facts(), model_of(number)), "sessions")
+    return t
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
