@@ -220,3 +220,46 @@ def test_no_sessions(spark, empty):
     t = session(spark, "s", "x", [("user", "a")])
     t = Tables(t.sessions.limit(0), t.messages.limit(0))
     assert analysis.analyze(t).count() == 0
+
+
+def test_very_many_equal_responses(spark):
+    """20,000 equal responses, 3 of another kind that share most of their lines, and one of its own: in closed form."""
+    line = "the same line of more than twenty characters " * 6
+    n = 20_000
+    text = F.when(F.col("id") < n, f"{line}\n{line}a").when(F.col("id") < n + 3, F.concat(F.lit(f"{line}\n"), F.lit("another line of its own kind"))).otherwise("something else " * 30)
+    m = spark.range(n + 4).select(F.lit("s").alias("session_id"), F.col("id").alias("idx"), F.lit("tool").alias("role"), text.alias("content"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast(CALLS).alias("tool_calls"))
+    s = spark.createDataFrame([("s", "o3", n, n, 10, 0, 0.0)], "session_id string, model string, message_count long, tool_call_count long, input_tokens long, output_tokens long, cost_usd double")
+    k, extra = len(line.strip()), len("another line of its own kind")
+    r = bloat.stale(Tables(s, m)).first()
+    same, pair = n * (n - 1) // 2, 3 * n
+    assert r["count"] == same + pair + 3
+    assert r["tokens_wasted"] == same * ((k + len(line) + 1) // 4) + pair * (k // 4) + 3 * ((k + extra) // 4)
+    assert bloat.response_classes(Tables(s, m)).count() == 3
+
+
+def test_texts_are_read_once(spark, monkeypatch):
+    """Of all detectors' plans only that of the facts holds the texts."""
+    t = session(spark, "s", "claude-opus-4-8", [("user", "any updates?"), ("assistant", "no", None, CALL), ("tool", "line " * 100, "read_file")])
+    plans = []
+    real = registry.written
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return real(df, name)
+
+    from thriftlens.operators import facts
+
+    for module in (registry, facts, bloat):
+        monkeypatch.setattr(module, "written", seen)
+    assert {r["pattern"] for r in analysis.run_analysis(t).collect()} == {"model_mismatch"}
+    assert sorted(n for n, plan in plans if "content#" in plan) == ["facts"]
+
+
+def test_a_built_in_detector_that_fails_while_it_runs(spark, monkeypatch):
+    def bad(t):
+        return t.facts().select("session_id", F.lit(0).alias("emit_ord"), F.lit("p").alias("pattern"), F.expr("cast(raise_error('no') as bigint)").alias("tokens_wasted"), F.lit(1).cast("long").alias("count"), F.lit("d").alias("description"), F.lit(0.5).alias("confidence"))
+
+    monkeypatch.setitem(registry._registry, "heartbeat_waste", bad)
+    monkeypatch.setitem(registry._built_in, "heartbeat_waste", bad)
+    m = [("user", "read it"), ("assistant", None, None, CALL), ("tool", "contents...", "read_file"), ("assistant", "", None, CALL), ("tool", "contents...", "read_file")]
+    assert found(session(spark, "s", "claude-haiku-4.5", m)) == [("duplicate_tool_calls", 2, 1, 0.95)]

@@ -89,3 +89,27 @@ def test_resolution(spark, tmp_path, database):
 def test_sources_feed_the_analysis(spark, tmp_path):
     t = Tables(*read_dumps(spark, dump(tmp_path / "cron_a.json", BODY)))
     assert {r["pattern"] for r in analysis.run_analysis(t).collect()} == {"heartbeat_waste", "model_mismatch"}
+
+
+def test_ranges_of_one_database_and_a_folder_of_them(spark, tmp_path):
+    """Two numbers cut a database into parts; each database of a folder is a part; sessions of both are the same."""
+    import sqlite3
+
+    from thriftlens.sources.database import SessionReader
+
+    folder = tmp_path / "many"
+    folder.mkdir()
+    one = tmp_path / "one.db"
+    for path, ids in ((one, range(1300)), (folder / "a.db", range(0, 1300, 2)), (folder / "b.db", range(1, 1300, 2))):
+        with sqlite3.connect(path) as db:
+            db.execute("CREATE TABLE sessions(id TEXT, model TEXT, started_at)")
+            db.execute("CREATE TABLE messages(id INTEGER, session_id TEXT, role TEXT, content TEXT, tool_calls TEXT, tool_name TEXT, token_count INT, active INT)")
+            db.executemany("INSERT INTO sessions VALUES(?, 'm', ?)", [(f"s{i}", None if i == 3 else f"2026-{i}" if i == 7 else i) for i in ids])
+            db.executemany("INSERT INTO messages VALUES(?, ?, 'user', ?, NULL, NULL, NULL, 1)", [(i, f"s{i % 50}", f"text {i}") for i in ids])
+    parts = SessionReader(str(one), "messages", 8).partitions()
+    assert len(parts) == 8 and [(p.low, p.high) for p in parts][0][0] == 1 and parts[-1].high == 1301
+    assert len(SessionReader(str(folder), "messages", 8).partitions()) == 2
+    rows = [[sorted(map(tuple, df.collect()), key=repr) for df in read_database(spark, str(p))] for p in (one, folder)]
+    assert rows[0] == rows[1] and len(rows[0][0]) == len(rows[0][1]) == 1300
+    for path in (one, folder):  # a text comes after all numbers
+        assert [r.session_id for r in read_database(spark, str(path), latest=True)[0].collect()] == ["s7"]

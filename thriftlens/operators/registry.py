@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 from thriftlens.operators import bloat, duplicates, heartbeat, mismatch
 from thriftlens.operators.tables import FINDING, Tables
-from thriftlens.storage import written
+from thriftlens.storage import dropped, temporary, written
 
 Detect = Callable[[Tables], DataFrame]
+#: Detectors that run at the same time.
+AT_ONCE = 4
 _log = logging.getLogger("thriftlens")
 _registry: dict[str, Detect] = {}
 
@@ -72,38 +75,41 @@ def _checked(x: dict) -> dict:
     return x | {"pattern": str(x["pattern"]), "tokens_wasted": int(x["tokens_wasted"]), "count": int(x["count"]), "description": str(x["description"]), "confidence": float(x["confidence"])}
 
 
-def _run(name: str, t: Tables) -> DataFrame:
-    """A detector's findings. Built-in ones are part of the caller's plan; others may fail while they run, so they run here, alone."""
-    found = _registry[name](t).select(*FINDING)
-    if _registry[name] is _built_in.get(name):
-        found.schema  # noqa: B018  resolves the plan
-        return found
-    return written(found, "findings")
+def _run(name: str, t: Tables) -> DataFrame | None:
+    """A detector's findings as a table of their own; None, and a warning, if it can't be planned or fails while it runs."""
+    try:
+        with temporary() as keep:
+            return keep(written(_registry[name](t).select(*FINDING), "findings"))
+    except Exception as e:  # noqa: BLE001
+        _log.warning("detector %s failed: %s", name, e)
+        return None
 
 
 def findings(t: Tables, detectors: Iterable[str] | None = None) -> DataFrame:
     """All findings of the chosen detectors: session_id, detector, det_ord and the columns of a finding.
 
-    A detector whose plan can't be built is reported and left out, and so is a registered one that fails while it
-    runs; the others run. Where there are several, the messages' facts are made first, in one pass over the texts.
+    Each detector runs by itself, several at a time, and one that fails is reported and left out; the others stay.
+    Where there are several, the messages' facts are made first, in one pass over the texts.
     """
-    out, names = None, chosen(detectors)
-    if sum(_registry[n] is _built_in.get(n) for n in names) > 1:
+    names, made = chosen(detectors), None
+    if t.table is None and sum(_registry[n] is _built_in.get(n) for n in names) > 1:
         try:
             t = t.prepared("context_bloat" in names)
+            made = t.table
         except Exception as e:  # noqa: BLE001
             _log.warning("facts of messages can't be made: %s", e)
-    for order, name in enumerate(names):
-        try:
-            found = _run(name, t)
-        except Exception as e:  # noqa: BLE001
-            _log.warning("detector %s failed: %s", name, e)
-            continue
-        found = found.withColumn("detector", F.lit(name)).withColumn("det_ord", F.lit(order))
-        out = found if out is None else out.unionByName(found)
+    out = None
+    with ThreadPoolExecutor(max(1, min(AT_ONCE, len(names)))) as pool:
+        found = list(pool.map(lambda name: _run(name, t), names))
+    if made is not None:
+        dropped(made)
+    for order, (name, rows) in enumerate(zip(names, found)):
+        if rows is not None:
+            rows = rows.withColumn("detector", F.lit(name)).withColumn("det_ord", F.lit(order))
+            out = rows if out is None else out.unionByName(rows)
     if out is None:
         schema = "session_id string, emit_ord int, pattern string, tokens_wasted long, count long, description string, confidence double, detector string, det_ord int"
-        out = t.sessions.sparkSession.createDataFrame([], schema)
+        out = t.messages.sparkSession.createDataFrame([], schema)
     return out
 
 

@@ -102,12 +102,14 @@ names AS (
   LEFT JOIN by_name AS a USING (session_id, name) LEFT JOIN by_session AS b USING (session_id)
 ),
 exact AS (
-  SELECT session_id, 0 AS emit_ord, 'duplicate_tool_calls' AS pattern, CAST(sum(wasted) AS BIGINT) AS tokens_wasted, count(*) AS count, 0.95::DOUBLE AS confidence
+  SELECT session_id, 0 AS emit_ord, 'duplicate_tool_calls' AS pattern, CAST(sum(wasted) AS BIGINT) AS tokens_wasted, count(*) AS count, 0.95::DOUBLE AS confidence,
+         arg_max(name || ' was called ' || n, {{'w': wasted, 'i': -first_idx}}) || ' times with the same arguments (' || count(*) || ' repeated ' || CASE WHEN count(*) = 1 THEN 'call' ELSE 'calls' END || ' in all)' AS description
   FROM groups GROUP BY session_id
 ),
 near AS (
   SELECT session_id, 1 AS emit_ord, 'near_duplicate_tool_calls' AS pattern,
-         CAST(sum(CASE WHEN r <= 3 THEN CAST(floor((n - 1) * resp * 0.3::DOUBLE) AS BIGINT) END) AS BIGINT) AS tokens_wasted, CAST(sum(n) AS BIGINT) AS count, 0.5::DOUBLE AS confidence
+         CAST(sum(CASE WHEN r <= 3 THEN CAST(floor((n - 1) * resp * 0.3::DOUBLE) AS BIGINT) END) AS BIGINT) AS tokens_wasted, CAST(sum(n) AS BIGINT) AS count, 0.5::DOUBLE AS confidence,
+         'the same tools were called again and again with other arguments: ' || string_agg(name || ' (' || n || ' times)', ', ' ORDER BY r) FILTER (WHERE r <= 3) || '; about 30% of that is likely redundant' AS description
   FROM names GROUP BY session_id
 ),
 near_only AS (SELECT * FROM near WHERE tokens_wasted > 0 AND session_id NOT IN (SELECT session_id FROM exact)),
@@ -124,13 +126,15 @@ pairs AS (
   GROUP BY 1, 2, 3 HAVING sum(length(a.line)) > 200
 ),
 stale AS (
-  SELECT session_id, 0 AS emit_ord, 'context_bloat' AS pattern, CAST(sum(overlap // 4) AS BIGINT) AS tokens_wasted, count(*) AS count, 0.65::DOUBLE AS confidence
+  SELECT session_id, 0 AS emit_ord, 'context_bloat' AS pattern, CAST(sum(overlap // 4) AS BIGINT) AS tokens_wasted, count(*) AS count, 0.65::DOUBLE AS confidence,
+         count(*) || ' pairs of tool responses hold the same content, so it was read more than once' AS description
   FROM pairs GROUP BY 1 HAVING count(*) >= 2
 ),
 """
 _OVERSIZED = """
 oversized AS (
-  SELECT session_id, 1 AS emit_ord, 'context_bloat' AS pattern, CAST(sum((length(content) - 5000) // 4) AS BIGINT) AS tokens_wasted, count(*) AS count, 0.55::DOUBLE AS confidence
+  SELECT session_id, 1 AS emit_ord, 'context_bloat' AS pattern, CAST(sum((length(content) - 5000) // 4) AS BIGINT) AS tokens_wasted, count(*) AS count, 0.55::DOUBLE AS confidence,
+         count(*) || ' tool ' || CASE WHEN count(*) = 1 THEN 'response is' ELSE 'responses are' END || ' longer than 5,000 characters (the first, from ' || arg_min(coalesce(tool_name, 'unknown') || ', by ' || format('{:,}', length(content) - 5000), idx) || '); limit the lines that are read' AS description
   FROM messages WHERE role = 'tool' AND length(content) > 5000 GROUP BY 1
 ),
 """
@@ -141,13 +145,15 @@ unused AS (
   FROM defined AS d LEFT JOIN (SELECT session_id, list(DISTINCT name) AS used FROM calls GROUP BY 1) AS c USING (session_id) WHERE len(available) >= 5
 ),
 unused_tools AS (
-  SELECT session_id, 2 AS emit_ord, 'context_bloat' AS pattern, CAST(len(unused) * 500 AS BIGINT) AS tokens_wasted, len(unused) AS count, 0.7::DOUBLE AS confidence
+  SELECT session_id, 2 AS emit_ord, 'context_bloat' AS pattern, CAST(len(unused) * 500 AS BIGINT) AS tokens_wasted, len(unused) AS count, 0.7::DOUBLE AS confidence,
+         len(unused) || ' defined ' || CASE WHEN len(unused) = 1 THEN 'tool was' ELSE 'tools were' END || ' never used (' || array_to_string(unused[1:3], ', ') || CASE WHEN len(unused) > 3 THEN ' and others' ELSE '' END || '); leave them out of the system prompt' AS description
   FROM unused WHERE len(unused) > 0
 ),
 """
 _OVERHEAD = """
 overhead AS (
-  SELECT s.session_id, 3 AS emit_ord, 'context_bloat' AS pattern, CAST(floor(input_tokens * 0.25::DOUBLE) AS BIGINT) AS tokens_wasted, message_count AS count, 0.4::DOUBLE AS confidence
+  SELECT s.session_id, 3 AS emit_ord, 'context_bloat' AS pattern, CAST(floor(input_tokens * 0.25::DOUBLE) AS BIGINT) AS tokens_wasted, message_count AS count, 0.4::DOUBLE AS confidence,
+         'the session has ' || message_count || ' messages, of which about a quarter is overhead; start afresh now and then' AS description
   FROM sessions AS s LEFT JOIN (SELECT session_id, sum(tokens_wasted) AS known FROM ({found}) GROUP BY 1) AS k USING (session_id)
   WHERE message_count > 30 AND (known IS NULL OR known < floor(input_tokens * 0.25::DOUBLE) * 0.5::DOUBLE)
 ),
@@ -167,7 +173,8 @@ simple AS (
   FROM answered WHERE a IS NOT NULL AND length(a) < 300 AND (length(q) < 500 OR n = 0) GROUP BY 1
 ),
 mismatch AS (
-  SELECT session_id, 0 AS emit_ord, 'model_mismatch' AS pattern, CAST(floor(t * ((input - cheapest_input) / input)) AS BIGINT) AS tokens_wasted, n AS count, 0.7::DOUBLE AS confidence
+  SELECT session_id, 0 AS emit_ord, 'model_mismatch' AS pattern, CAST(floor(t * ((input - cheapest_input) / input)) AS BIGINT) AS tokens_wasted, n AS count, 0.7::DOUBLE AS confidence,
+         n || ' simple ' || CASE WHEN n = 1 THEN 'query' ELSE 'queries' END || ' went to ' || model || printf(' ($%.2f per 1M input tokens); switch to ', input) || cheapest || printf(' ($%.2f) for the like', cheapest_input) AS description
   FROM simple JOIN sessions AS s USING (session_id) JOIN priced AS p USING (model)
   WHERE model <> 'unknown' AND input > 1.0 AND input - cheapest_input > 0
 ),
@@ -184,11 +191,13 @@ beats AS (
   FROM sessions AS s LEFT JOIN idles USING (session_id)
 ),
 cron AS (
-  SELECT session_id, 0 AS emit_ord, 'heartbeat_waste' AS pattern, CAST(floor(input_tokens * ((input - cheapest_input) / input)) AS BIGINT) AS tokens_wasted, CAST(idle AS BIGINT) AS count, 0.75::DOUBLE AS confidence
+  SELECT session_id, 0 AS emit_ord, 'heartbeat_waste' AS pattern, CAST(floor(input_tokens * ((input - cheapest_input) / input)) AS BIGINT) AS tokens_wasted, CAST(idle AS BIGINT) AS count, 0.75::DOUBLE AS confidence,
+         'the session looks like a scheduled check on ' || model || '; switch it to ' || cheapest || printf(' (about $%.2f less per 1M input tokens)', input - cheapest_input) AS description
   FROM beats JOIN priced USING (model) WHERE scheduled AND cheapest <> model AND input - cheapest_input > 0
 ),
 idle AS (
-  SELECT session_id, 1 AS emit_ord, 'heartbeat_waste' AS pattern, CAST(idle_tokens AS BIGINT) AS tokens_wasted, CAST(idle AS BIGINT) AS count, 0.5::DOUBLE AS confidence
+  SELECT session_id, 1 AS emit_ord, 'heartbeat_waste' AS pattern, CAST(idle_tokens AS BIGINT) AS tokens_wasted, CAST(idle AS BIGINT) AS count, 0.5::DOUBLE AS confidence,
+         idle || ' user messages only ask whether anything has happened; batch them or use a cheaper model' AS description
   FROM beats WHERE NOT scheduled AND idle >= 2 AND users > 0 AND idle >= users * 0.5
 ),
 """
@@ -203,8 +212,8 @@ found AS (
 ),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tokens_wasted * confidence DESC, det_ord, emit_ord) AS rank FROM found)
 """
-_FINDING = "session_id, pattern, tokens_wasted, count, confidence"
-_NUMBERS = ["session_id", "pattern", "tokens_wasted", "count", "confidence"]
+_FINDING = "session_id, pattern, tokens_wasted, count, confidence, description"
+_COLUMNS = ["session_id", "pattern", "tokens_wasted", "count", "confidence", "description"]
 
 
 # --- detectors -------------------------------------------------------------------------------------------------
@@ -215,16 +224,14 @@ def dup_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.exact_groups(adapters.agents(spark, sf_dir)).select("session_id", "name", "norm_args", "n", "resp", "wasted")
 
 
-@query(f"""WITH {_AGENTS.format(args='props')} {_DUPLICATES} done AS (SELECT 1)
-SELECT {_FINDING}, top.name || ' was called ' || top.n || ' times with the same arguments (' || count || ' repeated ' || CASE WHEN count = 1 THEN 'call' ELSE 'calls' END || ' in all)' AS description
-FROM exact JOIN (SELECT session_id, arg_max({{'name': name, 'n': n}}, {{'w': wasted, 'i': -first_idx}}) AS top FROM groups GROUP BY 1) USING (session_id)""")
+@query(f"WITH {_AGENTS.format(args='props')} {_DUPLICATES} done AS (SELECT 1) SELECT {_FINDING} FROM exact")
 def dup_exact_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.exact(adapters.agents(spark, sf_dir)).select(*_NUMBERS, "description")
+    return duplicates.exact(adapters.agents(spark, sf_dir)).select(*_COLUMNS)
 
 
 @query(f"WITH {_AGENTS.format(args=chr(39) + '#' + chr(39) + ' || event_id')} {_DUPLICATES} done AS (SELECT 1) SELECT {_FINDING} FROM near_only")
 def dup_near_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplicates.near(adapters.agents(spark, sf_dir, unique_arguments=True)).select(*_NUMBERS)
+    return duplicates.near(adapters.agents(spark, sf_dir, unique_arguments=True)).select(*_COLUMNS)
 
 
 @query(f"WITH {_DOCS.format(session='lang')} {_STALE} done AS (SELECT 1) SELECT session_id, i, j, overlap FROM pairs")
@@ -234,12 +241,12 @@ def stale_overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DOCS.format(session='lang')} {_STALE} done AS (SELECT 1) SELECT {_FINDING} FROM stale")
 def stale_overlap_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloat.stale(adapters.documents(spark, sf_dir)).select(*_NUMBERS)
+    return bloat.stale(adapters.documents(spark, sf_dir)).select(*_COLUMNS)
 
 
 @query(f"WITH {_DOCS.format(session='lang')} {_OVERSIZED} done AS (SELECT 1) SELECT {_FINDING} FROM oversized")
 def oversized_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bloat.oversized(adapters.documents(spark, sf_dir)).select(*_NUMBERS)
+    return bloat.oversized(adapters.documents(spark, sf_dir)).select(*_COLUMNS)
 
 
 @query(f"WITH {_AGENTS.format(args='props')} {_UNUSED} done AS (SELECT 1) SELECT session_id, CAST(available AS BIGINT) AS available, array_to_string(unused, ',') AS unused FROM unused WHERE len(unused) > 0")
@@ -250,22 +257,22 @@ def unused_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_DOCS.format(session='source')} {_STALE} {_OVERSIZED} {_OVERHEAD.format(found='SELECT * FROM stale UNION ALL SELECT * FROM oversized')} done AS (SELECT 1) SELECT {_FINDING} FROM overhead")
 def session_overhead(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = adapters.documents(spark, sf_dir, "source")
-    return bloat.overhead(t, bloat.stale(t).unionByName(bloat.oversized(t)).unionByName(bloat.unused_tools(t))).select(*_NUMBERS)
+    return bloat.overhead(t, bloat.stale(t).unionByName(bloat.oversized(t)).unionByName(bloat.unused_tools(t))).select(*_COLUMNS)
 
 
 @query(f"WITH {_CONV} {_PRICES} {_RESOLVED} {_MISMATCH} done AS (SELECT 1) SELECT {_FINDING} FROM mismatch")
 def mismatch_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mismatch.detect(adapters.conversations(spark, sf_dir)).select(*_NUMBERS)
+    return mismatch.detect(adapters.conversations(spark, sf_dir)).select(*_COLUMNS)
 
 
 @query(f"WITH {_AGENTS.format(args='props')} {_PRICES} {_RESOLVED} {_HEARTBEAT} done AS (SELECT 1) SELECT {_FINDING} FROM cron")
 def heartbeat_cron(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heartbeat.scheduled(adapters.agents(spark, sf_dir)).select(*_NUMBERS)
+    return heartbeat.scheduled(adapters.agents(spark, sf_dir)).select(*_COLUMNS)
 
 
 @query(f"WITH {_AGENTS.format(args='props')} {_PRICES} {_RESOLVED} {_HEARTBEAT} done AS (SELECT 1) SELECT {_FINDING} FROM idle")
 def heartbeat_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return heartbeat.idle(adapters.agents(spark, sf_dir)).select(*_NUMBERS)
+    return heartbeat.idle(adapters.agents(spark, sf_dir)).select(*_COLUMNS)
 
 
 # --- analysis --------------------------------------------------------------------------------------------------
@@ -273,12 +280,12 @@ def heartbeat_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_ALL} SELECT {_FINDING}, detector, rank FROM ranked")
 def ranked_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)).select(*_NUMBERS, "detector", F.col("rank").cast("long").alias("rank"))
+    return analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)).select(*_COLUMNS, "detector", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"{_ALL} SELECT {_FINDING}, rank FROM ranked WHERE rank <= 3")
 def top3_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)).where("rank <= 3").select(*_NUMBERS, F.col("rank").cast("long").alias("rank"))
+    return analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)).where("rank <= 3").select(*_COLUMNS, F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"""{_ALL} SELECT s.session_id, s.input_tokens AS total_tokens, CASE WHEN s.input_tokens > 0 THEN s.input_tokens / 1e6::DOUBLE END AS cost, coalesce(w, 0) AS wasted,
@@ -289,59 +296,86 @@ def session_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.summary(t.sessions, analysis.run_analysis(t))
 
 
-@query(f"""{_ALL} SELECT s.session_id, 'Session ' || s.session_id || ': ' || format('{{:,}}', s.input_tokens) || ' tokens, ' AS head, (SELECT count(*) FROM ranked AS r WHERE r.session_id = s.session_id AND rank <= 3) AS findings FROM sessions AS s""")
+_COMMAS = "format('{{:,}}', {0})"
+
+
+@query(f"""{_ALL}, wasted AS (SELECT session_id, sum(tokens_wasted) AS w FROM found GROUP BY 1),
+body AS (SELECT session_id, string_agg('  ' || rank || '. ' || pattern || ' (' || count || 'x): ~' || {_COMMAS.format("tokens_wasted")} || ' tokens — ' || replace(description, chr(10), chr(10) || '      '), chr(10) ORDER BY rank) AS lines FROM ranked WHERE rank <= 3 GROUP BY 1)
+SELECT s.session_id, 'Session ' || s.session_id || ': ' || {_COMMAS.format("input_tokens")} || ' tokens, '
+|| CASE WHEN input_tokens > 0 THEN '~$' || (input_tokens + 5000) // 1000000 || '.' || lpad(CAST((input_tokens + 5000) // 10000 % 100 AS VARCHAR), 2, '0') ELSE 'unknown' END
+|| CASE WHEN input_tokens > 0 AND w > 0 THEN ', ' || least(99, CAST(floor(w / input_tokens * 100) AS BIGINT)) || '% avoidable.' WHEN w > 0 THEN ', ~' || {_COMMAS.format("w")} || ' tokens waste.' ELSE '. No significant waste detected.' END
+|| coalesce(chr(10) || chr(10) || 'Top wastes:' || chr(10) || lines, '') AS report
+FROM sessions AS s LEFT JOIN wasted USING (session_id) LEFT JOIN body USING (session_id)""")
 def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The header's fixed part and the number of findings listed, read off the report's text."""
+    """The whole report of every session."""
     t = adapters.agents(spark, sf_dir, lines=True)
-    lines = F.split("report", "\n")
-    head = F.regexp_extract(lines[0], r"\A(Session [^:]*: [0-9,]+ tokens, )", 1)
-    return analysis.format_output(t.sessions, analysis.run_analysis(t)).select("session_id", head.alias("head"), F.size(F.filter(lines, lambda x: x.rlike(r"\A  [0-9]\. "))).cast("long").alias("findings"))
+    return analysis.format_output(t.sessions, analysis.run_analysis(t))
 
 
-@query(f"""{_ALL}, based AS (SELECT *, row_number() OVER (PARTITION BY session_id, replace(pattern, 'near_', '') ORDER BY rank) AS k FROM ranked)
-SELECT session_id, n, pattern FROM (SELECT session_id, pattern, row_number() OVER (PARTITION BY session_id ORDER BY rank) AS n FROM based WHERE k = 1) WHERE n <= 3""")
-def advice_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = analysis.generate_prompts(analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)))
-    return found.where(F.length("prompt") > 0).select("session_id", F.col("n").cast("long").alias("n"), "pattern")
+_CHEAP_SQL = text.CHEAP.replace(r"(?!\d)", "")
+_SLOTS = rf"""
+said AS (SELECT *, lower(description) AS low, regexp_extract(description, '\bto\s+([a-z][a-z0-9.-]*[a-z0-9])', 1, 'i') AS after, regexp_extract_all(description, '{_CHEAP_SQL}', 1, 'i') AS named FROM ranked),
+slots AS (
+  SELECT *, CASE {' '.join(rf"WHEN regexp_matches(low, '{chr(92)}b{t}{chr(92)}b') THEN '{t}'" for t in text.TOOLS)} ELSE 'the tool' END AS tool,
+         CASE WHEN regexp_matches(after, '^{_CHEAP_SQL}', 'i') THEN after ELSE coalesce(list_sort(list_transform(named, lambda x: {{'n': length(x), 'x': x}}))[1].x, 'a cheaper model') END AS cheaper
+  FROM said
+)
+"""
 
 
-_SAID = [
-    (0, "bash was called 3 times with the same arguments"), (1, "READ_FILE and terminal were called"), (2, "nothing known; read_files"), (3, "2 queries went to o3; switch to gpt-5-nano ($0.05) for the like"),
-    (4, "switch it to the claude-haiku-4.5 model"), (5, "use gpt-4o-mini or gemini-2.5-flash"), (6, "no model at all"), (7, "todo: web_search to deepseek-v3"),
-]
+@query(f"""{_ALL}, {_SLOTS}, advice(pattern, template) AS (VALUES {_values(list(analysis.ADVICE.items()))}),
+based AS (SELECT *, row_number() OVER (PARTITION BY session_id, replace(pattern, 'near_', '') ORDER BY rank) AS k FROM slots),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY rank) AS n FROM based WHERE k = 1)
+SELECT session_id, n, pattern, replace(replace(replace(replace(template, '{{count}}', CAST(count AS VARCHAR)), '{{tool_name}}', tool), '{{cheaper_model}}', cheaper), '{{detail}}', description) AS prompt
+FROM numbered JOIN advice USING (pattern) WHERE n <= 3""")
+def advice_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = analysis.generate_prompts(analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True)))
+    return found.select("session_id", F.col("n").cast("long").alias("n"), "pattern", "prompt")
 
 
-@query(f"""WITH said(id, d) AS (VALUES {_values(_SAID)}) SELECT id, CASE {' '.join(f"WHEN regexp_matches(lower(d), '{chr(92)}b{t}{chr(92)}b') THEN '{t}'" for t in text.TOOLS)} ELSE 'the tool' END AS tool,
-CASE id WHEN 3 THEN 'gpt-5-nano' WHEN 4 THEN 'claude-haiku-4.5' WHEN 5 THEN 'gpt-4o-mini' WHEN 7 THEN 'deepseek-v3' ELSE 'a cheaper model' END AS model FROM said""")
+@query(f"{_ALL}, {_SLOTS} SELECT session_id, rank, tool, cheaper AS model FROM slots")
 def advice_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_SAID, "id int, d string").select("id", text.tool_named("d").alias("tool"), text.cheaper_named("d").alias("model"))
+    """The tool and the cheaper model that every finding's description names."""
+    found = analysis.run_analysis(adapters.agents(spark, sf_dir, lines=True))
+    return found.select("session_id", F.col("rank").cast("long").alias("rank"), text.tool_named("description").alias("tool"), text.cheaper_named("description").alias("model"))
 
 
 # --- prices ----------------------------------------------------------------------------------------------------
 
-_LOOKUPS = [(m,) for m in ("gpt-4o-mini-2024-07-18", "gpt-4o-mini", "claude-opus-4-8", "claude-opus-4-20250101", "claude", "", "gemini-3", "o3-pro", "no-such-model", "deepseek-v4-flash-x", "gpt-5-nano", "llama")]
-_LOOKUP_SQL = f"WITH sessions(model) AS (VALUES {_values(_LOOKUPS)}), {_PRICES} {_RESOLVED} done AS (SELECT 1)"
+_SUFFIXES = ["", "-2024-07-18", "-x"]
+_NAMED = f"""
+given AS (SELECT conv_id, {_MODELS}[conv_id % {len(adapters.MODELS)} + 1] || {_SUFFIXES}[conv_id // {len(adapters.MODELS)} % 3 + 1] AS whole FROM (SELECT DISTINCT conv_id FROM conversations)),
+named AS (SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN whole[1:5 + conv_id % 7] ELSE whole END AS model FROM given),
+sessions AS (SELECT DISTINCT model FROM named)
+"""
 
 
-@query(f"{_LOOKUP_SQL} SELECT model, input, output, provider FROM resolved")
-def model_price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.resolved(spark.createDataFrame(_LOOKUPS, "model string"))
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, model: a model for each conversation, with a date or other letters behind it, or cut off."""
+    c = F.col("conv_id")
+    suffix = F.element_at(F.array(*[F.lit(x) for x in _SUFFIXES]), (F.floor(c / len(adapters.MODELS)) % 3 + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("whole", F.concat(adapters.model_of(c), suffix))
+    return rows.select("conv_id", F.when(c % 5 == 0, F.substring("whole", F.lit(1), (5 + c % 7).cast("int"))).otherwise(F.col("whole")).alias("model"))
 
 
-@query(f"{_LOOKUP_SQL} SELECT model, provider, cheapest, input - cheapest_input AS saving FROM priced")
-def cheapest_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pricing.with_cheapest(spark.createDataFrame(_LOOKUPS, "model string")).select("model", "provider", "cheapest", (F.col("input") - F.col("cheapest_input")).alias("saving"))
+@query(f"WITH {_NAMED}, {_PRICES} {_RESOLVED} done AS (SELECT 1) SELECT model, input, output, provider FROM resolved")
+def model_price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.resolved(_named(spark, sf_dir).select("model").distinct())
 
 
-_COSTS = [("gpt-5", 2e-06, 4e-06, "elsewhere"), ("llama", 1e-07, 0.0, None), ("free", 0.0, 0.0, "nobody")]
+@query(f"WITH {_NAMED}, {_PRICES} {_RESOLVED} done AS (SELECT 1) SELECT model, provider, cheapest, input - cheapest_input AS saving FROM priced")
+def cheapest_equivalent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pricing.with_cheapest(_named(spark, sf_dir).select("model").distinct()).select("model", "provider", "cheapest", (F.col("input") - F.col("cheapest_input")).alias("saving"))
 
 
-@query(f"""WITH costs(model, i, o, p) AS (VALUES {_values(_COSTS)}), own AS (SELECT model, i * 1000000 AS input, o * 1000000 AS output, coalesce(p, 'unknown') AS provider FROM costs WHERE i <> 0 OR o <> 0),
-sessions(model) AS (VALUES {_values(_LOOKUPS)}, ('gpt-5'), ('free')), {_PRICES} {_RESOLVED} done AS (SELECT 1)
-SELECT model, coalesce(o.input, r.input) AS input, coalesce(o.output, r.output) AS output, coalesce(o.provider, r.provider) AS provider FROM (SELECT DISTINCT model FROM sessions) LEFT JOIN own AS o USING (model) LEFT JOIN resolved AS r USING (model) WHERE coalesce(o.input, r.input) IS NOT NULL""")
+@query(f"""WITH {_NAMED}, {_PRICES} {_RESOLVED} counts AS (SELECT model, count(*) AS n FROM named GROUP BY model),
+own AS (SELECT model, n % 4 / 1e7::DOUBLE * 1000000 AS input, n % 3 / 1e7::DOUBLE * 1000000 AS output, CASE WHEN n % 2 = 0 THEN 'elsewhere' ELSE 'unknown' END AS provider FROM counts WHERE n % 4 <> 0 OR n % 3 <> 0)
+SELECT model, coalesce(o.input, r.input) AS input, coalesce(o.output, r.output) AS output, coalesce(o.provider, r.provider) AS provider FROM sessions LEFT JOIN own AS o USING (model) LEFT JOIN resolved AS r USING (model) WHERE coalesce(o.input, r.input) IS NOT NULL""")
 def price_override(spark: SparkSession, sf_dir: str) -> DataFrame:
-    costs = spark.createDataFrame(_COSTS, "model string, input_cost_per_token double, output_cost_per_token double, provider string")
-    return pricing.resolved(spark.createDataFrame([*_LOOKUPS, ("gpt-5",), ("free",)], "model string"), pricing.per_million(costs))
+    """Costs of the user's own for each model, from how many conversations it has; without any, the known price stays."""
+    per, n = _named(spark, sf_dir).groupBy("model").agg(F.count("*").alias("n")), F.col("n")
+    costs = per.select("model", (n % 4 / F.lit(1e7)).alias("input_cost_per_token"), (n % 3 / F.lit(1e7)).alias("output_cost_per_token"), F.when(n % 2 == 0, "elsewhere").alias("provider"))
+    return pricing.resolved(per.select("model"), pricing.per_million(costs))
 
 
 @query(f"WITH {_CONV} {_PRICES} {_RESOLVED} done AS (SELECT 1) SELECT session_id, model, round(input_tokens * 1000 / 1e6::DOUBLE * input + 10000 / 1e6::DOUBLE * output, 6) AS cost FROM sessions LEFT JOIN priced USING (model)")
@@ -412,12 +446,16 @@ def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", text.tokens("text").alias("at_least_one"), text.tokens_from_zero("text").alias("from_zero")).join(lists, "conv_id")
 
 
-_DUMP_NAMES = [("request_dump_20260710_214623_e95335_20260710_214753_463451.json",), ("request_dump_a_b.json",), ("sample.json",), ("x.y.json",)]
+_FILES = "(SELECT DISTINCT CASE conv_id % 4 WHEN 0 THEN 'request_dump_' || conv_id || '_214623_e95335_20260710_214753_463451' WHEN 1 THEN 'request_dump_' || conv_id || '_b' WHEN 2 THEN 'sample' || conv_id ELSE 'x.' || conv_id END || '.json' AS f FROM conversations)"
 
 
-@query(f"SELECT f AS file, CASE WHEN starts_with(f, 'request_dump_') AND len(string_split(replace(replace(f, '.json', ''), 'request_dump_', ''), '_')) >= 3 THEN array_to_string(string_split(replace(replace(f, '.json', ''), 'request_dump_', ''), '_')[1:3], '_') ELSE replace(f, '.json', '') END AS session_id FROM (VALUES {_values(_DUMP_NAMES)}) AS v(f)")
+@query(f"SELECT f AS file, CASE WHEN starts_with(f, 'request_dump_') AND len(string_split(replace(replace(f, '.json', ''), 'request_dump_', ''), '_')) >= 3 THEN array_to_string(string_split(replace(replace(f, '.json', ''), 'request_dump_', ''), '_')[1:3], '_') ELSE replace(f, '.json', '') END AS session_id FROM {_FILES}")
 def dump_session_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_DUMP_NAMES, "file string").select("file", dumps.session_id(F.col("file")).alias("session_id"))
+    """The session that each of a folder's file names means."""
+    c = F.col("conv_id").cast("string")
+    kinds = [F.concat(F.lit("request_dump_"), c, F.lit("_214623_e95335_20260710_214753_463451")), F.concat(F.lit("request_dump_"), c, F.lit("_b")), F.concat(F.lit("sample"), c), F.concat(F.lit("x."), c)]
+    name = F.concat(F.element_at(F.array(*kinds), (F.col("conv_id") % 4 + 1).cast("int")), F.lit(".json"))
+    return table(spark, sf_dir, "conversations").select(name.alias("file")).distinct().select("file", dumps.session_id(F.col("file")).alias("session_id"))
 
 
 # --- compression -----------------------------------------------------------------------------------------------
@@ -538,9 +576,10 @@ def request_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_REQ}, sized AS (SELECT *, greatest(1, (2 + len(m) - 1 + list_sum(list_transform(m, lambda x: length(CAST(to_json({{'role': x.role, 'content': trim(x.content, {_WS}) || chr(10) || '[DATE]'}}) AS VARCHAR))))) // 4) AS before FROM replayed),
 saved AS (SELECT is_hit, CAST(CASE WHEN is_hit THEN (CASE WHEN total_tokens > 0 THEN total_tokens ELSE 1 END) ELSE greatest(0, before - prompt_tokens) END AS BIGINT) AS t FROM sized)
-SELECT count(*) AS calls, count(*) FILTER (WHERE is_hit) AS hits, CAST(sum(t) AS BIGINT) AS tokens_saved, CAST(sum(t) AS BIGINT) * 0.001::DOUBLE / 1000 AS cost_saved FROM saved""")
+SELECT count(*) AS calls, count(*) FILTER (WHERE is_hit) AS hits, CAST(sum(t) AS BIGINT) AS tokens_saved, CAST(sum(t) AS BIGINT) * 0.001::DOUBLE / 1000 AS cost_saved,
+count(*) || ' calls, ' || count(*) FILTER (WHERE is_hit) || ' cache hits, ~' || {_COMMAS.format("CAST(sum(t) AS BIGINT)")} || ' tokens saved' || CASE WHEN sum(t) * 0.001 / 1000 >= 0.01 THEN ' (~$' || (CAST(sum(t) AS BIGINT) + 5000) // 1000000 || '.' || lpad(CAST((CAST(sum(t) AS BIGINT) + 5000) // 10000 % 100 AS VARCHAR), 2, '0') || ')' ELSE '' END AS line FROM saved""")
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests.run_summary(requests.optimized(adapters.requests(spark, sf_dir))).drop("line")
+    return requests.run_summary(requests.optimized(adapters.requests(spark, sf_dir)))
 
 
 def _first_half(c):
@@ -645,21 +684,21 @@ _DB_COLUMNS = ["session_id", "model", "message_count", "input_tokens", "output_t
 
 @query(f"{_DB_SESSION} FROM (SELECT DISTINCT conv_id FROM ({_CONVS}))")
 def database_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return database.read_database(spark, adapters.session_database(spark, sf_dir))[0].select(*_DB_COLUMNS)
+    return database.read_database(spark, adapters.session_databases(spark, sf_dir))[0].select(*_DB_COLUMNS)
 
 
 @query(f"""SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, coalesce(text, '') AS content, CASE WHEN turn % 2 = 0 THEN 'tool' END AS tool_name,
 CASE WHEN turn <> 0 THEN turn END AS token_count, CASE WHEN turn % 3 = 1 AND conv_id % 5 <> 0 THEN 'look_up' END AS called, CASE WHEN turn % 3 = 1 AND conv_id % 5 = 0 THEN 'not json' END AS raw FROM ({_CONVS}) WHERE turn % 7 <> 6""")
 def database_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Active messages in the order of their ids, calls parsed."""
-    m = database.read_database(spark, adapters.session_database(spark, sf_dir))[1]
+    m = database.read_database(spark, adapters.session_databases(spark, sf_dir))[1]
     return m.select("session_id", "idx", "role", "content", "tool_name", "token_count", F.col("tool_calls")[0]["function"]["name"].alias("called"), F.col("tool_calls_raw").alias("raw"))
 
 
 @query(f"{_DB_SESSION}, (SELECT count(*) FROM ({_CONVS}) AS m WHERE m.conv_id = c.conv_id AND turn % 7 <> 6) AS messages, how FROM (SELECT min(conv_id) AS conv_id, 'id' AS how FROM ({_CONVS}) UNION ALL SELECT max(conv_id), 'latest' FROM ({_CONVS})) AS c")
 def database_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One session by its id, as a user names it, and the session that began last."""
-    path = adapters.session_database(spark, sf_dir)
+    path = adapters.session_databases(spark, sf_dir)
     first = table(spark, sf_dir, "conversations").agg(F.min("conv_id")).first()[0]
     out = []
     for how, found in (("id", resolve.read_session(spark, str(first), database=path)), ("latest", resolve.read_session(spark, database=path))):

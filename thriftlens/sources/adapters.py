@@ -5,14 +5,17 @@ from __future__ import annotations
 import json
 import os
 import sqlite3
+from collections.abc import Iterator
+from itertools import groupby
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from thriftlens.operators.facts import facts_of
 from thriftlens.operators.tables import Tables
 from thriftlens.schema import CALLS
-from thriftlens.storage import fresh_path, table, written
+from thriftlens.storage import fresh_path, importable, table, written
 
 MODELS = ["claude-opus-4-8", "claude-haiku-4.5", "gpt-5", "gpt-4o-mini-2024", "o3", "unknown", "deepseek-v4-pro", "gemini-3-pro", "no-such-model"]
 PHRASES = ["still running?", "Add a test for the parser", "any updates?", "all quiet", "Rename the column and run it again", "checking status", "what does this function do"]
@@ -117,51 +120,56 @@ def _local(spark: SparkSession, name: str) -> str:
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", "role", "text").orderBy("conv_id", "turn")
+    """Turns by conversation, whole conversations in a part; rows without a conv_id belong to none."""
+    rows = table(spark, sf_dir, "conversations").where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn")
 
 
-def session_database(spark: SparkSession, sf_dir: str) -> str:
-    """A session database of all conversations, written row by row: the path of the file.
+def session_databases(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of session databases with all conversations, one for each task that writes them.
 
     A later conversation began later. Every seventh message is inactive.
     """
-    path = _local(spark, "sessions.db")
-    with sqlite3.connect(path) as db:
-        db.execute("CREATE TABLE sessions(id TEXT, model TEXT, message_count INT, tool_call_count INT, input_tokens INT, output_tokens INT, estimated_cost_usd REAL, started_at REAL)")
-        db.execute("CREATE TABLE messages(id INTEGER, session_id TEXT, role TEXT, content TEXT, tool_calls TEXT, tool_name TEXT, token_count INT, active INT)")
-        seen = None
-        for r in _turns(spark, sf_dir).toLocalIterator():
-            if r.conv_id != seen:
-                seen = r.conv_id
-                db.execute("INSERT INTO sessions VALUES(?,?,?,?,?,?,?,?)", (str(seen), MODELS[seen % len(MODELS)], None if seen % 4 == 0 else seen % 50, 0, seen * 10, None, seen / 8, float(seen)))
-            calls = None if r.turn % 3 != 1 else "not json" if seen % 5 == 0 else json.dumps(CALL)
-            db.execute("INSERT INTO messages VALUES(?,?,?,?,?,?,?,?)", (r.turn - seen * 1000, str(seen), r.role, r.text, calls, "" if r.turn % 2 else "tool", r.turn, int(r.turn % 7 != 6)))
-    db.close()
-    return path
+    folder = _local(spark, "databases")
+    os.makedirs(folder)
+
+    def save(rows: Iterator[Row]) -> None:
+        path = f"{folder}/part-{TaskContext.get().partitionId()}.db"
+        new, seen = f"{path}.{TaskContext.get().taskAttemptId()}", None
+        with sqlite3.connect(new) as db:
+            db.execute("CREATE TABLE sessions(id TEXT, model TEXT, message_count INT, tool_call_count INT, input_tokens INT, output_tokens INT, estimated_cost_usd REAL, started_at REAL)")
+            db.execute("CREATE TABLE messages(id INTEGER, session_id TEXT, role TEXT, content TEXT, tool_calls TEXT, tool_name TEXT, token_count INT, active INT)")
+            for r in rows:
+                if r.conv_id != seen:
+                    seen = r.conv_id
+                    db.execute("INSERT INTO sessions VALUES(?,?,?,?,?,?,?,?)", (str(seen), MODELS[seen % len(MODELS)], None if seen % 4 == 0 else seen % 50, 0, seen * 10, None, seen / 8, float(seen)))
+                calls = None if r.turn % 3 != 1 else "not json" if seen % 5 == 0 else json.dumps(CALL)
+                db.execute("INSERT INTO messages VALUES(?,?,?,?,?,?,?,?)", (r.turn - seen * 1000, str(seen), r.role, r.text, calls, "" if r.turn % 2 else "tool", r.turn, int(r.turn % 7 != 6)))
+        db.close()
+        os.replace(new, path)  # a task that runs again gives the same file
+
+    importable(spark)
+    _turns(spark, sf_dir).foreachPartition(save)
+    return folder
 
 
 def request_dumps(spark: SparkSession, sf_dir: str) -> str:
-    """A folder with a dump of each conversation; the one of the largest odd id is the newest, but for the index file."""
+    """A folder with a dump of each conversation, written by tasks; the one of the largest odd id is the newest, but for the index file."""
     folder = _local(spark, "dumps")
     os.makedirs(folder)
-    held: list[dict] = []
-
-    def flush(conv: int) -> None:
-        body = {"model": MODELS[conv % len(MODELS)], "messages": held}
-        path = f"{folder}/request_dump_{conv}_a_b_c.json"
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump({"request": {"method": "POST", "body": json.dumps(body) if conv % 2 else body}}, f)
-        os.utime(path, (1_700_000_000 + (conv if conv % 2 else -conv),) * 2)
-
-    last = None
-    for r in _turns(spark, sf_dir).toLocalIterator():
-        if last is not None and r.conv_id != last:
-            flush(last)
-            held.clear()
-        last = r.conv_id
-        held.append({"role": r.role, "content": r.text} | ({"tool_calls": CALL} if r.turn % 3 == 1 else {}))
-    if last is not None:
-        flush(last)
+
+    def save(rows: Iterator[Row]) -> None:
+        for conv, turns in groupby(rows, key=lambda r: r.conv_id):
+            body = {"model": MODELS[conv % len(MODELS)], "messages": [{"role": r.role, "content": r.text} | ({"tool_calls": CALL} if r.turn % 3 == 1 else {}) for r in turns]}
+            path = f"{folder}/request_dump_{conv}_a_b_c.json"
+            new = f"{path}.{TaskContext.get().taskAttemptId()}"
+            with open(new, "w", encoding="utf-8") as f:
+                json.dump({"request": {"method": "POST", "body": json.dumps(body) if conv % 2 else body}}, f)
+            os.utime(new, (1_700_000_000 + (conv if conv % 2 else -conv),) * 2)
+            os.replace(new, path)
+
+    importable(spark)
+    _turns(spark, sf_dir).foreachPartition(save)
     with open(f"{folder}/sessions.json", "w", encoding="utf-8") as f:
         f.write("{}")
     return folder

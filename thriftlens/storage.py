@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,9 +45,43 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: what reads it reads only the columns it needs."""
-    path = fresh_path(df.sparkSession, name)
+    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    if getattr(_local, "scopes", None):
+        _local.scopes[-1].append(table)
+    return table
+
+
+_local = threading.local()
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that this thread writes inside are deleted at the end, but for those given to the function that this yields."""
+    kept: list[DataFrame] = []
+    _local.scopes = [*getattr(_local, "scopes", []), []]
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for t in _local.scopes.pop():
+            if not any(t is k for k in kept):
+                dropped(t)
+        if _local.scopes:
+            _local.scopes[-1].extend(kept)
+
+
+def dropped(table: DataFrame) -> None:
+    """Delete a table made by written(), once nothing reads it any more."""
+    if path := getattr(table, "_written_at", None):
+        p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
