@@ -128,11 +128,17 @@ def fingerprints(flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return np.stack([np.add.reduceat(flat, begins), np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begins)])
 
 
+#: Keys that a task makes, unless there are more than MOST_PARTS tasks' worth; it then spills.
+KEYS, MOST_PARTS = 1_000_000, 20_000
+
+
 def candidate_links(classes: DataFrame, plan: Plan) -> DataFrame:
     """Links (a, b) that connect all classes that share a bucket and agree on enough minhashes."""
     m = plan.m
+    # a class has m * m keys, nearly all of them its own: so many classes to a task that its table of keys stays small
+    parts = min(MOST_PARTS, -(-classes.count() * m * m // KEYS))
     keyed = (
-        classes.select("cid", F.posexplode(F.slice("halves", 1, m)).alias("i", "x"), F.slice("halves", m + 1, m).alias("rest"))
+        classes.select("cid", "halves").repartition(max(1, parts), "cid").select("cid", F.posexplode(F.slice("halves", 1, m)).alias("i", "x"), F.slice("halves", m + 1, m).alias("rest"))
         .select("cid", "i", "x", F.posexplode("rest").alias("j", "y"))
         .select("cid", F.xxhash64("x", "y", "i", "j").alias("key"))
     )
