@@ -218,11 +218,15 @@ def family_sets(docs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
     """cid, fam, n, set (sorted shingles) of members (cid, fam, least, f1, f2): the text of the class's least doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()  # repeated rows of an id lie together
+        seen: set[int] = set()  # classes of the present id, whose rows lie together
+        last = None
         for b in batches:
             rows, sets = [], []
-            keys = zip(*(column(b, c).to_pylist() for c in ("cid", "f1", "f2")))
-            for i, (t, (cid, f1, f2)) in enumerate(zip(raw(b), keys)):
+            keys = zip(*(column(b, c).to_pylist() for c in ("least", "cid", "f1", "f2")))
+            for i, (t, (least, cid, f1, f2)) in enumerate(zip(raw(b), keys)):
+                if least != last:
+                    seen.clear()
+                    last = least
                 if cid in seen:
                     continue
                 s = shingle_set(t, plan.words)
@@ -234,7 +238,7 @@ def family_sets(docs: DataFrame, members: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(b, "cid").take(at), column(b, "fam").take(at), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["cid", "fam", "n", "set"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("least"), "text").where("least is not null").join(members.hint("merge"), "least")
-    return mapped(texts.select("cid", "fam", "f1", "f2", "text"), run, "cid long, fam long, n long, set binary")
+    return mapped(texts.select("least", "cid", "fam", "f1", "f2", "text"), run, "cid long, fam long, n long, set binary")
 
 
 def _compared(tasks: DataFrame, keys: list[str], plan: Plan) -> DataFrame:
