@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thriftlens.storage import fresh_path, importable
+from thriftlens.storage import fresh_path, importable, small_batches
 
 #: Python's and this project's ASCII white space: space, and U+0009 to U+000D.
 WHITE = r"[\x20\x09-\x0D]"
@@ -74,16 +74,6 @@ def dropped(table: DataFrame | None) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession, mb: int = 4) -> None:
-    """Bound an Arrow batch by bytes, so that a run of long texts can't fill a Python worker.
-
-    Plans read this setting of the session when they run, so it stays; a smaller one of the user's stays too.
-    """
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > mb << 20:
-        spark.conf.set(name, str(mb << 20))
-
-
 def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
