@@ -1,9 +1,14 @@
 """What must not grow faster than the input: how often a text is read, what goes to Python, what one task reads."""
 
+import sys
+import unicodedata
+
 from pyspark.sql import functions as F
 
+from thriftlens.functions import text
 from thriftlens.operators import bloat, facts
 from thriftlens.operators.tables import Tables
+from thriftlens.plans import requests
 from thriftlens.schema import DEFAULT
 from thriftlens.sources import adapters
 
@@ -26,3 +31,25 @@ def test_lines_of_one_set_alone_decide_no_pair(spark):
     assert some.agg(F.sum(F.size("lines"))).first()[0] < table.where("lines is not null").agg(F.sum(F.size("lines"))).first()[0]
     pairs = lambda rows: sorted(map(tuple, bloat.overlap_pairs(Tables(None, messages, table=rows, has_lines=True)).collect()))
     assert pairs(some) == pairs(table) and len(pairs(table)) == 2
+
+
+def test_only_what_composition_may_change_goes_to_python(spark):
+    ranges = [tuple(int(x, 16) for x in (r.split("-") * 2)[:2]) for r in text.COMPOSED.split()]
+    held = {c for a, b in ranges for c in range(a, b + 1)}
+    every = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    pairs = [unicodedata.decomposition(chr(c)).split() for c in every]
+    second = {int(p[1], 16) for p in pairs if len(p) == 2 and not p[0].startswith("<")} | {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    assert {c for c in every if unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c)} | second <= held
+    settled = ["plain", "café über ł", "привет", "你好", "한국", "あ", "\U0001f600 ’"]
+    changed = ["café", "한", "한", "Å", "が", "\U0001d15e", "ạ̇", "ạ̇"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(settled + changed)], "i int, v string")
+    got = rows.select("v", text._composable(F.col("v")).alias("goes"), text.nfc("v").alias("o")).orderBy("i").collect()
+    assert [r.goes for r in got] == [False] * len(settled) + [True] * len(changed)
+    assert [r.o for r in got] == [unicodedata.normalize("NFC", r.v) for r in got]
+
+
+def test_keys_need_one_python_step(spark):
+    log = spark.createDataFrame([(1, "m", False, [("user", "café")]), (2, "m", False, None), (3, "m", True, [])], "request_id long, model string, streaming boolean, messages array<struct<role:string,content:string>>")
+    rows = requests.keyed(log).where("cacheable").select("request_id", "key")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [r.request_id for r in rows.collect()] == [1]

@@ -9,6 +9,7 @@ from thriftlens.functions import pricing, text
 from thriftlens.plans import compress
 from thriftlens.plans.cache import clear_cache, open_cache, save_cache, upsert
 from thriftlens.schema import DEFAULT
+from thriftlens.storage import small_batches
 
 MESSAGE = "array<struct<role:string,content:string>>"
 
@@ -20,10 +21,13 @@ def json_size(messages: Column) -> Column:
 
 def keyed(requests: DataFrame) -> DataFrame:
     """Requests with normalized messages and their cache key; `cacheable` where the cache is asked at all."""
+    small_batches(requests.sparkSession)
     params = {p: F.col(p) for p in text.KEY_PARAMS if p in requests.columns}
-    rows = requests.withColumn("messages", text.normalized(F.col("messages")))
+    # from the messages as they came, which are null where normalized ones are: a filter then needs no second Python worker
+    rows = requests.withColumn("cacheable", F.col("messages").isNotNull() & ~F.coalesce("streaming", F.lit(False)))
+    rows = rows.withColumn("messages", text.normalized(F.col("messages")))
     rows = rows.withColumn("key", text.cache_key(F.coalesce("model", F.lit("")), F.col("messages"), params))
-    return rows.withColumn("cacheable", F.col("messages").isNotNull() & ~F.coalesce("streaming", F.lit(False)))
+    return rows.select(*[c for c in rows.columns if c != "cacheable"], "cacheable")
 
 
 def replayed(rows: DataFrame) -> DataFrame:

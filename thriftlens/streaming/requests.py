@@ -63,7 +63,8 @@ class Replay:
         """The keys of micro-batches before this one, in some buckets."""
         base = max((n for n in self._complete(spark, "known", "upto=") if n < before), default=-1)
         later = [f"{self.path}/known/batch={n}" for n in self._complete(spark, "known", "batch=") if base < n < before]
-        out = spark.read.schema("key string").parquet(*later) if later else spark.createDataFrame([], "key string")
+        none = spark.range(0).select(F.lit(None).cast("string").alias("key"))  # without a Python worker for each task
+        out = spark.read.schema("key string").parquet(*later) if later else none
         if base >= 0:
             held = spark.read.schema("key string, bucket int").parquet(f"{self.path}/known/upto={base}")
             out = out.unionByName(held.where(F.col("bucket").isin(buckets)).select("key"))
