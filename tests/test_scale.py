@@ -5,6 +5,7 @@ import unicodedata
 
 from pyspark.sql import functions as F
 
+from thriftlens import queries
 from thriftlens.functions import text
 from thriftlens.operators import bloat, facts
 from thriftlens.operators.tables import Tables
@@ -53,3 +54,13 @@ def test_keys_need_one_python_step(spark):
     rows = requests.keyed(log).where("cacheable").select("request_id", "key")
     assert rows._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
     assert [r.request_id for r in rows.collect()] == [1]
+
+
+def test_windows_are_read_from_more_than_one_file(spark, tables, agrees, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "fresh_path", lambda spark, name: f"file://{tmp_path}/{name}")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        agrees(queries.stats_by_window, queries.ORACLE_SQL["stats_by_window"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "requests").glob("*.parquet"))) > 4

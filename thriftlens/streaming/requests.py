@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -118,9 +120,17 @@ def replayed(stream: DataFrame, path: str | None = None) -> DataFrame:
 
 def finished(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Run a stream over what is there now and read its last result."""
-    spark = stream.sparkSession
-    out, checkpoint = storage.fresh_path(spark, f"{name}-out"), storage.fresh_path(spark, f"{name}-state")
-    write = lambda df, epoch: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)  # noqa: E731, ARG005
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    return finished_each(iter([stream]), mode, name)
+
+
+def finished_each(runs: Iterator[DataFrame], mode: str, name: str) -> DataFrame:
+    """Run a stream again and again, from where it was, over what has come until each run, and read its last result."""
+    out = checkpoint = stream = None
+    for stream in runs:
+        spark = stream.sparkSession
+        if out is None:
+            out, checkpoint = storage.fresh_path(spark, f"{name}-out"), storage.fresh_path(spark, f"{name}-state")
+        write = lambda df, epoch: df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)  # noqa: E731, ARG005
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out) if storage.exists(spark, out) else spark.createDataFrame([], stream.schema)
