@@ -181,8 +181,20 @@ def least_reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         label = new
 
 
+def _contracted(links: DataFrame, chunk: int) -> DataFrame:
+    """contracted() as a table."""
+    with scratch() as keep:
+        return keep(written(contracted(links, chunk), "links"))
+
+
 def contracted(links: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Links (u, v) that connect the same nodes: in each chunk of a partition, every node with the least one it reaches."""
+    """Links (u, v) that connect the same nodes: in each chunk of a partition, every node with the least one it reaches.
+
+    The links are written first and then read by as many tasks as there are chunks, so that a chunk is full however finely
+    they were dealt: few links, in many parts, need no steps between the parts.
+    """
+    links = written(links, "loose")
+    links = links.coalesce(max(1, -(-links.count() // chunk)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -215,14 +227,14 @@ def components(edges: DataFrame, chunk: int = CHUNK) -> DataFrame:
     is seen from one aggregate over the nodes. Nodes without a link don't appear. Every step's minima are written
     first, so that the join with them has exchanges on both sides and Spark can split a node that has very many links.
     """
-    e = written(contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), chunk), "links")
+    e = _contracted(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), chunk)
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
         large = written(both.join(least.hint("merge"), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         least2 = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least2.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(contracted(small.unionByName(least2.select("u", F.col("m").alias("v"))), chunk), "links")
+        new = _contracted(small.unionByName(least2.select("u", F.col("m").alias("v"))), chunk)
         for t in (least, large, least2, e):
             dropped(t)
         e = new
