@@ -8,7 +8,7 @@ compared in single precision; those that come within its rounding error of the k
 compared again by cosine in double precision on the original vectors, so near copies that differ in the last digits are
 told apart and no candidate of a window is lost. The windows' best are merged and ranked.
 
-The width of the window and the number of curves are fitted, not chosen: for a bounded sample of vectors (`sample`) the
+The width of the window is fitted, not chosen: for a bounded sample of vectors (`sample`) the
 exact neighbours are found by comparing them, in one block, with all vectors. One pass counts how many keys lie below
 theirs, which gives their positions without a sort. For each number of curves up to `curves` a window is just wide
 enough that `aim` of those neighbours lie inside on some curve; `fit_window` picks one. The share of the data that this
@@ -235,8 +235,8 @@ def exact_neighbours(points: DataFrame, qids: np.ndarray, qx: np.ndarray, k: int
     return out
 
 
-def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n: int, aim: float) -> tuple[int, int]:
-    """(number of curves, width) with which `aim` of the sampled neighbours lie inside a window.
+def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n: int, aim: float, whole: bool = False) -> tuple[int, int]:
+    """(number of curves, width) with which `aim` of the sampled neighbours lie inside a window; `whole`: of all curves.
 
     The fewest curves whose windows hold three quarters of the n vectors or fewer, as each curve is one more copy that is
     sorted; if there are none, those whose windows hold the fewest, or a single window if several hold more than all.
@@ -267,12 +267,14 @@ def fit_window(points: DataFrame, curves: Curves, near: dict[int, list[int]], n:
     low, high = (np.stack([np.cumsum(counts[c])[np.searchsorted(steps[c], keys[c] + up)] for c in range(len(keys))]) for up in (0, 1))
     pairs = [(at[q], at[p]) for q, ps in near.items() for p in ps]
     if not pairs:
-        return 1, 8
+        return (len(keys) if whole else 1), 8
     one, two = (np.array(x) for x in zip(*pairs))
     gaps = np.maximum(high[:, one], high[:, two]) - np.minimum(low[:, one], low[:, two]) - 1
     gaps = np.minimum.accumulate(gaps, axis=0)
     gaps.sort(axis=1)
     width = np.maximum(8, gaps[:, min(len(pairs) - 1, int(aim * len(pairs)))] + 1)
+    if whole:
+        return len(width), int(min(width[-1], n))
     several = min(4, len(width)) - 1
     held = (np.minimum(2 * width, n) * np.arange(1, len(width) + 1))[several:]
     if held.min() > n:  # one window over everything holds less
@@ -313,7 +315,7 @@ def _searched(points: DataFrame, queries: DataFrame, every: int, k: int, curves:
     lines = fit_curves(unit(matrix(fit_on.column("v").combine_chunks())), curves, d, bits)
     picked = points.where(share(sample, 22)).select("pid", "v").limit(2 * sample).toArrow()
     near = exact_neighbours(points, picked.column("pid").to_numpy(), matrix(picked.column("v").combine_chunks()), k) if picked.num_rows else {}
-    used, width = fit_window(points, lines, near, n, aim) if near else (len(lines.turn), n)
+    used, width = fit_window(points, lines, near, n, aim, n > block) if near else (len(lines.turn), n)
     placed = written(positions(points, Curves(lines.turn[:used], lines.cuts[:used], bits), narrow), "placed")
     # data go to the stretches of queries that reach their block, queries to the blocks they reach
     span = block * every
