@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from thriftlens.llm import ann, embdedup, langid
 
@@ -92,3 +93,21 @@ def test_language_sample_is_bounded_by_subwords(spark, monkeypatch):
     assert sum(len(s.ids) for s in seen) <= 20_000 and {s.lang for s in seen} == set(kinds) and len(seen) > 30
     got = {x["doc_id"]: x["lang_pred"] for x in langid.predict(df, model).collect()}
     assert sum(got[i] == lang for i, _, lang in rows) >= 0.98 * len(rows)
+
+
+def test_langid_sample_is_learned_where_it_lies_and_its_memory_given_back(spark, monkeypatch):
+    rows = [(d, d % 7, np.arange(d % 5 + 1, dtype=np.int32).tobytes(), np.full(d % 5 + 1, d, np.int32).tobytes(), f"l{d % 2}", b"a piece") for d in (5, 3, 9, 1, 4)]
+    table = pa.concat_tables([pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), langid._SAMPLE.types)], schema=langid._SAMPLE) for part in (rows[:2], rows[2:])])
+    held = pa.total_allocated_bytes()
+    got = langid._samples(table)
+    assert pa.total_allocated_bytes() - held < 64
+    want = [(np.frombuffer(r[2], np.int32).tolist(), np.frombuffer(r[3], np.int32).tolist(), r[4], r[5]) for r in sorted(rows)]
+    assert [(s.ids.tolist(), s.n.tolist(), s.lang, s.piece) for s in got] == want
+    spans = [(c.buffers()[2].address, c.buffers()[2].address + c.buffers()[2].size) for c in table.column("ids").chunks]
+    assert all(any(a <= s.ids.__array_interface__["data"][0] < z for a, z in spans) for s in got)
+
+    calls = []
+    monkeypatch.setattr(langid, "give_back", lambda: calls.append(1))
+    docs = spark.createDataFrame([(i, f"some words of text number {i}", "en" if i % 2 else "de") for i in range(40)], "doc_id long, text string, lang string")
+    assert langid.fit(docs, F.lit(True)) is not None
+    assert calls == [1]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import column, in_groups, mapped, raw, scratch, written
+from .common import column, give_back, in_groups, mapped, raw, scratch, written
 
 BITS = 16
 DIM = 16
@@ -245,11 +245,32 @@ def fit(docs: DataFrame, learn, per_lang: int = 1500, most: int = 15_000, seed:
         turn = drawn.select("doc_id", "lang", F.length("ids").alias("size"), F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id")).alias("turn"))
         upto = turn.withColumn("upto", F.sum("size").over(W.orderBy("turn", "lang").rowsBetween(W.unboundedPreceding, 0)))  # numbers of the drawn rows alone
         kept = upto.where(F.col("upto") <= 4 * subwords).select("doc_id")
-        one = drawn.join(kept.hint("merge"), "doc_id", "left_semi").toArrow().sort_by("doc_id")
+        one = drawn.join(kept.hint("merge"), "doc_id", "left_semi").toArrow()
     if not one.num_rows:
         return None
-    cols = {c: one.column(c).to_pylist() for c in ("ids", "n", "lang", "piece")}
-    return train([Sample(np.frombuffer(i, np.int32), np.frombuffer(n, np.int32), lang, piece) for i, n, lang, piece in zip(*cols.values())], seed)
+    try:
+        return train(_samples(one), seed)
+    finally:
+        del one
+        give_back()  # the driver has much more to do after this
+
+
+def _samples(one: pa.Table) -> list[Sample]:
+    """The rows of _SAMPLE in the order of doc_id; numbers are views of the table's own memory, and nothing is copied."""
+    rows = []
+    for b in one.to_batches():
+        numbers = [_numbers(column(b, c)) for c in ("ids", "n")]
+        rows += zip(column(b, "doc_id").to_pylist(), *numbers, column(b, "lang").to_pylist(), column(b, "piece").to_pylist())
+    return [Sample(*r[1:]) for r in sorted(rows, key=lambda r: r[0])]
+
+
+def _numbers(values: pa.Array) -> list[np.ndarray]:
+    """Each binary value as a view of 32-bit numbers."""
+    values = values.cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    flat = np.frombuffer(data or b"", np.int32)[at[0] // 4 : at[-1] // 4]
+    return np.split(flat, (at[1:-1] - at[0]) // 4)
 
 
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("ids", pa.binary()), ("n", pa.binary()), ("lang", pa.string()), ("piece", pa.binary())])
