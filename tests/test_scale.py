@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thriftlens import queries
 from thriftlens.functions import text
-from thriftlens.operators import bloat, facts
+from thriftlens.operators import bloat, duplicates, facts
 from thriftlens.operators.tables import Tables
 from thriftlens.plans import requests
 from thriftlens.schema import DEFAULT
@@ -64,3 +64,39 @@ def test_windows_are_read_from_more_than_one_file(spark, tables, agrees, tmp_pat
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "requests").glob("*.parquet"))) > 4
+
+
+def test_lines_go_with_no_event_and_sets_of_them_give_the_same_pairs(spark, tables):
+    t = adapters.agents(spark, tables, lines=True)
+    assert "lines" not in t.table.columns and t.sets.columns == ["f1", "f2", "lines"]
+    line = lambda x: f"a line of {x} " + "=" * 150
+    texts = [line("a") + "\n" + line("b"), line("a") + "\n" + line("b") + "\n" + line("c"), line("d") * 3, line("d") * 3, line("a") + "\n" + line("b"), "x" * 300 + "\n", "short"]
+    rows = [(s, i, "tool", x, None) for s in "st" for i, x in enumerate(texts)]
+    messages = spark.createDataFrame(rows, "session_id string, idx long, role string, content string, tool_name string")
+    table = facts.facts_and_lines(messages, DEFAULT, False)
+    of_sets = Tables(None, messages, table=table.drop("lines"), has_lines=True, sets=facts.shared_sets(table))
+    # d's line is in one set only, whose two members are a pair all the same
+    for what, n in ((bloat.overlap_pairs, 8), (bloat.stale, 2)):
+        got, want = (sorted(map(tuple, what(x).collect())) for x in (of_sets, Tables(None, messages, table=table, has_lines=True)))
+        assert got == want and len(got) == n
+
+
+def test_calls_are_aggregated_without_a_sort(spark):
+    rows = [("s", 4, 0, "b", "{}"), ("s", -3, 1, "b", "1"), ("s", -3, 0, "b", "2"), ("s", 5, 0, "b", "1"), ("s", 6, 0, "b", "2"), ("s", 7, 2, "a", "x")]
+    calls = spark.createDataFrame(rows, "session_id string, idx long, call_pos int, name string, arguments string")
+    messages = spark.createDataFrame([("s", 0, "tool", "12345678", "b")], "session_id string, idx long, role string, content string, tool_name string")
+    per = duplicates._per_tool(Tables(None, messages, calls=calls))
+    assert "SortAggregate" not in per._jdf.queryExecution().executedPlan().toString()
+    got = {r["name"]: r for r in per.collect()}
+    assert [got["b"][c] for c in ("calls", "spare", "groups")] == [5, 2, 2] and got["a"]["most"] is None
+    # of two groups of two the earlier one, by idx and then by the place in the message
+    assert got["b"]["most"]["n"] == 2 and -int(got["b"]["most"]["p"]) == int(got["b"]["place"]) == -3 * (1 << 31)
+
+
+def test_questions_facts_are_constants(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(7).select(facts.facts_of_literals(adapters.PHRASES, (F.col("id") + 1).cast("int")).alias("f"), F.element_at(F.array(*map(F.lit, adapters.PHRASES)), (F.col("id") + 1).cast("int")).alias("p"))
+    plan = df.select("f")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
+    assert df.where(~((F.col("f.chars") == F.length("p")) & (F.col("f.tokens") == text.tokens("p")) & (F.col("f.idle") == text.idle("p")))).count() == 0
