@@ -263,3 +263,26 @@ def test_a_built_in_detector_that_fails_while_it_runs(spark, monkeypatch):
     monkeypatch.setitem(registry._built_in, "heartbeat_waste", bad)
     m = [("user", "read it"), ("assistant", None, None, CALL), ("tool", "contents...", "read_file"), ("assistant", "", None, CALL), ("tool", "contents...", "read_file")]
     assert found(session(spark, "s", "claude-haiku-4.5", m)) == [("duplicate_tool_calls", 2, 1, 0.95)]
+
+
+def test_strict_tables_have_all_findings_or_none(spark, monkeypatch):
+    """A detector that fails on one session, can't be planned or isn't known ends the analysis; those that don't fail give all they find."""
+
+    def picky(s, messages):
+        if s["model"] == "bad":
+            raise ValueError("no")
+        return [{"pattern": "picky", "tokens_wasted": 1, "count": 1, "description": ""}]
+
+    def broken(t):
+        raise RuntimeError("no plan")
+
+    monkeypatch.setitem(registry._registry, "picky", registry.per_session(picky))
+    monkeypatch.setitem(registry._registry, "broken", broken)
+    good, bad = (session(spark, f"cron_{m}", m, [("user", "a")]) for m in ("o3", "bad"))
+    one, two = (Tables(t.sessions, t.messages, strict=True) for t in (good, both(good, bad)))
+    assert found(one, ["picky", "model_mismatch", "heartbeat_waste"]) == found(good, ["picky", "model_mismatch", "heartbeat_waste"]) != []
+    for t, names, named in ((two, ["model_mismatch", "picky"], "picky"), (one, ["broken", "picky"], "broken"), (one, ["picky", "nope"], "nope")):
+        with pytest.raises(registry.DetectorError, match=named):
+            analysis.run_analysis(t, names)
+    with pytest.raises(registry.DetectorError, match="(?s)broken.*picky"):
+        analysis.analyze(two, ["broken", "picky"])

@@ -1,6 +1,9 @@
 import pytest
 
+from pyspark.sql import functions as F
+
 from thriftlens import queries
+from thriftlens.operators import registry
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -17,3 +20,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["advice_extract"])
+def test_a_query_fails_where_a_detector_fails(spark, tables, monkeypatch, name):
+    """Not with fewer rows, nor with totals of fewer findings."""
+    real = registry.get_detector("heartbeat_waste")
+    bad = F.when(F.col("session_id").endswith("0"), F.expr("cast(raise_error('no') as bigint)")).otherwise(F.col("tokens_wasted"))
+    monkeypatch.setitem(registry._registry, "heartbeat_waste", lambda t: real(t).withColumn("tokens_wasted", bad))
+    with pytest.raises(registry.DetectorError, match="heartbeat_waste"):
+        queries.QUERIES[name](spark, tables).collect()
