@@ -22,7 +22,7 @@ def test_entry(spark):
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["advice_extract", "advice_prompts", "ranked_findings", "report_text", "session_report"])
+@pytest.mark.parametrize("name", ["advice_extract", "advice_prompts", "ranked_findings", "report_text", "session_report", "top3_findings"])
 def test_a_query_fails_where_a_detector_fails(spark, tables, monkeypatch, name):
     """Not with fewer rows, nor with totals of fewer findings."""
     real = registry.get_detector("heartbeat_waste")
